@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, simhash
+from . import bpe, secrets, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, seed=42, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes the words of every 13-word window that a document with a smaller id has too."""
+    return substring.dedup(_table(spark, sf_dir, "documents"), length=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_byte_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_substring_dedup, op6_byte_bpe, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
