@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, simhash, substring
+from . import bpe, merkle, secrets, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents"), length=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    return merkle.with_next(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_substring_dedup, op6_byte_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
