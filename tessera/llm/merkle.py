@@ -32,20 +32,25 @@ _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
 _HEADING = re.compile(r"#{1,6} ")
 
 
+def leaf(piece: str) -> str:
+    """Seven digits of digest and one of size, in eights of characters (1 to 15)."""
+    return f"{xxhash.xxh32_hexdigest(piece.encode())[:7]}{min(15, max(1, (len(piece) + 4) // 8)):x}"
+
+
 def leaves(paragraph: str) -> list[str]:
-    """8-digit digests of the paragraph's sentences, long ones in pieces; the concatenated pieces are the paragraph."""
-    digest, out = xxhash.xxh32_hexdigest, []
+    """The paragraph's sentences, long ones in pieces; the concatenated pieces are the paragraph."""
+    out = []
     for s in _SENTENCE.findall(paragraph):
         if len(s) > 6 * PIECE_WORDS:
             found = s.split(" ")
-            out += [digest(" ".join(found[k : k + PIECE_WORDS]).encode()) for k in range(0, len(found), PIECE_WORDS)]
+            out += [leaf(" ".join(found[k : k + PIECE_WORDS])) for k in range(0, len(found), PIECE_WORDS)]
         elif s:
-            out.append(digest(s.encode()))
+            out.append(leaf(s))
     return out
 
 
 def tree(text: str) -> str:
-    """The fingerprint: `root|section;section`, a section is `digest:paragraph/paragraph`, a paragraph the leaves' digests, 8 digits each."""
+    """The fingerprint: `root|section;section`, a section is `digest:paragraph/paragraph`, a paragraph its leaves, 8 digits each."""
     sections, paragraphs = [], []
 
     def close() -> None:
@@ -74,19 +79,23 @@ def _branches(fingerprint: str) -> dict[str, Counter]:
     return out
 
 
+def _size(leaves: Counter) -> int:
+    return sum(int(k[7], 16) * n for k, n in leaves.items())
+
+
 def likeness(one: str, other: str) -> float:
-    """0 to 1: twice the leaves in common over all leaves; 1 for equal roots. Sections with equal digests are taken as equal without their leaves."""
+    """0 to 1: twice the size of the leaves in common over that of all leaves; 1 for equal roots. Sections with equal digests are taken as equal without their leaves."""
     if one[:32] == other[:32]:
         return 1.0
     a, b = _branches(one), _branches(other)
-    total = sum(c.total() for c in a.values()) + sum(c.total() for c in b.values())
+    total = sum(map(_size, a.values())) + sum(map(_size, b.values()))
     if not total:
         return 0.0
     same = a.keys() & b.keys()
-    common = sum(a[k].total() for k in same)
+    common = sum(_size(a[k]) for k in same)
     left = sum((c for k, c in a.items() if k not in same), Counter())
     right = sum((c for k, c in b.items() if k not in same), Counter())
-    return 2 * (common + (left & right).total()) / total
+    return 2 * (common + _size(left & right)) / total
 
 
 def changed(one: str, other: str) -> list[tuple[int, int]]:
