@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, secrets, simhash, substring
+from . import bpe, merkle, quality, secrets, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, seed=42, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hundredth vector's ten best partners among all others, by integer inner product."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0).select("query_id", "rank", "vec_id", "score")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes the words of every 13-word window that a document with a smaller id has too."""
     return substring.dedup(_table(spark, sf_dir, "documents"), length=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -42,6 +47,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; learns from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the secrets in every document."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
@@ -59,8 +71,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_topk": """
+            with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) e from embeddings
+                       where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+            s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint score
+                  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+            r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+            select query_id, rank, vec_id, score from r where rank <= 10""",
+    }
