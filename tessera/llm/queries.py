@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, merkle, quality, secrets, simhash, substring, topk
+from . import bpe, lines, merkle, mixing, quality, secrets, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takes lines that occur on ten sites or more out of every document, but for their first occurrence."""
+    found = lines.dedup(_table(spark, sf_dir, "documents"), min_sites=10)
+    return found.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of 150 % of all sizes takes of every document."""
+    mix = mixing.Mix(_table(spark, sf_dir, "documents"))
+    sources = spark.createDataFrame([(s.name, s.size, s.target) for s in mix.sources], "source string, source_size long, target double")
+    taken = mix.taken().withColumn("source", F.element_at(F.from_json("pattern", "array<string>"), 1))
+    return taken.join(F.broadcast(sources), taken["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; learns from labels that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,11 +85,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op7_line_dedup, op8_source_mixing, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_line_dedup": """
+            with l as (select doc_id, coalesce(source, chr(0)) source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents),
+            b as (select line, min({'d': doc_id, 'p': pos}) first from l where trim(line) <> '' group by line having count(distinct source) >= 10),
+            k as (select l.doc_id, count(*) n_lines, count(*) filter (gone) n_removed, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (not gone), '') kept
+                  from (select l.*, b.first is not null and b.first <> {'d': l.doc_id, 'p': l.pos} gone from l left join b using (line)) l group by l.doc_id)
+            select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents d left join k using (doc_id)""",
+        "op8_source_mixing": """
+            with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, ('0x' || substr(md5('7:' || doc_id), 1, 15))::bigint u from documents),
+            s as (select source, sum(size)::bigint source_size, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] w from d group by source),
+            o as (select *, row_number() over (order by 2 * source_size / w, source nulls last) k from s),
+            f as (select *, (3 * sum(source_size) over () - 2 * coalesce(sum(2 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0))::double
+                  / (2 * sum(w) over (order by k rows between current row and unbounded following))::double as level from o),
+            m as (select coalesce(min_by(level, k) filter (level <= 2 * source_size / w), max_by(level, k)) as level from f),
+            t as (select o.source, source_size, least(2.0 * source_size, m.level * w)::double target from o, m),
+            q as (select *, floor(target + 0.5)::bigint quota, case when source_size = 0 then 0 else floor(target + 0.5)::bigint // source_size end passes from t),
+            r as (select *, quota - passes * source_size rest from q),
+            c as (select d.*, r.source_size, r.target, r.passes, r.rest, sum(d.size) over (partition by d.source order by u, doc_id::varchar, d.size) as total from d join r on d.source is not distinct from r.source),
+            g as (select source, rest - coalesce(max(total) filter (total <= rest), 0) gap from c group by source, rest),
+            e as (select c.source, min({'off': abs(c.size - g.gap), 'u': u, 'k': doc_id::varchar}) best from c join g on c.source is not distinct from g.source
+                  where c.total > c.rest and c.rest > 0 and c.size > 0 and c.size < 2 * g.gap group by c.source)
+            select c.doc_id, c.size, c.source_size, c.target, (c.size * (passes + case when (rest > 0 and total <= rest) or (e.best is not null and e.best.u = u and e.best.k = doc_id::varchar) then 1 else 0 end))::bigint taken
+            from c left join e on c.source is not distinct from e.source""",
         "op2_exact_topk": """
             with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) e from embeddings
                        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
