@@ -17,6 +17,7 @@ import base64
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 
 from .common import raw, slices
 
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 18  # in each of two generations
 CACHED_BYTES = 64  # longer pieces are encoded each time
+_PAIR = 1 << 32
+_START = -2  # stands before a piece's first token
 
 
 class Vocabulary:
@@ -36,7 +39,8 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
+        self._automaton = None
 
     @classmethod
     def read(cls, content: bytes) -> Vocabulary:
@@ -53,47 +57,51 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def pair(self, p: int, t: int) -> bool:
-        """Whether the tokens p, t can stand side by side."""
-        out = self.stable.get((p, t))
+        """Whether the tokens p, t can stand side by side (p: _START for t at the beginning)."""
+        out = self.stable.get(p * _PAIR + t)
         if out is None:
-            out = self.merged(self.bytes_of[p] + self.bytes_of[t]) == [p, t]
+            out = self.merged(self.bytes_of[t]) == [t] if p == _START else self.merged(self.bytes_of[p] + self.bytes_of[t]) == [p, t]
             if len(self.stable) > 4_000_000:
                 self.stable.clear()
-            self.stable[p, t] = out
+            self.stable[p * _PAIR + t] = out
         return out
 
+    def automaton(self):
+        """Finds all tokens in a string in one pass (bytes as Latin-1)."""
+        if self._automaton is None:
+            found = ahocorasick.Automaton()
+            for b, t in self.ranks.items():
+                found.add_word(b.decode("latin-1"), (t, len(b)))
+            found.make_automaton()
+            self._automaton = found
+        return self._automaton
+
+    def fill(self, text: str, last: list[int], at: int = 0) -> None:
+        """Sets last[j + 1] for each j >= at of text (bytes as Latin-1) where a token ends; last holds _START where pieces begin."""
+        known, pair = self.stable.get, self.pair
+        for j, (t, size) in self.automaton().iter(text):
+            if j < at or last[j + 1] != -1:
+                continue
+            p = last[j + 1 - size]
+            ok = known(p * _PAIR + t)
+            if pair(p, t) if ok is None else ok:
+                last[j + 1] = t
+
 
 class Prefixes:
     """The table of one piece: last[j] is the unique token that ends the encoding of the first j bytes."""
 
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.piece, self.last = vocabulary, b"", [_START]
         self.append(piece)
 
     def append(self, more: bytes) -> Prefixes:
-        """Exact: the table of the longer piece has the present table as its head."""
-        v, last = self.vocabulary, self.last
+        """Exact: the table of the longer piece has the present table as its head; only tokens that end in `more` are looked for."""
         start, self.piece = len(self.piece), self.piece + more
-        ranks, piece, longest, bytes_of, stable = v.ranks, self.piece, v.longest, v.bytes_of, v.stable
-        for j in range(start + 1, len(piece) + 1):
-            found = -1
-            for i in range(j - longest if j > longest else 0, j):
-                t = ranks.get(piece[i:j])
-                if t is None:
-                    continue
-                if i == 0:
-                    if len(bytes_of[t]) == 1 or v.merged(bytes_of[t]) == [t]:
-                        found = t
-                        break
-                    continue
-                p = last[i]
-                if p < 0:
-                    continue
-                ok = stable.get((p, t))
-                if v.pair(p, t) if ok is None else ok:
-                    found = t
-                    break
-            last.append(found)
+        base = max(0, start - self.vocabulary.longest)
+        window = self.last[base:] + [-1] * len(more)
+        self.vocabulary.fill(self.piece[base:].decode("latin-1"), window, start - base)
+        self.last += window[start - base + 1 :]
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> Prefixes:
@@ -125,7 +133,7 @@ class Encoder:
     made: dict[tuple[bytes, str], Encoder] = {}
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.split, self.cache = vocabulary, regex.compile(pattern).findall, {}
+        self.vocabulary, self.split, self.cache, self.old = vocabulary, regex.compile(pattern).findall, {}, {}
 
     @classmethod
     def get(cls, content: bytes, pattern: str) -> Encoder:
@@ -135,18 +143,41 @@ class Encoder:
             cls.made[key] = cls(Vocabulary.read(content), pattern)
         return cls.made[key]
 
-    def piece(self, piece: str) -> list[int]:
-        own = piece.encode()
-        out = Prefixes(self.vocabulary, own).ids()
-        if len(own) <= CACHED_BYTES:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[piece] = out
+    def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of the pieces, which the cache does not have; their tables are filled in one pass, side by side."""
+        out = {}
+        for p in [p for p in pieces if p in self.old]:
+            out[p] = self.old[p]
+        new = [p for p in pieces if p not in out]
+        if new:
+            raw_ = [p.encode().decode("latin-1") for p in new]
+            ends = np.cumsum([len(r) + 1 for r in raw_]).tolist()
+            last = [-1] * (ends[-1] + 1)
+            for start in [0, *ends[:-1]]:
+                last[start] = _START
+            self.vocabulary.fill("\u0100".join(raw_), last)  # no byte has this code: tokens do not cross pieces
+            sizes = self.vocabulary.bytes_of
+            for p, start, end in zip(new, [0, *ends[:-1]], ends, strict=True):
+                ids, j = [], end - 1
+                while j > start:
+                    t = last[j]
+                    ids.append(t)
+                    j -= len(sizes[t])
+                out[p] = tuple(ids[::-1])
+        if len(self.cache) + len(out) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
+        self.cache |= {p: x for p, x in out.items() if len(p) <= CACHED_BYTES}
         return out
 
     def encode(self, text: str) -> list[int]:
-        get, one = self.cache.get, self.piece
-        return list(chain.from_iterable([get(p) or one(p) for p in self.split(text)]))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        pieces = [self.split(t) if t else [] for t in texts]
+        cache = self.cache
+        new = self.learn(list(dict.fromkeys([p for own in pieces for p in own if p not in cache])))
+        get = cache.get  # also after a change of generations: what is not in the one before is among the new ones
+        return [list(chain.from_iterable([get(p) or new[p] for p in own])) for own in pieces]
 
     def append(self, text: str, ids: list[int], more: str) -> list[int]:
         """Ids of text + more from those of text: pieces are settled up to the last run of spaces before the end and are kept as they are."""
@@ -172,7 +203,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(content.value, pattern)
         for batch in slices(batches, text_col):
-            found = [encoder.encode(t) if t else [] for t in batch.column(columns.index(text_col)).to_pylist()]
+            found = encoder.encode_all(batch.column(columns.index(text_col)).to_pylist())
             ends = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=ends[1:])
             flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))

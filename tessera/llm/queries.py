@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, merkle, mixing, quality, secrets, simhash, substring, topk
+from . import bpe, chat, lines, merkle, mixing, quality, secrets, simhash, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,29 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0).select("query_id", "rank", "vec_id", "score")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats every conversation, and digests what is read back from the windows."""
+    odd = "</s>[INST] ok [/INST]"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"select -7L conv_id, 0L turn, 'user' role, '{odd}' text union all select -7L, 1L, 'assistant', '{odd}'")
+    back = chat.read_back(chat.windows(turns.unionByName(more)))
+    whole = back.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).alias("n_turns"),
+        F.array_sort(F.collect_list(F.struct("chunk", "window", "turns", "targets"))).alias("w"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    said = F.array_join(F.transform(F.flatten(F.transform("w", lambda w: w["turns"])), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.flatten(F.transform("w", lambda w: w["targets"])), "")
+    return whole.select(
+        "conv_id",
+        F.col("n_turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes the words of every 13-word window that a document with a smaller id has too."""
     return substring.dedup(_table(spark, sf_dir, "documents"), length=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -85,11 +108,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op7_line_dedup, op8_source_mixing, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op3_chat_format, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op7_line_dedup, op8_source_mixing, op9_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_format": r"""
+            with c as (select conv_id id, turn, coalesce(role, '') role, coalesce(text, '') txt from conversations
+                       union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            e as (select *, coalesce(floor(turn / 256.0)::bigint, -4611686018427387904) chunk,
+                  regexp_replace(replace(txt, '\', '\\'), '(<)(/?s>|<SYS>>|</SYS>>|\|[a-z_]+\|>)|(\[)(/?INST\])', '\1\3\\-\2\4', 'g') body,
+                  '<|im_start|>' || replace(regexp_replace(replace(role, '\', '\\'), '(<)(/?s>|<SYS>>|</SYS>>|\|[a-z_]+\|>)|(\[)(/?INST\])', '\1\3\\-\2\4', 'g'), chr(10), '\n') || chr(10) head from c),
+            n as (select *, (ceil(length(head || body) / 4.0) + 4)::bigint n, row_number() over (partition by id order by turn nulls first, role, txt) o,
+                  min(chunk) over (partition by id) = max(chunk) over (partition by id) one from e),
+            s as (select *, case when role = 'system' and o = min(case when role = 'system' then o end) over (partition by id) then 1 else 0 end sy from n),
+            b as (select *, coalesce(sum(n) over (partition by id order by o rows between unbounded preceding and 1 preceding), 0)::bigint p,
+                  coalesce(max(case when sy = 1 then o end) over (partition by id), 1e18) so, max(sy * length(head || body || '<|im_end|>.')) over (partition by id) sl,
+                  greatest(1024 - 256 - max(sy * n) over (partition by id), 64) step from s),
+            w as (select *, 2 * (p // step) + case when (p + n - 1) // step > p // step then 1 else 0 end win from b),
+            g as (select *, win is distinct from lag(win) over (partition by id order by o) opens from w),
+            h as (select a.id, sum(length(b.head || b.body || '<|im_end|>.')) chars from g a join g b on a.id = b.id and a.opens and b.sy = 0 and b.o between a.o - 4 and a.o - 1 and a.p - b.p <= 256 group by a.id),
+            r as (select id, count(*) n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' order by o)) turns_sha256,
+                  coalesce(string_agg(txt, '' order by o) filter (role = 'assistant'), '') loss,
+                  sum(length(head || body || '<|im_end|>.') + case when opens and so < o then sl else 0 end)::bigint chars, bool_and(one) one from g group by id)
+            select r.id conv_id, n_turns, turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, (r.chars + coalesce(h.chars, 0))::bigint formatted_chars
+            from r left join h using (id)""",
         "op7_line_dedup": """
             with l as (select doc_id, coalesce(source, chr(0)) source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents),
             b as (select line, min({'d': doc_id, 'p': pos}) first from l where trim(line) <> '' group by line having count(distinct source) >= 10),
