@@ -1,8 +1,63 @@
-"""The training-data pipeline (stages are filled in as the operators arrive)."""
+"""The training-data pipeline: each stage works on the Parquet that the one before it has written.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, lines, mixing, quality, simhash
+from tessera.llm.common import Scratch
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. Labels of the held-out rows are not learnt from."""
+    return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from the texts; n_chars follows."""
+    kept = lines.dedup(docs, min_sites=10).drop("ld_lines", "ld_removed")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.Mix(docs).repeated(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and the text that they decode to."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return bpe.decode(tokens, vocabulary).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", F.lit("UTF-8")).alias("text"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE", byte_bpe),
+]
+
+#: The classifier, the fingerprints and the tokenizer have no SQL form; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
+    scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.table(docs, f"stage{k}")
+    return docs
