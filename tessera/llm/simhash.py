@@ -150,7 +150,7 @@ def plan(together: np.ndarray, rows: int, max_bits: int) -> Plan:
         return np.cumsum(state.sum(axis=0))[:-1]
 
     best = None
-    for m in range(2, max_bits + 2):
+    for m in range(min(2, max_bits + 1), max_bits + 2):
         left, groups = set(range(64)), []
         for k in range(m):
             width = len(left) // (m - k)
@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_bits: int = 4) -> DataFrame:
-    """docs without those rows whose component has a smaller id. Rows repeated under one id stay or go together; null ids stay."""
+    """docs without those rows whose component has a smaller id. Rows that repeat an id stay if one of them is its component's; null ids stay."""
     found = near_duplicates(docs, id_col, text_col, shingle, seed, max_bits)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    stays = F.bool_or(F.col(id_col) == F.col("component_id"))
+    gone = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("_stays")).filter("not _stays").select(id_col)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
