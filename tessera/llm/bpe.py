@@ -202,7 +202,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(content.value, pattern)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 1 << 20):
             found = encoder.encode_all(batch.column(columns.index(text_col)).to_pylist())
             ends = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=ends[1:])
