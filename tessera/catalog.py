@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registry, retrieval  # noqa: F401  the plans register themselves
+from .plans import registry, retrieval, reviews  # noqa: F401  the plans register themselves
 
 FLAGSHIP = "I5_hybrid_search"
 

@@ -168,10 +168,10 @@ def _(spark, sf):
     return hit.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("I8_rerank_blend", f"with {HYBRID_SQL}, b as (select query_id, id, round(0.5 * score + 0.5 * ((id % 10) / 10.0::double), 8) score from hs) select query_id, rank::int as rank, id, score from (select *, {RANK_SQL} as rank from b) where rank <= 5")
+@query("I8_rerank_blend", f"with {HYBRID_SQL}, b as (select query_id, id, round(0.5::double * score + 0.5::double * ((id % 10) / 10.0::double), 6) score from hs) select query_id, rank::int as rank, id, score from (select *, {RANK_SQL} as rank from b) where rank <= 5")
 def _(spark, sf):
     scored = _boosted(spark, sf).withColumn("ce", (F.col("id") % 10) / 10)
-    return R.ranked(R.blended(scored).withColumn("score", F.round("score", 8)), 5).select("query_id", "rank", "id", "score")
+    return R.ranked(R.blended(scored).withColumn("score", F.round("score", 6)), 5).select("query_id", "rank", "id", "score")
 
 
 PLACE_SQL = "placed as (select id, book_id, row_number() over (partition by book_id order by pos, id) place from chunks)"

@@ -93,10 +93,10 @@ SUBJECTS = ("os", "cn", "dbms")
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     """(id, name): a topic for each region, with one whose name needs trimming and case folding."""
-    return table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit(" "), F.initcap("r_name")).alias("name"))
+    return table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.concat(F.lit(" "), "r_name").alias("name"))
 
 
-TOPICS_SQL = "topics as (select r_regionkey::bigint id, ' ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) as name from region)"
+TOPICS_SQL = "topics as (select r_regionkey::bigint id, ' ' || r_name as name from region)"
 
 
 def cards(spark: SparkSession, sf: str) -> DataFrame:
