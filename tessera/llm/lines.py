@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 BAND = 0.10  # six standard errors of a sketch of 2^12 registers
 
 
@@ -48,7 +50,8 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, keep_first: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text_col, and ld_lines, ld_removed: how many lines each row had and lost."""
-    lines = exploded(docs, id_col, text_col, site_col)
+    scratch = Scratch(docs.sparkSession)
+    lines = scratch.table(exploded(docs, id_col, text_col, site_col), "lines")  # hashes and places only: texts are read twice in all
     hit = lines.join(spread(lines, min_sites), ["_h1", "_h2"])
     if keep_first:
         hit = hit.filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("first")))
