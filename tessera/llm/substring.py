@@ -1,6 +1,6 @@
 """Exact substring deduplication by level-wise doubling.
 
-Level one looks at runs of (length + 1) // 2 words, level two at windows of `length` words, and each further level at twice
+Level one looks at runs of length // 2 words, level two at windows of `length` words, and each further level at twice
 the length before; only what repeats in another document at one level is extended to the next.
 
 - Level one is thinned without loss: of each window of `length` words the run with the least hash (leftmost on ties) is its
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .common import Scratch, raw, slices, window_hashes, word_hashes, words
 
 def _anchors(h: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of `length` words inside one text: its start, and its anchor's word number. first: words before each text."""
-    half = (length + 1) // 2
+    half = max(1, length // 2)
     n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -79,7 +80,7 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
             _, at = _anchors(h, first, length)
             at = np.unique(at)
             doc = np.searchsorted(first, at, side="right") - 1
-            seed = window_hashes(h, (length + 1) // 2)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+            seed = window_hashes(h, max(1, length // 2))[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(seed), batch.column(0).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32))], names=["seed", id_col, "pos"])
 
     schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema[id_col], T.StructField("pos", T.IntegerType())])
@@ -94,10 +95,12 @@ def repeated(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 
 def windows(texts: DataFrame, marked: DataFrame, id_col: str, length: int) -> DataFrame:
     """(h, x, id, pos): the windows whose anchor's position is in marked(id, at array), named by 96 bits."""
-    joined = texts.join(marked, id_col).select(id_col, "z", "at")
+    # an outer join, as in dedup(): both then read one and the same shuffle of the texts
+    joined = texts.join(marked.withColumnRenamed(id_col, "_id"), F.col(id_col) == F.col("_id"), "left").select(id_col, "z", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "z", 1 << 20):
+            batch = batch.filter(pc.and_(batch.column(1).is_valid(), batch.column(2).is_valid()))
             data, offsets = _texts(batch, 1)
             starts, ends, first = words(data, offsets)
             h = word_hashes(data, starts, ends)
@@ -123,18 +126,17 @@ def doubled(level: DataFrame, id_col: str, length: int) -> DataFrame:
     return left.join(right, [id_col, "pos"]).select(F.xxhash64("h", "x", "h2", "x2").alias("h"), F.hash("x2", "h2", "x", "h").alias("x"), id_col, "pos")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
-    """(h, x, id, pos, least): every window of `length` words that several documents share; least: the smallest id that has it."""
+def repeats(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
+    """texts: packed(docs). (h, x, id, pos, least): every window of `length` words that several documents share; least: the smallest id that has it."""
     seeds = repeated(anchors(docs, id_col, text_col, length), ["seed"], id_col)
     marked = seeds.groupBy(id_col).agg(F.collect_list("pos").alias("at"))
-    texts = packed(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     return repeated(windows(texts, marked, id_col, length), ["h", "x"], id_col)
 
 
 def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """(id, pos, words): for each document, the first of its longest windows (length, twice that, ...) that another document shares."""
     scratch = Scratch(docs.sparkSession)
-    level = scratch.table(repeats(docs, scratch, id_col, text_col, length).drop("least"), "level")
+    level = scratch.table(repeats(docs, packed(docs, id_col, text_col), id_col, text_col, length).drop("least"), "level")
     found, size = None, length
     while not level.isEmpty():
         own = level.groupBy(id_col).agg(F.min("pos").alias("pos")).withColumn("words", F.lit(size))
@@ -147,10 +149,9 @@ def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept, spans): kept is the remaining words joined by single spaces; spans are the removed word ranges."""
-    scratch = Scratch(docs.sparkSession)
-    found = repeats(docs, scratch, id_col, text_col, length).filter(F.col(id_col) > F.col("least"))
-    marks = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("pos").alias("at"))
     texts = packed(docs, id_col, text_col)
+    found = repeats(docs, texts, id_col, text_col, length).filter(F.col(id_col) > F.col("least"))
+    marks = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("pos").alias("at"))
     joined = texts.join(marks, F.col(id_col) == F.col("_id"), "left").select(id_col, "z", "at")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(span))])
