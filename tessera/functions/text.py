@@ -19,6 +19,11 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's variable is not evaluated again where it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(text: Column, needles) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needles))
 
