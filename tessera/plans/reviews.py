@@ -9,7 +9,6 @@ from ..operators import reviews as R
 from ..sources import relations as S
 from .registry import query
 
-NOW = F.lit(S.NOW).cast("timestamp")
 N = f"timestamp '{S.NOW}'"
 STATES_SQL = f"""{S.ATTEMPTS_SQL}, seq as (select *, row_number() over (partition by user_id, card_id order by attempted_at, id) n from attempts),
   fold as (select user_id, card_id, 0::bigint n, 0::int repetitions, 0::int interval_days, 2.5::double ease_factor, 0::int lapses from (select distinct user_id, card_id from seq)
@@ -21,6 +20,12 @@ STATES_SQL = f"""{S.ATTEMPTS_SQL}, seq as (select *, row_number() over (partitio
   lasts as (select user_id, card_id, max(attempted_at) last_reviewed_at, count(*) reviews from attempts group by all),
   states as (select f.user_id, f.card_id, repetitions, interval_days, ease_factor, lapses, last_reviewed_at, last_reviewed_at + to_days(interval_days) due_at, reviews
     from fold f join lasts l on l.user_id = f.user_id and l.card_id = f.card_id and l.reviews = f.n)"""
+
+
+def _now():
+    return F.lit(S.NOW).cast("timestamp")
+
+
 BASE = f"with recursive {STATES_SQL}, {S.TOPICS_SQL}, {S.CARDS_SQL}, {S.IDENTITIES_SQL}"
 MASTERY_SQL = f"""{BASE}, att as (select a.*, subject, topic_key, row_number() over (partition by user_id, subject, topic_key order by attempted_at desc, a.id desc) r from attempts a join identities i using (card_id)),
   tried as (select user_id, subject, topic_key, count(*) attempt_count, avg(quality) avg_quality, avg(quality) filter (r <= 3) - avg(quality) recent_trend, max(attempted_at) last_reviewed_at from att group by all),
@@ -40,7 +45,7 @@ def _states(spark, sf):
 
 
 def _mastery(spark, sf):
-    return R.mastery(S.attempts(spark, sf), _states(spark, sf), S.identities(S.cards(spark, sf), S.topics(spark, sf)), NOW)
+    return R.mastery(S.attempts(spark, sf), _states(spark, sf), S.identities(S.cards(spark, sf), S.topics(spark, sf)), _now())
 
 
 @query("H5_sm2_states", f"{BASE} select user_id, card_id, repetitions, interval_days, round(ease_factor, 6) ease_factor, lapses, due_at from states")
@@ -51,7 +56,7 @@ def _(spark, sf):
 @query("F4_next_cards", f"""{BASE}, c as (select u.user_id, c.id card_id, s.due_at, s.card_id is null is_new from (select distinct user_id from attempts) u cross join cards c left join states s on s.user_id = u.user_id and s.card_id = c.id where s.card_id is null or s.due_at <= {N})
   select user_id, position, card_id, is_new from (select *, row_number() over (partition by user_id order by is_new, due_at, card_id)::int as position from c) where position <= 40""")
 def _(spark, sf):
-    return R.next_cards(S.attempts(spark, sf).select("user_id").distinct(), S.cards(spark, sf), _states(spark, sf), NOW, 40)
+    return R.next_cards(S.attempts(spark, sf).select("user_id").distinct(), S.cards(spark, sf), _states(spark, sf), _now(), 40)
 
 
 @query("C4_new_cards_anti_join", f"{BASE} select c.id from cards c anti join states s on s.card_id = c.id")
@@ -62,7 +67,7 @@ def _(spark, sf):
 @query("C3_due_left_join", f"{BASE} select c.id, count(s.user_id) states, count(*) filter (s.due_at <= {N}) due from cards c left join states s on s.card_id = c.id group by c.id")
 def _(spark, sf):
     s = _states(spark, sf).withColumnRenamed("card_id", "id")
-    return S.cards(spark, sf).select("id").join(s, "id", "left").groupBy("id").agg(F.count("user_id").alias("states"), F.count_if(F.col("due_at") <= NOW).alias("due"))
+    return S.cards(spark, sf).select("id").join(s, "id", "left").groupBy("id").agg(F.count("user_id").alias("states"), F.count_if(F.col("due_at") <= _now()).alias("due"))
 
 
 @query("C2_states_semi_join", f"{BASE} select user_id, card_id, lapses from states semi join (select id from cards where difficulty = 'hard') c on states.card_id = c.id")
@@ -98,12 +103,12 @@ def _(spark, sf):
 @query("D2_topic_stats", f"""{BASE}, named as (select c.id card_id, coalesce(t.name, 'unknown') topic from cards c left join topics t on t.id = c.topic_id), totals as (select topic, count(*) total from named group by topic)
   select user_id, topic, any_value(total) total, count(*) filter (repetitions > 0) learned, count(*) filter (due_at::date = {N}::date) due_today, count(*) filter (due_at::date < {N}::date) overdue from states join named using (card_id) join totals using (topic) group by user_id, topic""")
 def _(spark, sf):
-    return R.topic_stats(S.cards(spark, sf), S.topics(spark, sf), _states(spark, sf), NOW)
+    return R.topic_stats(S.cards(spark, sf), S.topics(spark, sf), _states(spark, sf), _now())
 
 
 @query("D4_due_counts", f"{BASE} select user_id, count(*) filter (due_at <= {N}) due_count, count(*) filter (due_at::date < {N}::date) overdue_count from states group by user_id")
 def _(spark, sf):
-    return _states(spark, sf).groupBy("user_id").agg(F.count_if(F.col("due_at") <= NOW).alias("due_count"), F.count_if(F.to_date("due_at") < F.to_date(NOW)).alias("overdue_count"))
+    return _states(spark, sf).groupBy("user_id").agg(F.count_if(F.col("due_at") <= _now()).alias("due_count"), F.count_if(F.to_date("due_at") < F.to_date(_now())).alias("overdue_count"))
 
 
 @query("E1_recent_trend", f"{MASTERY_SQL} select user_id, subject, topic_key, attempt_count, round(avg_quality, 6) avg_quality, round(recent_trend, 6) recent_trend from tried")
@@ -165,7 +170,7 @@ def _(spark, sf):
 @query("E8_latest_per_user", f"with {S.ATTEMPTS_SQL} select user_id, max(attempted_at) updated_at, date_diff('second', max(attempted_at), {N}) > 300 stale from attempts group by user_id")
 def _(spark, sf):
     a = S.attempts(spark, sf).groupBy("user_id").agg(F.max("attempted_at").alias("updated_at"))
-    return a.withColumn("stale", F.timestamp_diff("SECOND", F.col("updated_at"), NOW) > 300)
+    return a.withColumn("stale", F.timestamp_diff("SECOND", F.col("updated_at"), _now()) > 300)
 
 
 @query("B12_card_projection", f"with {S.CARDS_SQL} select id, coalesce(variant_of_card_id, id) canonical_id, coalesce(variant_of_card_id, id) <> id is_variant, question from cards")
@@ -235,7 +240,7 @@ def _(spark, sf):
 def _topic_rows(spark, sf):
     t = S.topics(spark, sf).select(F.col("id").alias("topic_id"), F.col("name").alias("topic"))
     named = S.cards(spark, sf).select(F.col("id").alias("card_id"), "topic_id").join(t, "topic_id")
-    day, today = F.to_date("due_at"), F.to_date(NOW)
+    day, today = F.to_date("due_at"), F.to_date(_now())
     st = _states(spark, sf).join(named, "card_id").groupBy("user_id", "topic").agg(F.count("*").alias("total"), F.count_if(F.col("repetitions") > 0).alias("learned"), F.count_if(day == today).alias("due_today"), F.count_if(day < today).alias("overdue"))
     label = F.when(F.col("overdue") > 0, F.lit("Overdue")).when(F.col("due_today") > 0, F.lit("Due")).otherwise(F.lit("Stable"))
     return st.select("user_id", "topic", (F.col("due_today") + F.col("overdue")).alias("queue"), F.floor(F.col("learned") * 100 / F.col("total") + 0.5).cast("int").alias("progress"), label.alias("label"))
