@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and the text that they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    return bpe.decode(tokens, vocabulary).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
+    tokens = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], decoded_col="decoded")
+    return tokens.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
 STAGES = [

@@ -20,6 +20,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -192,42 +193,63 @@ class Encoder:
         return ids[:kept] + self.encode(text[at:] + more)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all by default) and out_col: array of token ids. vocabulary: path of a rank file that the driver reads; its fixed-size content goes to the executors."""
+def _content(spark, vocabulary: str):
+    """The rank file, read on the driver; its fixed-size content goes to the executors."""
     with open(vocabulary, "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _table(content: bytes) -> list[bytes | None]:
+    by_id = {int(b): base64.b64decode(a) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+    return [by_id.get(i) for i in range(max(by_id, default=-1) + 1)]
+
+
+def _decoded(table: list[bytes | None], flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each list of ids. ends: where the lists begin and end in flat."""
+    flat = flat.tolist()
+    return pa.array([b"".join([table[i] for i in flat[a:b]]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.binary())
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
+    """The columns in keep (all by default) and out_col: array of token ids. vocabulary: path of a rank file on the driver.
+
+    decoded_col: also decodes the ids, in the same pass and the same worker, into a column of bytes.
+    """
+    content = _content(docs.sparkSession, vocabulary)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (out_col, decoded_col)]  # columns of these names are replaced
+    more = [T.StructField(decoded_col, T.BinaryType())] if decoded_col else []
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out_col, T.ArrayType(T.IntegerType())), *more])
     columns = list(dict.fromkeys([*keep, text_col]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(content.value, pattern)
+        table = _table(content.value) if decoded_col else None
         for batch in slices(batches, text_col, 1 << 20):
             found = encoder.encode_all(batch.column(columns.index(text_col)).to_pylist())
             ends = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=ends[1:])
             flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+            del found
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), ids], names=[f.name for f in schema])
+            back = [_decoded(table, flat, ends)] if decoded_col else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), ids, *back], names=[f.name for f in schema])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns and out_col: the bytes that the ids stand for."""
-    with open(vocabulary, "rb") as f:
-        content = tokens.sparkSession.sparkContext.broadcast(f.read())
+    content = _content(tokens.sparkSession, vocabulary)
     schema = T.StructType([*tokens.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {int(b): base64.b64decode(a) for a, b in (line.split() for line in content.value.splitlines() if line.strip())}
-        table = [by_id.get(i) for i in range(max(by_id) + 1)]
+        table = _table(content.value)
         for batch in batches:
             for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
                 col = part.column(at)
-                flat, ends = col.flatten().to_numpy(zero_copy_only=False).tolist(), [0, *np.cumsum(np.nan_to_num(np.array([len(x) if x is not None else 0 for x in col]))).astype(int).tolist()]
-                out = [b"".join([table[i] for i in flat[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[f.name for f in schema])
+                sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                out = _decoded(table, col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[f.name for f in schema])
 
     return tokens.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,12 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_roots: list[str] = []
+
+
+def _tidy() -> None:
+    """At the end of the driver's process: deletes the tables that results were read from, if Spark still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for root in _roots:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may end first
+        return
+
+
 class Scratch:
     """Intermediate tables in the shared folder. A written table cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
+        if not _roots:
+            atexit.register(_tidy)
+        _roots.append(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -52,7 +73,7 @@ class Scratch:
                     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text of each slice is about max_bytes (one row at least): bounded memory for any text length."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
@@ -109,7 +130,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 22)
+        size = 1 << max(20, (n - 1).bit_length())
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)

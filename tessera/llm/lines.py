@@ -7,8 +7,7 @@ but for their very first occurrence (keep_first), so that text that is copied ev
 
 Nulls and edge cases: a null text stays null and has no lines; blank lines are neither counted nor removed; a null site
 is a site of its own; a null id sorts first; rows that repeat an id with the same text lose the same lines; a document may lose all
-lines and keeps an empty text; columns called like the working columns (leading underscore and 'ld_') are the only reserved
-names. An empty table gives an empty result.
+lines and keeps an empty text; other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,13 +55,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     if keep_first:
         hit = hit.filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy(F.col("_id").alias("_gid"), F.col("_t").alias("_gt")).agg(F.collect_set("_pos").alias("_gone"))
-    on = F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gt"))
-    joined = docs.withColumn("_th", F.xxhash64(F.col(text_col))).join(gone, on, "left")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text_col))))
+    row = F.struct(*docs.columns).alias("_row")  # one column, so that no name of docs can clash
+    text = F.col("_row")[text_col]
+    joined = docs.select(row).withColumn("_th", F.xxhash64(text))
+    joined = joined.join(gone, F.col("_row")[id_col].eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gt")), "left")
+    kept = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.when(F.col("_gone").isNull(), text).otherwise(kept)
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
     return joined.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
+        *((kept if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns),
         n.cast("long").alias("ld_lines"),
         F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("ld_removed"),
     )

@@ -4,10 +4,10 @@ Documents are aggregated by membership pattern (the set of sources that they bel
 to the sources' quotas; the first pass over a pattern is free and each further one costs more (convex repetition costs),
 so repetition is used only where quotas cannot be met otherwise. The flow network has one node for each pattern and
 source, which the mixture's specification bounds, not the corpus. Inside a pattern every document is taken in whole passes, and
-the rest of the pattern's flow goes to documents in a seeded order, up to the rest, and then to the one further document that
-closes the remaining gap best.
+the rest of the pattern's flow goes to documents in a seeded order, up to the rest, and then to a few further documents that close
+the remaining gap.
 
-The seeded order is not sorted as a whole: sums by 4096 ranges of the order's hash locate the cut, and only the range that
+The seeded order is not sorted as a whole: sums by 4,096 ranges of the order's hash locate the cut, and only the range that
 holds the cut is ordered. Reruns agree, as orders depend on ids alone.
 
 Nulls and edge cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
-RANGES = 4096
+GAP_ROUNDS = 8
+_PICKS = "array<struct<_order:long,_key:string>>"
 WEIGHTS = (3, 1, 2)
 
 
@@ -111,7 +112,7 @@ class Mix:
         }
         self.columns["_order"] = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), self.columns["_key"])), 1, 15), 16, 10).cast("long")
         scratch = Scratch(spark)
-        self.rows = rows = scratch.table(docs.select(F.col(id_col), *(c.alias(n) for n, c in self.columns.items())), "sizes")
+        self.rows = rows = scratch.table(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in self.columns.items())), "sizes")
         ranges = rows.groupBy("_pattern", F.shiftright("_order", 48).alias("_range")).agg(F.sum("_size").alias("words"))
         ranges = scratch.table(ranges, "ranges")
         patterns = {tuple(json.loads(r[0])): r[1] for r in ranges.groupBy("_pattern").agg(F.sum("words")).collect()}
@@ -141,25 +142,41 @@ class Mix:
         )
         cuts = fits.select("_pattern", F.coalesce("last", F.struct((F.shiftleft("range", 48) - 1).alias("_order"), F.lit("").alias("_key"))).alias("last"), (F.col("rest") - F.col("got")).alias("gap"))
         cuts = scratch.table(cuts, "cuts")  # one row for each pattern
-        left = rows.join(F.broadcast(cuts), "_pattern").filter((F.struct("_order", "_key") > F.col("last")) & (F.col("_size") > 0) & (F.col("_size") < 2 * F.col("gap")))
-        more = left.groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("gap")).alias("off"), F.col("_order"), F.col("_key"))).alias("more"))
-        found = {r["_pattern"]: r for r in cuts.join(more, "_pattern", "left").collect()}
-        self.cuts = [(p, passes, *((found[p].last["_order"], found[p].last["_key"]) if p in found else (-1, "")), *((found[p].more["_order"], found[p].more["_key"]) if p in found and found[p].more else (None, None))) for p, passes, _ in plan]
+        # up to GAP_ROUNDS further documents: the largest that fits, again and again, and at last the one that comes closest
+        state = {r["_pattern"]: {"last": (r["last"]["_order"], r["last"]["_key"]), "gap": r["gap"], "more": []} for r in cuts.collect()}
+        for k in range(GAP_ROUNDS):
+            open_ = [(p, x["gap"], *x["last"], x["more"]) for p, x in state.items() if x["gap"] > 0]
+            if not open_:
+                break
+            asked = F.broadcast(spark.createDataFrame(open_, f"_pattern string, _gap long, _cut long, _cut_key string, _more {_PICKS}"))
+            key = F.struct("_order", "_key")
+            left = rows.join(asked, "_pattern").filter((key > F.struct(F.col("_cut").alias("_order"), F.col("_cut_key").alias("_key"))) & ~F.array_contains("_more", key) & (F.col("_size") > 0))
+            if k < GAP_ROUNDS - 1:
+                left, off = left.filter("_size <= _gap"), -F.col("_size")
+            else:
+                left, off = left.filter("_size < 2 * _gap"), F.abs(F.col("_size") - F.col("_gap"))
+            for r in left.groupBy("_pattern").agg(F.min(F.struct(off.alias("off"), F.col("_order"), F.col("_key"), F.col("_size"))).alias("m")).collect():
+                state[r["_pattern"]]["gap"] -= r["m"]["_size"]
+                state[r["_pattern"]]["more"].append((r["m"]["_order"], r["m"]["_key"]))
+        none = {"last": (-1, ""), "more": []}
+        self.cuts = [(p, passes, *state.get(p, none)["last"], state.get(p, none)["more"]) for p, passes, _ in plan]
         self.spark = spark
 
     def with_taken(self, rows: DataFrame) -> DataFrame:
         """rows that have the working columns, and _taken: how many times each is taken as a whole."""
-        cuts = F.broadcast(self.spark.createDataFrame(self.cuts, "_pattern string, _passes long, _cut long, _cut_key string, _more long, _more_key string"))
+        cuts = F.broadcast(self.spark.createDataFrame(self.cuts, f"_pattern string, _passes long, _cut long, _cut_key string, _more {_PICKS}"))
         key = F.struct("_order", "_key")
-        chosen = (key <= F.struct(F.col("_cut").alias("_order"), F.col("_cut_key").alias("_key"))) | F.coalesce((F.col("_order") == F.col("_more")) & (F.col("_key") == F.col("_more_key")), F.lit(False))
+        chosen = (key <= F.struct(F.col("_cut").alias("_order"), F.col("_cut_key").alias("_key"))) | F.array_contains("_more", key)
         times = F.least(F.col("_passes") + chosen.cast("long"), F.lit(self.most))
-        return rows.join(cuts, "_pattern").withColumn("_taken", times).drop("_passes", "_cut", "_cut_key", "_more", "_more_key")
+        return rows.join(cuts, "_pattern").withColumn("_taken", times).drop("_passes", "_cut", "_cut_key", "_more")
 
     def taken(self) -> DataFrame:
         """(id, pattern, size, taken): the words that the mix takes of each document, repeats counted."""
-        return self.with_taken(self.rows).select(self.id_col, F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), (F.col("_size") * F.col("_taken")).alias("taken"))
+        return self.with_taken(self.rows).select(F.col("_id").alias(self.id_col), F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), (F.col("_size") * F.col("_taken")).alias("taken"))
 
     def repeated(self, docs: DataFrame) -> DataFrame:
         """The mixed documents: each row as many times as it is taken. Decided where the texts are read, without a shuffle."""
-        rows = docs.withColumns(self.columns)
-        return self.with_taken(rows).filter("_taken > 0 and _size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken")))).select(*docs.columns)
+        row = F.struct(*docs.columns).alias("_row")  # one column, so that no name of docs can clash
+        rows = docs.select(row, *(c.alias(n) for n, c in self.columns.items()))
+        taken = self.with_taken(rows).filter("_taken > 0 and _size > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_taken"))))
+        return taken.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -61,8 +61,8 @@ def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, keep=["doc_id"])
-    return bpe.decode(tokens, vocabulary).select(
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, keep=["doc_id"], decoded_col="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -150,11 +150,19 @@ def oracle_sql() -> dict[str, str]:
             q as (select *, floor(target + 0.5)::bigint quota, case when source_size = 0 then 0 else floor(target + 0.5)::bigint // source_size end passes from t),
             r as (select *, quota - passes * source_size rest from q),
             c as (select d.*, r.source_size, r.target, r.passes, r.rest, sum(d.size) over (partition by d.source order by u, doc_id::varchar, d.size) as total from d join r on d.source is not distinct from r.source),
-            g as (select source, rest - coalesce(max(total) filter (total <= rest), 0) gap from c group by source, rest),
-            e as (select c.source, min({'off': abs(c.size - g.gap), 'u': u, 'k': doc_id::varchar}) best from c join g on c.source is not distinct from g.source
-                  where c.total > c.rest and c.rest > 0 and c.size > 0 and c.size < 2 * g.gap group by c.source)
-            select c.doc_id, c.size, c.source_size, c.target, (c.size * (passes + case when (rest > 0 and total <= rest) or (e.best is not null and e.best.u = u and e.best.k = doc_id::varchar) then 1 else 0 end))::bigint taken
-            from c left join e on c.source is not distinct from e.source""",
+            g0 as (select source, rest - coalesce(max(total) filter (total <= rest), 0) gap, []::struct(u bigint, k varchar)[] more from c where rest > 0 group by source, rest),
+            """
+        + ",\n            ".join(
+            f"""e{i} as (select c.source, min({{'off': {off}, 'u': u, 'k': doc_id::varchar, 's': c.size}}) b from c join g{i - 1} g on c.source is not distinct from g.source
+                  where c.total > c.rest and c.size > 0 and g.gap > 0 and {fits} and not list_contains(g.more, {{'u': u, 'k': doc_id::varchar}}) group by c.source),
+            g{i} as (select g.source, gap - coalesce(b.s, 0) gap, case when b is null then more else list_append(more, {{'u': b.u, 'k': b.k}}) end more from g{i - 1} g left join e{i} e on g.source is not distinct from e.source)"""
+            for i, off, fits in [*((k, "-c.size", "c.size <= g.gap") for k in range(1, mixing.GAP_ROUNDS)), (mixing.GAP_ROUNDS, "abs(c.size - g.gap)", "c.size < 2 * g.gap")]
+        )
+        + """
+            select c.doc_id, c.size, c.source_size, c.target, (c.size * (passes + case when (rest > 0 and total <= rest) or list_contains(g.more, {'u': u, 'k': doc_id::varchar}) then 1 else 0 end))::bigint taken
+            from c left join g"""
+        + str(mixing.GAP_ROUNDS)
+        + " g on c.source is not distinct from g.source",
         "op2_exact_topk": """
             with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) e from embeddings
                        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),

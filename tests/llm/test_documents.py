@@ -153,8 +153,9 @@ def test_bpe(docs):
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     tokens = bpe.encode(docs, path, public_tokenizers.PATTERN)
     got = bpe.decode(tokens, path).collect()
-    assert len(got) == docs.count()
-    for r in got:
+    once = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "text"], decoded_col="decoded").collect()
+    assert len(got) == len(once) == docs.count()
+    for r in got + once:
         assert r.ids == other.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
@@ -193,6 +194,17 @@ def test_lines(docs):
     assert got == sorted(want) and any(x[2] for x in want)
 
 
+def test_clashing_columns(unique):
+    """Columns that are called like working columns pass through."""
+    odd = unique.select("doc_id", "text", "source", *(F.lit(k).alias(c) for k, c in enumerate(("_row", "_size", "_taken", "_gone", "_th", "_id", "fp", "_stays", "_label", "z"))))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    n = odd.count()
+    assert lines.dedup(odd).count() == n and lines.dedup(odd).select(*odd.columns).columns == odd.columns
+    assert mixing.Mix(odd).taken().count() == n and mixing.Mix(odd).repeated(odd).columns == odd.columns
+    assert simhash.drop_near_duplicates(odd).columns == odd.columns and substring.dedup(odd).count() == n
+    assert bpe.encode(odd.withColumn("ids", F.lit(1)), path, public_tokenizers.PATTERN).count() == n
+
+
 def test_mixing_targets_and_flow():
     found = mixing.targets({"b": 10, "a": 100, None: 40, "c": 50})
     assert [s.name for s in found] == ["a", "b", "c", None] and [s.weight for s in found] == [3, 1, 2, 3]
