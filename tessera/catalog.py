@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, graph, merge, questions, registry, retrieval, reviews, sources  # noqa: F401  the plans register themselves
+from .plans import corpus, graph, merge, models, questions, registry, retrieval, reviews, sources  # noqa: F401  the plans register themselves
 
 FLAGSHIP = "I5_hybrid_search"
 

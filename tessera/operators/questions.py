@@ -147,3 +147,11 @@ def batches(q: DataFrame, max_rows: int = 20, max_chars: int = 24000, group: str
 
     return q.select(group, "id", "chars").groupBy(group).applyInPandas(pack, q.select(group, "id").schema.add("batch", "integer"))
 
+
+
+def auto_linked(q: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
+    """q(id, source_chunk_id), hits(id, rank, chunk_id) -> (id, linked): the k best chunks; the source goes first if it is not among them."""
+    best = hits.filter(F.col("rank") <= k).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"]).alias("found"))
+    rows = q.join(best, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    own = F.when(F.col("source_chunk_id").isNotNull() & ~F.array_contains("found", F.col("source_chunk_id")), F.array("source_chunk_id")).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", F.slice(F.concat(own, "found"), 1, k).alias("linked"))

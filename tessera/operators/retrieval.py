@@ -63,9 +63,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 8) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
     """vectors(id, v), queries(query_id, q) -> the k nearest by cosine. The stated queries meet the rows in blocks: each query goes once to
-    each block of rows, where its k best are kept, so what is shuffled is k rows for each query and block."""
+    each block of rows, where its k best are kept, so what is shuffled is k rows for each query and block. There are as many blocks as shuffle partitions."""
+    blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     return ranked(rows.join(asked, "block").select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")), k)
@@ -199,3 +200,16 @@ def evaluated(answers: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("missing", F.filter(missing, lambda m: m.isNotNull()))
     return rows.select("query_id", "missing", (F.size("missing") == 0).alias("is_complete"), F.round(F.greatest(F.lit(0.0), 1 - 0.15 * F.size("missing")), 6).alias("confidence"))
+
+
+def widened(hits: DataFrame, answers: DataFrame, k: int = 5, step: int = 5, rounds: int = 2, max_tokens: int = 2000) -> DataFrame:
+    """(query_id, k): how many results a query ends up with if an answer judged incomplete is given `step` more, at most `rounds` times.
+
+    hits(query_id, rank, id, header_path, text) are ranked as deep as k + rounds * step. The rounds are fixed, so they are part of one plan.
+    """
+    now = answers.select("query_id", "answer", F.lit(k).alias("k"))
+    for _ in range(rounds):
+        shown = context(hits.join(now.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k"), max_tokens)
+        judged = evaluated(now.join(shown.select("query_id", "context"), "query_id", "left").withColumn("context", F.coalesce("context", F.lit(""))))
+        now = now.join(judged.select("query_id", "is_complete"), "query_id").select("query_id", "answer", (F.col("k") + F.when(F.col("is_complete"), F.lit(0)).otherwise(F.lit(step))).alias("k"))
+    return now.select("query_id", "k")

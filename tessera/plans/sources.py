@@ -173,7 +173,7 @@ def _(spark, sf):
     e = S.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     got = _streamed(spark, e, lambda s: K.windowed_counts(s, "40 days"), "update")
     last = got.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "_batch").alias("s")).select("start", "event_type", "s.n", F.round("s.total", 4).alias("total"))
-    return last
+    return last.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("K7_batch_twin", f"{BASE} select repetitions, count(*) n from states group by 1")
