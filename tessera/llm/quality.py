@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=schema.names)
 
     texts = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(id_col, "_label", text_col)
-    rows = {r.id: r for r in texts.mapInArrow(run, schema).limit(2 * max_labelled).collect()}  # the sample bounds it; one row for each id
+    own = texts.mapInArrow(run, schema).groupBy("id").agg(F.min(F.struct("label", "x")).alias("r"))  # one row for each id: the sample bounds it
+    rows = {r.id: r.r for r in own.collect()}
     frequency, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + np.float32(0.1)
     rows = [rows[k] for k in sorted(rows)]
