@@ -115,7 +115,8 @@ class Mix:
         self.rows = rows = scratch.table(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in self.columns.items())), "sizes")
         ranges = rows.groupBy("_pattern", F.shiftright("_order", 48).alias("_range")).agg(F.sum("_size").alias("words"))
         ranges = scratch.table(ranges, "ranges")
-        patterns = {tuple(json.loads(r[0])): r[1] for r in ranges.groupBy("_pattern").agg(F.sum("words")).collect()}
+        found = {tuple(json.loads(r[0])): r for r in ranges.groupBy("_pattern").agg(F.sum("words")).collect()}
+        patterns = {p: r[1] for p, r in found.items()}
         sizes: dict[str | None, int] = {}
         for p, size in patterns.items():
             for s in p:
@@ -126,7 +127,7 @@ class Mix:
         for p, size in patterns.items():
             words = sum(routed[p].values())
             passes = words // size if size else 0
-            plan.append((json.dumps(p, separators=(",", ":"), ensure_ascii=False), passes, words - passes * size))
+            plan.append((found[p]["_pattern"], passes, words - passes * size))
         wanted = F.broadcast(spark.createDataFrame(plan, "_pattern string, _passes long, _rest long"))
         before = F.coalesce(F.sum("words").over(Window.partitionBy("_pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         cut = ranges.withColumn("before", before).join(wanted, "_pattern").filter("_rest > 0 and before <= _rest and before + words > _rest").select("_pattern", "_range", "before", "_rest")

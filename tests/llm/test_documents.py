@@ -232,6 +232,8 @@ def test_mixing(docs, unique):
         assert abs(taken[s.name or "null"] - s.target) <= max(1, biggest[s.name or "null"])
     repeated = mix.repeated(unique)
     assert repeated.columns == unique.columns and repeated.count() == sum(r.taken // r.size for r in got if r.size)
+    odd = mixing.Mix(unique.withColumn("source", F.lit('a\x1f"\\/é'))).taken().collect()  # a name that JSON escapes
+    assert len(odd) == unique.count() and any(r.taken for r in odd)
 
 
 def test_quality(spark):
