@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,24 +110,38 @@ def similar_pairs(q: DataFrame, threshold: float = 0.8) -> DataFrame:
     return near.unionByName(copies)
 
 
-def greedy_dedup(q: DataFrame, threshold: float = 0.8, rounds: int = 64) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """df as a checkpoint table in the shared folder; a temporary folder only where spark.checkpoint.dir is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
+def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 200_000) -> DataFrame:
     """q(id, query) in order of id: a question goes if it is similar to one that is kept before it.
 
-    The pairs decide it: an id is kept if none of its earlier partners is, and goes if one of them is kept. Each round settles all ids whose earlier
-    partners are settled; rounds follow the longest chain of similar questions, not the number of questions.
+    All but the first of equal texts go: what keeps or removes the first removes them too. For the rest the pairs decide it: an id is kept if none of
+    its earlier partners is, and goes if one of them is kept. Each round settles all ids whose earlier partners are settled and writes the pairs that
+    are still open; rounds go on until none is, at most `local` open pairs are settled in one pass in order of id.
     """
-    pairs = similar_pairs(q, threshold).persist()
-    kept, gone = q.join(pairs.select(F.col("b").alias("id")), "id", "left_anti").select("id"), q.select("id").limit(0)
-    for _ in range(rounds):
-        new_gone = pairs.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(gone, "id", "left_anti")
-        gone = gone.unionByName(new_gone).distinct().persist()
-        settled = kept.unionByName(gone)
-        open_ = q.select("id").join(settled, "id", "left_anti")
-        blocked = pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("b").alias("id")).distinct()
-        fresh = open_.join(blocked, "id", "left_anti").persist()
-        if fresh.isEmpty():
-            break
-        kept = kept.unionByName(fresh).persist()
+    text = F.lower(F.trim("query"))
+    rows = q.select("id", text.alias("t"))
+    copies = rows.join(rows.groupBy("t").agg(F.min("id").alias("a")), "t").filter("id <> a").select("id")
+    gone = _written(copies)
+    pairs = _written(similar_pairs(q.join(gone, "id", "left_anti"), threshold))
+    while n := pairs.count():
+        if n <= local:
+            kept_not = set()
+            for a, b in sorted(map(tuple, pairs.select("a", "b").collect())):
+                if a not in kept_not:
+                    kept_not.add(b)
+            new = q.sparkSession.createDataFrame([(b,) for b in kept_not], gone.schema)
+            return q.join(gone.unionByName(new), "id", "left_anti")
+        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        new = _written(pairs.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = _written(gone.unionByName(new))
+        pairs = _written(pairs.join(new.toDF("a"), "a", "left_anti").join(new.toDF("b"), "b", "left_anti").select("a", "b"))
     return q.join(gone, "id", "left_anti")
 
 
