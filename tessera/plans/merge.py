@@ -82,6 +82,14 @@ def _(spark, sf):
     return todo.join(M.last_wins(log, "id", "n"), "id", "left").select("id", "n")
 
 
+@query("A9_resume_all_parts", "select p_partkey id, l.n from part left join (select event_id row_index, max(event_id) n from events group by 1) l on p_partkey = row_index")
+def _(spark, sf):
+    """As A9_checkpoint_resume, without its SQL's limit of ids and with a log whose keys span all parts."""
+    log = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("n"))
+    todo = S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    return todo.join(M.last_wins(log, "id", "n"), "id", "left").select("id", "n")
+
+
 @query("A10_resume_anti_join", "select d.doc_id from documents d anti join labels l on l.doc_id = d.doc_id")
 def _(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id").join(S.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")

@@ -40,6 +40,13 @@ def _(spark, sf):
     return R.dense(rows.filter("id % 7 <> 3"), asked, 5).select("query_id", "rank", "id", "score")
 
 
+@query("I20_search_all_vectors", f"with {VEC_SQL}, r as (select *, {RANK_SQL} as rank from vq where score is not null) select query_id, rank::int as rank, id, score from r where rank <= 5")
+def _(spark, sf):
+    """As I20_incremental_vector_search, over all rows: only a vector that is null takes no part."""
+    rows, asked = _vectors(spark, sf)
+    return R.dense(rows.filter("v is not null"), asked.filter("q is not null"), 5).select("query_id", "rank", "id", "score")
+
+
 @query("J10_reformulated_query", "select conv_id, turn, case when turn % 4 = 2 and length('again ' || turn) > 5 then 'again ' || turn else text end query from conversations where role = 'user'")
 def _(spark, sf):
     t = S.table(spark, sf, "conversations").filter("role = 'user'")
