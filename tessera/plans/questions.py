@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions import text as X
 from ..operators import questions as O
+from ..operators import retrieval as R
 from ..sources import relations as S
 from .registry import query
 from .retrieval import KEY_TERMS_SQL, key_terms
@@ -127,6 +128,15 @@ def _(spark, sf):
     return v.groupBy("t").agg(F.count("*").alias("n")).agg(F.sum("n").alias("valid"), F.count("*").alias("unique_texts"))
 
 
+@query("H12_kept_questions")
+def _(spark, sf):
+    """The whole of H12: valid questions, each linked to its three best chunks, without near-duplicates of kept ones."""
+    valid = O.validated(_questions(spark, sf)).filter("size(errors) = 0")
+    q = valid.select("id", "query", F.when(F.col("id") % 4 != 0, (F.col("id") * 2).cast("string")).alias("source_chunk_id"))
+    hits = R.bm25(S.chunks(spark, sf), q.select(F.col("id").alias("query_id"), "query"), 3).select(F.col("query_id").alias("id"), "rank", F.col("id").cast("string").alias("chunk_id"))
+    return O.greedy_dedup(q.select("id", "query")).select("id").join(O.auto_linked(q, hits), "id").select("id", F.array_join("linked", ",").alias("linked"))
+
+
 @query("H14_final_score", f"with {STRUCTURAL_SQL} select id, round_even(0.9::double * least(100, greatest(0, coalesce(try_cast(llm_interview_score as int), 0))) + 0.1::double * structural, 0)::int score from q2")
 def _(spark, sf):
     llm = F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(F.col("llm_interview_score").try_cast("int"), F.lit(0))))

@@ -40,3 +40,15 @@ def test_copies_and_variants(spark, local):
         rows.append((i, " ".join(rnd.sample(words, 10)) if i % 3 == 0 else rows[-1][1] + f" x{i % 2}"))
     q = spark.createDataFrame(rows, "id long, query string")
     assert sorted(r.id for r in questions.greedy_dedup(q, local=local).collect()) == greedy(rows)
+
+
+def test_kept_questions(spark):
+    from tessera import catalog
+    from tessera.operators import questions as O
+    from tessera.plans.questions import _questions
+
+    sf = "/root/testdata/sf0.001"
+    valid = [(r.id, r.query) for r in O.validated(_questions(spark, sf)).filter("size(errors) = 0").collect()]
+    got = {r.id: r.linked for r in catalog.queries()["H12_kept_questions"](spark, sf).collect()}
+    assert sorted(got) == greedy(valid) and valid
+    assert all(len(x.split(",")) <= 3 and (i % 4 == 0 or str(2 * i) in x.split(",")) for i, x in got.items())
