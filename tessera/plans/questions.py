@@ -122,6 +122,25 @@ def _(spark, sf):
     return O.greedy_dedup(_short_questions(spark, sf)).select("id")
 
 
+def _whole_questions(spark, sf):
+    """Every whole benchmark text, and after it three of four again: as it is, with one more word, or without its last word."""
+    q = S.queries(spark, sf).select(F.col("query_id").alias("id"), "query")
+    k, shorter = F.col("id") % 4, F.regexp_replace("query", r"\s*\S+\s*$", "")
+    varied = F.when(k == 0, F.col("query")).when(k == 1, F.concat("query", F.lit(" now"))).otherwise(shorter)
+    offset = q.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("after"))
+    return q.unionByName(q.filter(k < 3).crossJoin(offset).select((F.col("id") + F.col("after")).alias("id"), varied.alias("query")))
+
+
+@query("O14_whole_texts")
+def _(spark, sf):
+    return O.similar_pairs(_whole_questions(spark, sf))
+
+
+@query("H11_whole_texts")
+def _(spark, sf):
+    return O.greedy_dedup(_whole_questions(spark, sf)).select("id")
+
+
 @query("H12_validate_filter_dedup", f"""with {VALID_SQL}, v as (select id, lower(trim(query)) t from q4 where errors = 0) select count(*) valid, count(distinct t) unique_texts from v""")
 def _(spark, sf):
     v = O.validated(_questions(spark, sf)).filter("size(errors) = 0").select("id", F.lower(F.trim("query")).alias("t"))

@@ -42,6 +42,29 @@ def test_copies_and_variants(spark, local):
     assert sorted(r.id for r in questions.greedy_dedup(q, local=local).collect()) == greedy(rows)
 
 
+def tables(spark, path, n):
+    """Benchmark texts that differ only after a long common beginning."""
+    rnd = random.Random(4)
+    words = [f"v{k}" for k in range(60)]
+    rows = [(i, "all begin with the same six words " + " ".join(rnd.sample(words, rnd.randint(15, 30)))) for i in range(n)] + [(n, None)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_whole_texts(spark, tmp_path):
+    from tessera import catalog
+    from tessera.plans.questions import _whole_questions
+
+    tables(spark, tmp_path, 40)
+    rows = [(r.id, r.query) for r in _whole_questions(spark, str(tmp_path)).collect()]
+    assert len(rows) == 41 + 31 and len({i for i, _ in rows}) == len(rows)
+    kept = sorted(r.id for r in catalog.queries()["H11_whole_texts"](spark, str(tmp_path)).collect())
+    assert kept == greedy(rows) and set(range(40)) <= set(kept)
+    sets = {i: set(t.lower().split()) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.8}
+    got = {(r.a, r.b) for r in catalog.queries()["O14_whole_texts"](spark, str(tmp_path)).collect()}
+    assert {p for p in got if sets[p[0]]} == want and len(want) >= 30
+
+
 def test_kept_questions(spark):
     from tessera import catalog
     from tessera.operators import questions as O
