@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from .common import raw, slices
 
-CACHE_PIECES = 1 << 18  # in each of two generations
+CACHE_PIECES = 1 << 16  # in each of two generations
+STABLE_PAIRS = 1 << 19
 CACHED_BYTES = 64  # longer pieces are encoded each time
 _PAIR = 1 << 32
 _START = -2  # stands before a piece's first token
@@ -62,7 +63,7 @@ class Vocabulary:
         out = self.stable.get(p * _PAIR + t)
         if out is None:
             out = self.merged(self.bytes_of[t]) == [t] if p == _START else self.merged(self.bytes_of[p] + self.bytes_of[t]) == [p, t]
-            if len(self.stable) > 4_000_000:
+            if len(self.stable) > STABLE_PAIRS:
                 self.stable.clear()
             self.stable[p * _PAIR + t] = out
         return out

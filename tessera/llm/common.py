@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,13 @@ _IS_SPACE[list(SPACES)] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder, but only if executors run in the driver's machine."""
     global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _own_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="tessera-")
     return found.rstrip("/")
 
 
@@ -73,17 +76,30 @@ class Scratch:
                     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the text of each slice is about max_bytes (one row at least): bounded memory for any text length."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each slice has about max_bytes of text and max_rows at most (one row at least): what is worked on at once is bounded
+    by these and the longest text. What arrives at once is Spark's to bound: spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default).
+
+    At the end of a task the worker gives freed memory back, as it may wait idle beside the next tasks."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)) if len(col) else np.zeros(0)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+            to = max(at + 1, min(at + max_rows, int(np.searchsorted(ends, base + max_bytes, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+        del batch, col, ends
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        return
 
 
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +131,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+SEGMENT = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -129,22 +146,31 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS[base]
+    """Powers of base and of its inverse. Kept for runs of SEGMENT bytes; a longer word gets its own."""
+    if n <= SEGMENT + 1 and base in _POWERS:
+        return _POWERS[base]
+    size = max(n, SEGMENT + 1)
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    found = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if size == SEGMENT + 1:
+        _POWERS[base] = found
+    return found
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """64-bit hash of each word's bytes: differences of one running polynomial, brought to a common power, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1, base)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """64-bit hash of each word's bytes: differences of a running polynomial, brought to a common power, then mixed. Worked on in runs of about SEGMENT bytes."""
+    out, k = np.zeros(len(starts), np.uint64), 0
+    while k < len(starts):
+        a = int(starts[k])
+        to = max(k + 1, int(np.searchsorted(ends, a + SEGMENT, side="right")))
+        run = data[a : int(ends[to - 1])]
+        up, down = _powers(len(run) + 1, base)
+        total = np.zeros(len(run) + 1, np.uint64)
+        np.cumsum((run.astype(np.uint64) + np.uint64(1)) * up[: len(run)], out=total[1:])
+        out[k:to] = mix((total[ends[k:to] - a] - total[starts[k:to] - a]) * down[starts[k:to] - a])
+        k = to
+    return out
 
 
 def window_hashes(h: np.ndarray, length: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:

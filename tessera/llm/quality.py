@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, slices, window_hashes, word_hashes, words
+from .common import SEGMENT, raw, slices, window_hashes, word_hashes, words
 
 WORD_DIMS, SHAPE_DIMS, MARKS = 1024, 1024, 4
 DIMS = WORD_DIMS + SHAPE_DIMS + MARKS
@@ -34,22 +34,29 @@ for _kind, _codes in ((1, range(97, 123)), (2, range(65, 91)), (3, range(48, 58)
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """texts x DIMS feature counts of a slice of texts."""
+    """texts x DIMS feature counts (float32: exact up to 2^24 of a kind in one text) of a slice of texts."""
     n = len(offsets) - 1
-    out = np.zeros(n * DIMS, np.int64)
+    out = np.zeros((n, DIMS), np.float32)
+
+    def add(at: int, dims: int, text: np.ndarray, feature: np.ndarray) -> None:
+        out[:, at : at + dims] = np.bincount(text * dims + feature, minlength=n * dims).reshape(n, dims)
+
     starts, ends, first = words(data, offsets)
     h = word_hashes(data, starts, ends)
     of = np.repeat(np.arange(n), np.diff(first))
-    out += np.bincount(of * DIMS + (h % np.uint64(WORD_DIMS)).astype(np.int64), minlength=n * DIMS)
+    add(0, WORD_DIMS, of, (h % np.uint64(WORD_DIMS)).astype(np.int64))
     for back in (1, 2):
         same = np.flatnonzero((h[back:] == h[:-back]) & (of[back:] == of[:-back])) if len(h) > back else np.zeros(0, np.int64)
-        out += np.bincount(of[same] * DIMS + WORD_DIMS + SHAPE_DIMS + back - 1, minlength=n * DIMS)
-    grams = window_hashes(_SHAPE[data], 4)
-    if len(grams):
-        text = np.repeat(np.arange(n), np.diff(offsets))
-        whole = text[: len(grams)] == text[3:]
-        out += np.bincount(text[: len(grams)][whole] * DIMS + WORD_DIMS + (grams[whole] % np.uint64(SHAPE_DIMS)).astype(np.int64), minlength=n * DIMS)
-    return out.reshape(n, DIMS)
+        add(WORD_DIMS + SHAPE_DIMS + back - 1, 1, of[same], 0)
+    total = np.zeros(n * SHAPE_DIMS, np.int64)
+    for at in range(0, len(data), SEGMENT):  # 4-grams of shapes, in runs that overlap by three
+        grams = window_hashes(_SHAPE[data[at : at + SEGMENT + 3]], 4)
+        text = np.searchsorted(offsets, np.arange(at, at + len(grams) + 3), side="right") - 1
+        whole = text[: len(grams)] == text[3:] if len(grams) else np.zeros(0, bool)
+        found = text[: len(grams)][whole] * SHAPE_DIMS + (grams[whole] % np.uint64(SHAPE_DIMS)).astype(np.int64)
+        total += np.bincount(found, minlength=n * SHAPE_DIMS)
+    out[:, WORD_DIMS : WORD_DIMS + SHAPE_DIMS] = total.reshape(n, SHAPE_DIMS)
+    return out
 
 
 @dataclass(frozen=True)
@@ -105,7 +112,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS + 1, np.int64)
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 20, 256):
             found = counts(*raw(batch.column(0)))
             total[:DIMS] += (found > 0).sum(axis=0)
             total[DIMS] += len(found)
@@ -124,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 20, 256):
             found = np.minimum(counts(*raw(batch.column(2))), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=schema.names)
 
@@ -150,7 +157,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 20, 256):
             found = shared.value.vote(counts(*raw(batch.column(columns.index(text_col)))), neighbours)
             yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=schema.names)
 
