@@ -1,10 +1,12 @@
-"""Near-duplicates by the exact Jaccard likeness of word shingles: every pair at or above a likeness is linked, whatever its SimHash distance.
+"""Exact links by Jaccard likeness of word shingles: what SimHash near-dedup verifies its candidates by, and what makes its links complete.
 
-Each text is its set of shingle hashes; equal sets are one node. Under one order over all hashes, two sets at least t alike share one of
-their first n - ceil(t * n) + 1 hashes (prefix filter). The order puts hashes that a sample finds in many texts last, so passages that
-many texts share seldom bring texts together; any order finds every pair, only cost changes. Texts that meet are compared with
-the least of their meeting place, components follow, and only places that still hold several components are gone through further: a group of
-near copies, all near the first, costs as many comparisons as it has members, and no pair across components is left out.
+A text is its set of shingle hashes; equal sets are one node. Each node carries a parity sketch of two bits or more a shingle: where two
+sketches differ in x bits, the sets differ in x shingles at least, so most pairs that are not alike are dismissed without their sets, and
+none that is. Pairs that pass are compared by their whole sets.
+
+No SimHash radius holds every pair of a likeness. The rest is found by prefixes: under one order over all hashes, two sets at least t alike
+share one of their first n - ceil(t * n) + 1 hashes. The order puts hashes that a sample finds in many texts last, so passages that many
+texts share seldom bring texts together; any order finds every pair, only cost changes.
 
 Nulls and edge cases: null and wordless texts are the empty set, which equals itself only; a text with fewer words than a shingle is one
 shingle; repeated rows are one node; rows with a null id are kept and link others. An empty table gives an empty result.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,9 @@ from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+SLICE = 256 << 10
+#: Places of ids in the bitmap that says whose sets are wanted: 1 MB, whatever the corpus holds.
+BITMAP = 1 << 23
 
 
 def shingle_sets(col: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -45,104 +50,138 @@ def shingle_sets(col: pa.Array, shingle: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int, with_set: bool = False) -> DataFrame:
-    """(id, node long: digest of the set) for each row, with the set itself on demand."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), *([T.StructField("w", T.ArrayType(T.LongType()))] if with_set else [])])
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 256 << 10):
-            sets = list(shingle_sets(batch.column(1), shingle))
-            digests = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            out = [batch.column(0), pa.array(digests)]
-            if with_set:
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall on each bit, as longs; 64 bits times a power of two, at least two bits a hash. Halves laid over each other give the next smaller sketch."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
 
 
 def common_hashes(docs: DataFrame, id_col: str, text_col: str, shingle: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """The hashes that most rows of a sample hold, sorted, and their counts: at most `most`. They set the order of hashes, not the result."""
-    sample = nodes(docs.filter(F.pmod(F.xxhash64(id_col), F.lit(32)) == 0), id_col, text_col, shingle, True)
-    found = sample.select(F.explode("w").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, SLICE):
+            found = [*shingle_sets(batch.column(0), shingle), np.zeros(0, np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(32)) == 0).select(text_col).mapInArrow(run, "h long")
+    found = sample.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most).toArrow()
     h, n = (found.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
     h = h.view(np.uint64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, node, n): the first hashes of each row's set of n, rare ones first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = hot
-        for batch in slices(batches, text_col, 256 << 10):
-            h, node, n = [], [], []
-            for s in shingle_sets(batch.column(0), shingle):
-                if not len(s):
-                    continue
-                take = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-                own = np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
-                h.append(s[:take])
-                node.append(np.full(take, own))
-                n.append(np.full(take, len(s), np.int32))
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(n))], names=["h", "node", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "h long, node long, n int")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, stars: int = 4) -> DataFrame:
-    """(id, component_id): component_id is the smallest id that chains of pairs at least `similarity` alike reach."""
-    scratch = Scratch(docs.sparkSession)
-    own = scratch.table(nodes(docs, id_col, text_col, shingle), "nodes")
-    least = own.groupBy("node").agg(F.min(id_col).alias("least"))
-    firsts = prefixes(docs, text_col, shingle, similarity, common_hashes(docs, id_col, text_col, shingle))
-    lo, hi = F.expr("min(node) over (partition by h)"), F.expr("max(node) over (partition by h)")
-    places = scratch.table(firsts.select("h", "node", "n", lo.alias("lo"), hi.alias("hi")).filter("lo <> hi").select("h", "node", "n").distinct(), "places")
-    met = places.select("node").distinct()
-    ids = own.join(met, "node").groupBy("node").agg(F.min(id_col).alias(id_col)).select(F.col(id_col).alias("_id")).distinct()
-    told = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi")
-    sets = scratch.table(nodes(told, id_col, text_col, shingle, True).select("node", "w").join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) that are at least `similarity` alike."""
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+def prefix(s: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The hashes, rare ones first, of which any set at least `similarity` alike shares one of its own."""
+    if not len(s):
+        return s
+    known, often = hot
+    take = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+    return s[:take]
+
+
+def wanted(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of ids(id). Its words are put together on the executors; its size is fixed."""
+    words_ = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int").alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
+    found = words_.agg(F.expr("bit_or(shiftleft(1L, at & 31))").alias("bits")).toArrow()
+    out = np.zeros(BITMAP // 32, np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """x, or its halves laid over each other if it is longer than y."""
+    half = (F.size(x) / 2).cast("int")
+    return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+
+class Links:
+    """Verifies pairs of nodes of docs. nodes(node, least, n, sk): each distinct set, with the smallest id that has it."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float):
+        self.docs, self.nodes, self.scratch = docs, nodes, scratch
+        self.id_col, self.text_col, self.shingle, self.similarity = id_col, text_col, shingle, similarity
+
+    def _sets(self, needed: DataFrame) -> DataFrame:
+        """(node, w) of needed(node, id). Only texts whose id is in the bitmap are looked at."""
+        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(wanted(needed.select("id"))))
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.unpackbits(shared.value).view(bool)
+
+            def asked() -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.filter(pa.array(bits[batch.column(0).to_numpy()]))
+
+            for batch in slices(asked(), "text", SLICE):
+                sets = list(shingle_sets(batch.column(1), shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(digests(sets)), lists(sets)], names=["node", "w"])
+
+        rows = self.docs.select(F.pmod(F.xxhash64(self.id_col), F.lit(BITMAP)).alias("at"), F.col(self.text_col).alias("text")).mapInArrow(run, "node long, w array<long>")
+        return rows.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b), a < b -> those that are at least `similarity` alike."""
+        t = self.similarity
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sk").alias(f"s{c}"), F.col("least").alias(f"i{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        differ = F.zip_with(_folded(F.col("sa"), F.col("sb")), _folded(F.col("sb"), F.col("sa")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        apart = F.aggregate(differ, F.lit(0), lambda x, y: x + y)
+        sized = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)
+        near = self.scratch.table(both.filter(sized).filter(apart <= (F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-9).select("a", "b", "ia", "ib"), "near")
+        needed = near.select(F.col("a").alias("node"), F.col("ia").alias("id")).unionByName(near.select(F.col("b").alias("node"), F.col("ib").alias("id"))).distinct()
+        sets = self.scratch.table(self._sets(needed), "sets")
         shared = F.size(F.array_intersect("x", "y"))
-        return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
-
-    sized = (F.col("l.n") >= F.col("r.n") * similarity - 1e-9) & (F.col("r.n") >= F.col("l.n") * similarity - 1e-9)
-    left, found, roots = places.withColumn("root", F.col("node")), None, None
+        whole = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        out = self.scratch.table(whole.filter(shared >= t * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
+        self.scratch.drop(near, sets)
+        return out
+
+
+def complete(found: DataFrame, firsts: DataFrame, links: Links, stars: int = 4) -> DataFrame:
+    """found(a, b): links so far; firsts(h, node, n): prefixes -> found and links that join all that is alike and is not joined yet.
+
+    A place, a hash of several prefixes, counts only while it holds several components. Its foremost node, one of the largest component, is
+    compared with the nodes of other components first, so a large group takes in its stragglers with few comparisons; what is still apart
+    after `stars` such rounds is compared pair by pair across components.
+    """
+    scratch = links.scratch
+    often = firsts.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    left = scratch.table(firsts.join(often, "h", "left_semi"), "places")
+    sized = (F.col("l.n") >= F.col("r.n") * links.similarity - 1e-9) & (F.col("r.n") >= F.col("l.n") * links.similarity - 1e-9)
+    apart = (F.col("l.root") != F.col("r.root")) & sized
     for k in range(stars + 1):
-        first = left.groupBy("h").agg(F.min(F.struct("node", "n")).alias("m")).select("h", F.col("m.node").alias("node"), F.col("m.n").alias("n"))
-        if k < stars:  # the least of each place against all others of it
-            pairs = first.alias("l").join(left.alias("r"), "h").filter((F.col("l.node") < F.col("r.node")) & sized)
-        else:  # all that is still in different components
-            pairs = left.alias("l").join(left.alias("r"), "h").filter((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & sized)
-        new = alike(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
-        found = scratch.table(new if found is None else found.unionByName(new), "links")
-        roots = scratch.table(components(found, scratch), "roots").withColumnRenamed("root", "r")
-        if k == stars:
-            break
-        rest = left.select("h", "node", "n").join(first.select("h", F.col("node").alias("seen")), "h").filter("node <> seen")
-        rest = rest.join(roots, "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("root"))
+        roots = components(found, scratch)
+        large = roots.groupBy("root").agg(F.count("*").alias("of"))
+        known = scratch.table(roots.join(large, "root"), "roots")
+        rest = left.select("h", "node", "n").join(known, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("of", F.lit(1)).alias("of"))
         open_ = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-        left = scratch.table(rest.join(open_, "h", "left_semi"), "left")
+        left = scratch.table(rest.join(open_, "h", "left_semi"), "open")
         if left.isEmpty():
-            break
-    rooted = scratch.table(least.join(roots, "node", "left").select("node", "least", F.coalesce("r", "node").alias("root")), "rooted")
-    label = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(label, "root").select("node", "component_id")
-    return own.join(labels, "node").select(id_col, "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without those rows whose component has a smaller id. Rows that repeat an id stay if one of them is its component's; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, similarity)
-    stays = F.bool_or(F.col(id_col) == F.col("component_id"))
-    gone = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("_stays")).filter("not _stays").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+            return found
+        if k < stars:
+            foremost = F.min(F.struct((-F.col("of")).alias("of"), "node", "n", "root")).alias("m")
+            first = scratch.table(left.groupBy("h").agg(foremost).select("h", "m.node", "m.n", "m.root"), "first")
+            pairs = first.alias("l").join(left.alias("r"), "h").filter(apart)
+        else:
+            pairs = left.alias("l").join(left.alias("r"), "h").filter((F.col("l.node") < F.col("r.node")) & apart)
+        new = links.alike(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
+        found = scratch.table(found.unionByName(new), "found")
+        if k < stars:
+            left = left.join(first.select("h", F.col("node").alias("seen")), "h").filter("node <> seen")
+    return found

@@ -11,7 +11,7 @@ probe are verified by their full distance. A meeting place hands on a spanning f
 Nulls and edge cases: a null or wordless text has fingerprint zero and links like any other; a text with fewer words than
 a shingle is one shingle; repeated rows share component and fingerprint; a null id is kept and takes the component of its
 fingerprint's smallest non-null id (null if there is none). Other columns pass through untouched where a function
-says so. An empty table gives an empty result.
+says so. An empty table gives an empty result. near_duplicates links by bits alone; similar() links by the Jaccard likeness of the shingles.
 """
 
 from __future__ import annotations
@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .common import Scratch, raw, slices
 from .components import components
 
+#: So many ids at most are broadcast to take rows out (8 MB of longs).
+FEW_IDS = 1_000_000
 _BYTE_LANES = np.uint64(0x0101010101010101)
 
 
@@ -274,7 +277,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, max_bits: int = 4) -> DataFrame:
     """docs without those rows whose component has a smaller id. Rows that repeat an id stay if one of them is its component's; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, seed, max_bits)
+    return _kept(docs, near_duplicates(docs, id_col, text_col, shingle, seed, max_bits), id_col)
+
+
+def _kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    scratch = Scratch(docs.sparkSession)
     stays = F.bool_or(F.col(id_col) == F.col("component_id"))
-    gone = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("_stays")).filter("not _stays").select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = scratch.table(found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("_stays")).filter("not _stays").select(F.col(id_col).alias("_gone_id")), "gone")
+    few = gone.count() <= FEW_IDS  # else the texts are dealt out by id
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone_id"), "left_anti").select(*docs.columns)
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, node: digest of the set of shingles, fp: SimHash of the set, n: its size, sk: its parity sketch, first: the hashes of its prefix), in one pass over the texts."""
+    hot = jaccard.common_hashes(docs, id_col, text_col, shingle)
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("node", "fp", "n")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("sk", "first"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, jaccard.SLICE):
+            sets = list(jaccard.shingle_sets(batch.column(1), shingle))
+            n = np.array([len(s) for s in sets])
+            fp = majority(np.concatenate(sets), n).view(np.int64)
+            lists = (jaccard.lists([jaccard.sketch(s) for s in sets]), jaccard.lists([jaccard.prefix(s, similarity, hot) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(jaccard.digests(sets)), pa.array(fp), pa.array(n), *lists], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 6, stars: int = 4) -> DataFrame:
+    """(id, component_id): component_id is the smallest id that chains of pairs at least `similarity` alike (Jaccard, sets of shingles) reach.
+
+    Fingerprints at most max_bits apart give the first candidates, found as in near_duplicates, and each is verified by its sets. They join
+    most of what is alike and all that makes large groups. No radius promises a likeness, so links that it leaves out are found by
+    jaccard.complete, between components only: the result is exact for every max_bits, only cost changes.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(marked(docs, id_col, text_col, shingle, similarity), "marked")
+    nodes = scratch.table(rows.groupBy("node").agg(F.min(id_col).alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "sk", "first"))), "nodes")
+    links_ = jaccard.Links(docs, nodes.select("node", "least", "n", "sk"), scratch, id_col, text_col, shingle, similarity)
+    some = nodes.filter("n > 0").select("node", "fp")
+    distinct = scratch.table(some.groupBy("fp").agg(F.min("node").alias("of")), "distinct")
+    near = links(distinct.select("fp"), max_bits, plan(bit_counts(distinct), distinct.count(), max_bits))
+    near = near.join(distinct.toDF("a", "x"), "a").join(distinct.toDF("b", "y"), "b").select("x", "y")
+    same = some.join(distinct, "fp").filter("node <> of").select(F.col("of").alias("x"), F.col("node").alias("y"))
+    found = links_.alike(near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    firsts = nodes.select(F.explode("first").alias("h"), "node", "n")
+    roots = components(jaccard.complete(found, firsts, links_, stars), scratch)
+    rooted = scratch.table(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    label = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = scratch.table(rooted.join(label, "root").select("node", "component_id"), "labels")
+    out = scratch.table(rows.select(id_col, "node").join(labels, "node").select(id_col, "component_id"), "classes")
+    scratch.drop(rows, nodes, distinct, rooted, labels)
+    return out
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each class of similar(): the one with the smallest id. Rows that repeat an id stay if one of them is its class's; null ids stay."""
+    return _kept(docs, similar(docs, id_col, text_col, shingle, similarity), id_col)

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 pytest.importorskip("tessera.llm")
 import corpus_pipeline  # noqa: E402
 
-from tessera.llm import jaccard  # noqa: E402
+from tessera.llm import jaccard, simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,14 +63,14 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("stars", [0, 1, 4])
-def test_components(spark, texts, stars):
+@pytest.mark.parametrize(("stars", "max_bits"), [(0, 4), (1, 0), (4, 8)])
+def test_components(spark, texts, stars, max_bits):
     group = brute(texts)
     least = {}
     for i, g in enumerate(group):
         least[g] = min(least.get(g, i), i)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, stars=stars).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs, max_bits=max_bits, stars=stars).collect()}
     assert got == {i: least[g] for i, g in enumerate(group)}
 
 
@@ -87,7 +87,23 @@ def test_ids(spark):
     t = " ".join(f"w{i}" for i in range(100))
     rows = [(None, t + " x"), (None, None), (3, t + " x y"), (1, t), (1, "quite another text"), (5, "alone"), (5, t)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.near_duplicates(docs).collect())
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.similar(docs).collect())
     assert got == sorted([("None", "1"), ("None", "None"), ("3", "1"), ("1", "1"), ("1", "1"), ("5", "5"), ("5", "1")])
-    assert sorted(str(r.doc_id) for r in jaccard.drop_near_duplicates(docs).collect()) == ["1", "1", "5", "5", "None", "None"]
-    assert jaccard.drop_near_duplicates(docs.filter(F.lit(False))).count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.drop_similar(docs).collect()) == ["1", "1", "5", "5", "None", "None"]
+    assert simhash.drop_similar(docs.filter(F.lit(False))).count() == 0
+
+
+def test_sketches():
+    """Sketches never differ in more bits than the sets in hashes, whichever size is folded."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, n - int(rng.integers(0, 1 + n // 5))), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 5))).astype(np.uint64)]))
+        x, y = sorted((jaccard.sketch(a), jaccard.sketch(b)), key=len)
+        if len(y) > len(x):
+            assert len(y) == 2 * len(x)
+            y = y[: len(x)] ^ y[len(x) :]
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
