@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, lines, mixing, quality
+from tessera.llm import bpe, lines, mixing, quality, simhash
 from tessera.llm.common import Scratch
 
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word Jaccard 0.8 or more stays, the one with the smallest id. The links are exact: no radius cuts them."""
-    return jaccard.drop_near_duplicates(docs, shingle=5, similarity=0.8)
+    """One document of each component of five-word Jaccard 0.8 or more stays, the one with the smallest id."""
+    return simhash.drop_similar(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
