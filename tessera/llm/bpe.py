@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import raw, slices
 
-CACHE_PIECES = 1 << 16  # in each of two generations
-STABLE_PAIRS = 1 << 19
+CACHE_PIECES = 1 << 17  # in each of two generations
+STABLE_PAIRS = 1 << 20
 CACHED_BYTES = 64  # longer pieces are encoded each time
 _PAIR = 1 << 32
 _START = -2  # stands before a piece's first token

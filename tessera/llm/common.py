@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Of small working tables.
+ROWS_A_FILE = 20_000
+
 _own_dir: str | None = None
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
@@ -60,9 +63,12 @@ class Scratch:
             atexit.register(_tidy)
         _roots.append(self.root)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: about how many rows df has, if that is known. A small table then has few files, however many shuffle partitions there are."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_A_FILE)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -110,10 +110,10 @@ def _folded(x: Column, y: Column) -> Column:
 
 
 class Links:
-    """Verifies pairs of nodes of docs. nodes(node, least, n, sk): each distinct set, with the smallest id that has it."""
+    """Verifies pairs of nodes of docs. nodes(node, least, n, sk): each distinct set, with the smallest id that has it; rows: how many."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float):
-        self.docs, self.nodes, self.scratch = docs, nodes, scratch
+    def __init__(self, docs: DataFrame, nodes: DataFrame, rows: int, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float):
+        self.docs, self.nodes, self.rows, self.scratch = docs, nodes, rows, scratch
         self.id_col, self.text_col, self.shingle, self.similarity = id_col, text_col, shingle, similarity
 
     def _sets(self, needed: DataFrame) -> DataFrame:
@@ -143,45 +143,31 @@ class Links:
         differ = F.zip_with(_folded(F.col("sa"), F.col("sb")), _folded(F.col("sb"), F.col("sa")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         apart = F.aggregate(differ, F.lit(0), lambda x, y: x + y)
         sized = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)
-        near = self.scratch.table(both.filter(sized).filter(apart <= (F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-9).select("a", "b", "ia", "ib"), "near")
+        near = self.scratch.table(both.filter(sized).filter(apart <= (F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-9).select("a", "b", "ia", "ib"), "near", self.rows)
         needed = near.select(F.col("a").alias("node"), F.col("ia").alias("id")).unionByName(near.select(F.col("b").alias("node"), F.col("ib").alias("id"))).distinct()
-        sets = self.scratch.table(self._sets(needed), "sets")
+        sets = self.scratch.table(self._sets(needed), "sets", self.rows)
         shared = F.size(F.array_intersect("x", "y"))
         whole = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        out = self.scratch.table(whole.filter(shared >= t * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links")
+        out = self.scratch.table(whole.filter(shared >= t * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "links", self.rows)
         self.scratch.drop(near, sets)
         return out
 
 
-def complete(found: DataFrame, firsts: DataFrame, links: Links, stars: int = 4) -> DataFrame:
-    """found(a, b): links so far; firsts(h, node, n): prefixes -> found and links that join all that is alike and is not joined yet.
+def complete(found: DataFrame, nodes: DataFrame, links: Links) -> DataFrame:
+    """found(a, b): links so far; nodes(node, n, first): prefixes -> found and links that join all that is alike and is not joined yet.
 
-    A place, a hash of several prefixes, counts only while it holds several components. Its foremost node, one of the largest component, is
-    compared with the nodes of other components first, so a large group takes in its stragglers with few comparisons; what is still apart
-    after `stars` such rounds is compared pair by pair across components.
+    Two sets meet at a hash of both prefixes if they are in different components and, were this hash the first that they share, what stands behind
+    it in either could still make them alike (positions). A true pair passes at its first common hash; copies of one text with edits of
+    their own, which share their later hashes with thousands, do not meet there.
     """
-    scratch = links.scratch
-    often = firsts.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    left = scratch.table(firsts.join(often, "h", "left_semi"), "places")
-    sized = (F.col("l.n") >= F.col("r.n") * links.similarity - 1e-9) & (F.col("r.n") >= F.col("l.n") * links.similarity - 1e-9)
-    apart = (F.col("l.root") != F.col("r.root")) & sized
-    for k in range(stars + 1):
-        roots = components(found, scratch)
-        large = roots.groupBy("root").agg(F.count("*").alias("of"))
-        known = scratch.table(roots.join(large, "root"), "roots")
-        rest = left.select("h", "node", "n").join(known, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("of", F.lit(1)).alias("of"))
-        open_ = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-        left = scratch.table(rest.join(open_, "h", "left_semi"), "open")
-        if left.isEmpty():
-            return found
-        if k < stars:
-            foremost = F.min(F.struct((-F.col("of")).alias("of"), "node", "n", "root")).alias("m")
-            first = scratch.table(left.groupBy("h").agg(foremost).select("h", "m.node", "m.n", "m.root"), "first")
-            pairs = first.alias("l").join(left.alias("r"), "h").filter(apart)
-        else:
-            pairs = left.alias("l").join(left.alias("r"), "h").filter((F.col("l.node") < F.col("r.node")) & apart)
-        new = links.alike(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
-        found = scratch.table(found.unionByName(new), "found")
-        if k < stars:
-            left = left.join(first.select("h", F.col("node").alias("seen")), "h").filter("node <> seen")
-    return found
+    t = links.similarity
+    roots = links.scratch.table(components(found, links.scratch, links.rows), "roots", links.rows)
+    joined = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("i", "h"))
+    several = joined.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
+    places = links.scratch.table(joined.join(several, "h", "left_semi"), "places")
+    rest = F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
+    could = (rest >= (F.col("l.n") + F.col("r.n")) * (t / (1 + t)) - 1e-9) & (F.col("l.n") >= F.col("r.n") * t - 1e-9) & (F.col("r.n") >= F.col("l.n") * t - 1e-9)
+    pairs = places.alias("l").join(places.alias("r"), "h").filter((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & could)
+    new = links.alike(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
+    links.scratch.drop(places)
+    return links.scratch.table(found.unionByName(new), "found", links.rows)

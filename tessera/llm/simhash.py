@@ -266,11 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = scratch.table(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = scratch.table(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     rows = distinct.count()
-    roots = components(links(distinct.select("fp"), max_bits, plan(bit_counts(distinct), rows, max_bits)), scratch)
+    roots = components(links(distinct.select("fp"), max_bits, plan(bit_counts(distinct), rows, max_bits)), scratch, rows)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.table(rooted, "rooted")
+    rooted = scratch.table(rooted, "rooted", rows)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "labels")
+    labels = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "labels", rows)
     scratch.drop(distinct, rooted)
     return own.join(labels, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -283,7 +283,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     stays = F.bool_or(F.col(id_col) == F.col("component_id"))
-    gone = scratch.table(found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("_stays")).filter("not _stays").select(F.col(id_col).alias("_gone_id")), "gone")
+    gone = scratch.table(found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(stays.alias("_stays")).filter("not _stays").select(F.col(id_col).alias("_gone_id")), "gone", found.count())
     few = gone.count() <= FEW_IDS  # else the texts are dealt out by id
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone_id"), "left_anti").select(*docs.columns)
 
@@ -304,7 +304,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 6, stars: int = 4) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
     """(id, component_id): component_id is the smallest id that chains of pairs at least `similarity` alike (Jaccard, sets of shingles) reach.
 
     Fingerprints at most max_bits apart give the first candidates, found as in near_duplicates, and each is verified by its sets. They join
@@ -312,21 +312,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     jaccard.complete, between components only: the result is exact for every max_bits, only cost changes.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(marked(docs, id_col, text_col, shingle, similarity), "marked")
-    nodes = scratch.table(rows.groupBy("node").agg(F.min(id_col).alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "sk", "first"))), "nodes")
-    links_ = jaccard.Links(docs, nodes.select("node", "least", "n", "sk"), scratch, id_col, text_col, shingle, similarity)
+    whole = scratch.table(marked(docs, id_col, text_col, shingle, similarity), "marked")
+    nodes = scratch.table(whole.groupBy("node").agg(F.min(id_col).alias("least"), *(F.any_value(c).alias(c) for c in ("fp", "n", "sk", "first"))), "nodes")
+    rows = scratch.table(whole.select(id_col, "node"), "rows")
+    scratch.drop(whole)
+    n = nodes.count()
+    links_ = jaccard.Links(docs, nodes.select("node", "least", "n", "sk"), n, scratch, id_col, text_col, shingle, similarity)
     some = nodes.filter("n > 0").select("node", "fp")
-    distinct = scratch.table(some.groupBy("fp").agg(F.min("node").alias("of")), "distinct")
+    distinct = scratch.table(some.groupBy("fp").agg(F.min("node").alias("of")), "distinct", n)
     near = links(distinct.select("fp"), max_bits, plan(bit_counts(distinct), distinct.count(), max_bits))
     near = near.join(distinct.toDF("a", "x"), "a").join(distinct.toDF("b", "y"), "b").select("x", "y")
     same = some.join(distinct, "fp").filter("node <> of").select(F.col("of").alias("x"), F.col("node").alias("y"))
     found = links_.alike(near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    firsts = nodes.select(F.explode("first").alias("h"), "node", "n")
-    roots = components(jaccard.complete(found, firsts, links_, stars), scratch)
-    rooted = scratch.table(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    roots = components(jaccard.complete(found, nodes.select("node", "n", "first"), links_), scratch, n)
+    rooted = scratch.table(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted", n)
     label = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = scratch.table(rooted.join(label, "root").select("node", "component_id"), "labels")
-    out = scratch.table(rows.select(id_col, "node").join(labels, "node").select(id_col, "component_id"), "classes")
+    labels = scratch.table(rooted.join(label, "root").select("node", "component_id"), "labels", n)
+    out = scratch.table(rows.select(id_col, "node").join(labels, "node").select(id_col, "component_id"), "classes", n)
     scratch.drop(rows, nodes, distinct, rooted, labels)
     return out
 
