@@ -1,13 +1,15 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences.
 
-Leaves are the digests of a paragraph's sentences (long ones in pieces of 16 words), a paragraph's digest covers its
-leaves, a section's its paragraphs, the root its sections. Sections are parted by blank lines or heading lines, paragraphs
-by line breaks. The fingerprint writes the tree down: root digest, then sections (';'), paragraphs ('/') and leaves. Equal
-roots mean equal texts; otherwise equal branches are skipped whole, and the branches that differ locate the edit.
-
-Nulls and edge cases: a null text counts as empty; an empty text has a tree without sections; ids may repeat: rows are
-ordered by (id, text) and each is a document of its own; null ids come first; a table of one row is its own next document.
-Texts of any length are read whole. An empty table gives an empty result.
+Every character is in one leaf: a sentence with the spaces around it, long ones in pieces of 16 words. A paragraph is a line with its line
+break, and its digest is the hash of its leaves; a section's digest is the hash of its paragraphs' digests, the root that of its sections'
+digests. A heading line, or a line behind blank ones, begins a section; blank lines are paragraphs of the section before them. The fingerprint
+writes the tree down, `root|section;section`: a section is `digest size:paragraph/paragraph`, a paragraph its leaves with commas between, a leaf
+16 digits of digest and its size (sizes in code points, hexadecimal, without the space). Equal roots mean equal texts; otherwise equal
+branches are passed over whole, and the walk down those that differ gives the likeness and the place of the edit.
+
+Nulls and edge cases: a null text counts as empty; an empty text has a tree without sections; ids are integers and may repeat: rows are
+ordered by (id, text) and each is a document of its own; null ids come first and are dealt to one task; a table of one row is its own
+next document. Texts of any length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,84 +32,101 @@ from .common import slices
 PIECE_WORDS = 16
 _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
 _HEADING = re.compile(r"#{1,6} ")
-
-
-def leaf(piece: str) -> str:
-    """Seven digits of digest and one of size, in eights of characters (1 to 15)."""
-    return f"{xxhash.xxh32_hexdigest(piece.encode())[:7]}{min(15, max(1, (len(piece) + 4) // 8)):x}"
+DIGITS = 16
 
 
 def leaves(paragraph: str) -> list[str]:
-    """The paragraph's sentences, long ones in pieces; the concatenated pieces are the paragraph."""
+    """The paragraph's sentences, long ones in pieces; put together they are the paragraph."""
     out = []
     for s in _SENTENCE.findall(paragraph):
         if len(s) > 6 * PIECE_WORDS:
             found = s.split(" ")
-            out += [leaf(" ".join(found[k : k + PIECE_WORDS])) for k in range(0, len(found), PIECE_WORDS)]
+            out += [" ".join(found[k : k + PIECE_WORDS]) + " " * (k + PIECE_WORDS < len(found)) for k in range(0, len(found), PIECE_WORDS)]
         elif s:
-            out.append(leaf(s))
+            out.append(s)
     return out
 
 
+def sections(text: str) -> Iterator[list[str]]:
+    """The lines of each section, with their line breaks."""
+    own: list[str] = []
+    blank = False
+    *whole, last = text.split("\n")
+    for line in (*(x + "\n" for x in whole), last):
+        empty = not line.strip()
+        if own and not empty and (blank or _HEADING.match(line)):
+            yield own
+            own = []
+        if line:
+            own.append(line)
+            blank = empty
+    if own:
+        yield own
+
+
 def tree(text: str) -> str:
-    """The fingerprint: `root|section;section`, a section is `digest:paragraph/paragraph`, a paragraph its leaves, 8 digits each."""
-    sections, paragraphs = [], []
-
-    def close() -> None:
-        nonlocal paragraphs
-        if paragraphs:
-            body = "/".join(paragraphs)
-            sections.append(f"{xxhash.xxh64_hexdigest(body.encode())}:{body}")
-            paragraphs = []
-
-    for line in text.split("\n"):
-        if not line.strip() or _HEADING.match(line):
-            close()
-        if line.strip():
-            paragraphs.append("".join(leaves(line)))
-    close()
-    root = hashlib.sha256(text.encode()).hexdigest()[:32]
-    return f"{root}|{';'.join(sections)}"
-
-
-def _branches(fingerprint: str) -> dict[str, Counter]:
-    """Leaves of each section, by the section's digest (equal sections are counted apart)."""
-    out: dict[str, Counter] = {}
-    for k, s in enumerate(filter(None, fingerprint.partition("|")[2].split(";"))):
-        head, _, body = s.partition(":")
-        out[head if head not in out else f"{head}#{k}"] = Counter(p[i : i + 8] for p in body.split("/") for i in range(0, len(p), 8))
-    return out
+    """The fingerprint of a text."""
+    digest, out = xxhash.xxh64_hexdigest, []
+    for lines in sections(text):
+        paragraphs = [",".join([f"{digest(x.encode())}{len(x):x}" for x in leaves(line)]) for line in lines]
+        own = digest("".join([digest(p) for p in paragraphs]))
+        out.append(f"{own}{sum(map(len, lines)):x}:{'/'.join(paragraphs)}")
+    root = hashlib.sha256("".join([x[:DIGITS] for x in out]).encode()).hexdigest()[:32]
+    return f"{root}|{';'.join(out)}"
+
+
+def _nodes(fingerprint: str) -> list[tuple[str, str]]:
+    """(digest and size, paragraphs) of each section."""
+    return [(head, body) for head, _, body in (x.partition(":") for x in filter(None, fingerprint.partition("|")[2].split(";")))]
 
 
-def _size(leaves: Counter) -> int:
-    return sum(int(k[7], 16) * n for k, n in leaves.items())
+def _size(leaf: str) -> int:
+    return int(leaf[DIGITS:], 16)
+
+
+def _rest(one: Iterable[str], other: Iterable[str]) -> tuple[list[str], list[str], list[str]]:
+    """Branches that both have (as often as both have them), and what either has besides."""
+    a, b = Counter(one), Counter(other)
+    same = a & b
+    return list(same.elements()), list((a - same).elements()), list((b - same).elements())
 
 
 def likeness(one: str, other: str) -> float:
-    """0 to 1: twice the size of the leaves in common over that of all leaves; 1 for equal roots. Sections with equal digests are taken as equal without their leaves."""
+    """0 to 1: twice the size of what both trees have over the size of both; 1 for equal roots. Only branches that differ are gone down."""
     if one[:32] == other[:32]:
         return 1.0
-    a, b = _branches(one), _branches(other)
-    total = sum(map(_size, a.values())) + sum(map(_size, b.values()))
+    a, b = _nodes(one), _nodes(other)
+    total = sum(_size(head) for head, _ in a) + sum(_size(head) for head, _ in b)
     if not total:
         return 0.0
-    same = a.keys() & b.keys()
-    common = sum(_size(a[k]) for k in same)
-    left = sum((c for k, c in a.items() if k not in same), Counter())
-    right = sum((c for k, c in b.items() if k not in same), Counter())
-    return 2 * (common + _size(left & right)) / total
-
-
-def changed(one: str, other: str) -> list[tuple[int, int]]:
-    """Where `other` differs: (section, paragraph) of each paragraph of `other` that its counterpart, or any paragraph of `one`, does not equal."""
-    mine = {p for s in one.partition("|")[2].split(";") for p in s.partition(":")[2].split("/")}
-    heads = {s.partition(":")[0] for s in one.partition("|")[2].split(";")}
-    out = []
-    for i, s in enumerate(other.partition("|")[2].split(";")):
-        head, _, body = s.partition(":")
-        if head not in heads:
-            out += [(i, j) for j, p in enumerate(body.split("/")) if p not in mine]
-    return out
+    same, left, right = _rest((head for head, _ in a), (head for head, _ in b))
+    common = sum(map(_size, same))
+    bodies = dict(a) | dict(b)  # equal digests have equal bodies
+    # a paragraph's digest is the hash of its leaves: equal leaves, equal digests
+    same, left, right = _rest((p for h in left for p in bodies[h].split("/")), (p for h in right for p in bodies[h].split("/")))
+    common += sum(_size(x) for p in same for x in p.split(","))
+    same, _, _ = _rest((x for p in left for x in p.split(",")), (x for p in right for x in p.split(",")))
+    return 2 * (common + sum(map(_size, same))) / total
+
+
+def edited_at(one: str, other: str) -> int | None:
+    """Code points before the first leaf that differs (also where one text goes on and the other ends); null for equal roots."""
+    if one[:32] == other[:32]:
+        return None
+    at = 0
+    for (x, xs), (y, ys) in zip(_nodes(one), _nodes(other), strict=False):
+        if x == y:
+            at += _size(x)
+            continue
+        for p, q in zip(xs.split("/"), ys.split("/"), strict=False):
+            for u, v in zip(p.split(","), q.split(","), strict=False):
+                if u != v:
+                    return at
+                at += _size(u)
+            if p != q:
+                return at
+        return at
+    return at
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +140,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, n_chars, edited_sha256, edited_fingerprint, near_edited, near_next): each document, and the next one by id (after the last: the first).
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edit_at): each document, and the next one by id (after the last: the first).
 
     The edited text is the document with its last quarter replaced by the next one's beginning. Documents are dealt out by
     ranges of ids, so neighbours meet in one task. Only ids are sorted to find where ranges begin (one value per partition
@@ -144,7 +163,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for copy, rows, to in ((False, np.arange(len(k)), part), (True, first, (part[first] - 1) % len(begins))):
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(rows), copy)), batch.column(0).take(pa.array(rows)), z.take(pa.array(rows))], names=dealt.names)
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next"))])
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")), T.StructField("edit_at", T.LongType())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -161,11 +180,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     quarter = len(old) // 4
                     edited = old[: len(old) - quarter] + text[:quarter]
                     new = tree(edited)
-                    rows.append((prev, len(old), hashlib.sha256(edited.encode()).hexdigest(), fingerprint, new, likeness(fingerprint, new), likeness(fingerprint, own)))
+                    rows.append((prev, len(old), hashlib.sha256(edited.encode()).hexdigest(), fingerprint, new, likeness(fingerprint, new), likeness(fingerprint, own), edited_at(fingerprint, new)))
                 last = None if copy else (part, doc, text, own)
-            kinds = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=schema.names)
 
     moved = docs.select(F.col(id_col), F.col(text_col), key.alias("_k")).mapInArrow(deal, dealt)
-    return moved.repartition("part").sortWithinPartitions("part", "copy", id_col, "z").mapInArrow(pair, schema)
+    return moved.repartitionById(max(1, len(begins)), "part").sortWithinPartitions("part", "copy", id_col, "z").mapInArrow(pair, schema)

@@ -54,8 +54,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
-    return merkle.with_next(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    """Fingerprints of every document and of its edited text, how alike they and the next document's are, and where the tree locates the edit."""
+    return merkle.with_next(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_at")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -130,6 +131,51 @@ def test_substring(unique):
     assert {r.doc_id: r.words for r in substring.longest_repeats(unique).collect()}[1] == 104  # 120 shared words: 13, 26, 52, 104
 
 
+def nested(text):
+    """Sections, paragraphs and leaves of a text as nested lists, by other means than the operator's."""
+    out, before = [], "x"
+    for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
+        if not out or (line.strip() and (not before.strip() or re.match("#{1,6} ", line))):
+            out.append([])
+        pieces = []
+        for s in re.findall(r"[^.!?]+[.!?]*|[.!?]+", line):
+            pieces += [s] if len(s) <= 96 else [m for m in re.findall(r"(?:[^ ]* ){16}|.+$", s, re.S) if m]
+            if len(s) > 96 and re.fullmatch(r"(?:(?:[^ ]* ){16})+", s, re.S):
+                pieces.append("")  # the piece behind the last space
+        out[-1].append(pieces)
+        before = line
+    return out
+
+
+def brute_tree(text):
+    x64 = lambda s: xxhash.xxh64(s.encode()).hexdigest()
+    whole, said = nested(text), []
+    for section in whole:
+        paragraphs = [",".join(x64(x) + format(len(x), "x") for x in p) for p in section]
+        said.append(x64("".join(map(x64, paragraphs))) + format(sum(len(x) for p in section for x in p), "x") + ":" + "/".join(paragraphs))
+    root = hashlib.sha256("".join(x[:16] for x in said).encode()).hexdigest()[:32]
+    return root + "|" + ";".join(said)
+
+
+def brute_likeness(one, other):
+    """Takes equal sections, then equal paragraphs, then equal leaves out of both, on the texts themselves."""
+    if one == other:
+        return 1.0
+    a, b, common = nested(one), nested(other), 0
+    for _ in range(3):
+        for x in list(a):
+            if x in b:
+                a.remove(x)
+                b.remove(x)
+                common += len("".join(str(t) for t in flat(x)))
+        a, b = [y for x in a if isinstance(x, list) for y in x], [y for x in b if isinstance(x, list) for y in x]
+    return 2 * common / (len(one) + len(other)) if one or other else 0.0
+
+
+def flat(x):
+    return [x] if isinstance(x, str) else [z for y in x for z in flat(y)]
+
+
 def test_merkle(unique):
     rows = sorted((r.doc_id, r.text or "") for r in unique.collect())
     got = {r.doc_id: r for r in merkle.with_next(unique).collect()}
@@ -138,13 +184,25 @@ def test_merkle(unique):
         q, nxt = len(t) // 4, rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - q] + nxt[:q]
         r = got[i]
+        assert "".join(flat(nested(t))) == t == "".join(x for s in merkle.sections(t) for line in s for x in merkle.leaves(line))
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == merkle.tree(t) and r.edited_fingerprint == merkle.tree(edited)
-        assert r.near_edited == merkle.likeness(merkle.tree(t), merkle.tree(edited)) and 0 <= r.near_next <= 1
-        assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
-    a = "first one. second.\n\nthird here. fourth.\nfifth"
-    assert merkle.changed(merkle.tree(a), merkle.tree(a.replace("fourth", "other"))) == [(1, 0)]
-    assert merkle.changed(merkle.tree(a), merkle.tree(a)) == [] and merkle.likeness(merkle.tree(""), merkle.tree(a)) == 0.0
+        assert r.fingerprint == brute_tree(t) and r.edited_fingerprint == brute_tree(edited)
+        assert r.near_edited == pytest.approx(brute_likeness(t, edited)) and r.near_next == pytest.approx(brute_likeness(t, nxt))
+        assert (r.fingerprint == r.edited_fingerprint) == (t == edited) == (r.edit_at is None)
+        if t != edited:
+            same = len(os.path.commonprefix([t, edited]))
+            leaves = [len(os.path.commonprefix([flat(nested(t)), flat(nested(edited))])), flat(nested(t))]
+            assert r.edit_at == sum(map(len, leaves[1][: leaves[0]])) <= same
+    assert merkle.edited_at(merkle.tree("one. two. three."), merkle.tree("one. two; three.")) == 4
+
+
+def test_merkle_odd_rows(spark):
+    """Rows that repeat an id, null ids and one row alone."""
+    docs = spark.createDataFrame([(3, "b"), (3, "a"), (None, "n"), (1, None), (3, "a")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_chars, r.fingerprint) for r in merkle.with_next(docs).collect())
+    assert got == sorted((str(i), len(t or ""), brute_tree(t or "")) for i, t in [(3, "b"), (3, "a"), (None, "n"), (1, ""), (3, "a")])
+    one = merkle.with_next(docs.filter("doc_id = 1")).first()
+    assert (one.near_edited, one.near_next, one.edit_at) == (1.0, 1.0, None)
 
 
 def test_bpe(docs):
