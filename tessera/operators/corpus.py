@@ -153,12 +153,31 @@ def content_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 
 
-def remapped(keys: DataFrame, rules: list[tuple[str, tuple[str, ...]]], key: str = "topic_key", text: str = "question") -> DataFrame:
-    """Rules in turn: a row whose text holds one of a rule's words, or whose current key does, gets the rule's key. Later rules see what earlier ones wrote."""
+def remapped(keys: DataFrame, rules: list[tuple[str, tuple[str, ...]]], key: str = "topic_key", text: str | None = None) -> DataFrame:
+    """Rules (to, patterns) in turn: a row whose current key is like one of a rule's patterns, and is not the rule's key, gets the rule's key. Later rules see what earlier ones wrote.
 
-    def one(current: Column, rule: tuple[str, tuple[str, ...]]) -> Column:
-        to, found = rule
-        hit = X.contains_any(F.lower(F.coalesce(F.col(text), F.lit(""))), found) | X.contains_any(F.lower(F.coalesce(current, F.lit(""))), found)
-        return F.when(hit & ~current.eqNullSafe(F.lit(to)), F.lit(to)).otherwise(current)
-
-    return keys.withColumn(key, reduce(one, rules, F.col(key)))
+    A pattern is `head%word%`: the key begins with head (it may be empty) and holds the word behind it; other wildcards are refused. With text, a key or text
+    that holds it in any case counts. The rules are one literal that an aggregate folds over, so the plan does not grow with them, and rows are not shuffled.
+    """
+    table = []
+    for to, patterns in rules:
+        found = []
+        for p in patterns:
+            head, _, word = p.partition("%")
+            if not word.endswith("%") or "%" in word[:-1] or "_" in p:
+                raise ValueError(f"not of the form head%word%: {p}")
+            found.append(F.struct(F.lit(head).alias("head"), F.lit(word[:-1]).alias("word")))
+        table.append(F.struct(F.lit(to).alias("to"), F.array(*found).alias("found")))
+    if not table:
+        return keys
+    low = (lambda c: F.lower(F.coalesce(c, F.lit("")))) if text else (lambda c: F.coalesce(c, F.lit("")))
+
+    def one(current: Column, rule: Column) -> Column:
+        own = low(current)
+        like = lambda v: lambda p: F.startswith(v, p["head"]) & F.contains(F.substr(v, F.length(p["head"]) + 1), p["word"])
+        hit = F.exists(rule["found"], like(own))
+        if text:
+            hit = hit | F.exists(rule["found"], like(low(F.col(text))))
+        return F.when(hit & ~current.eqNullSafe(rule["to"]), rule["to"]).otherwise(current)
+
+    return keys.withColumn(key, F.aggregate(F.array(*table), F.col(key), one))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, first_of, word_set
+from ..sources.shared import written
 
 TYPES = ("definition", "procedural", "comparative", "factual")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -33,7 +32,8 @@ def diversity_key(book: Column, header: Column) -> Column:
 
 
 def round_robin(scored: DataFrame, target: int) -> DataFrame:
-    """scored(id, key, score): groups take turns, best group first, each giving its best remaining row, until `target` rows."""
+    """scored(id, key, score): groups take turns, best group first, each giving its best remaining row, until `target` rows. Scores are computed once and written."""
+    scored = written(scored.select("id", "key", "score"))
     best = scored.groupBy("key").agg(F.max("score").alias("best"))
     groups = best.withColumn("g", F.row_number().over(Window.orderBy(F.desc("best"), "key")))  # one row for each group
     turn = scored.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))).filter(F.col("turn") <= target)
@@ -110,14 +110,6 @@ def similar_pairs(q: DataFrame, threshold: float = 0.8) -> DataFrame:
     return near.unionByName(copies)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a checkpoint table in the shared folder; a temporary folder only where spark.checkpoint.dir is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 200_000) -> DataFrame:
     """q(id, query) in order of id: a question goes if it is similar to one that is kept before it.
 
@@ -128,8 +120,8 @@ def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 200_000) ->
     text = F.lower(F.trim("query"))
     rows = q.select("id", text.alias("t"))
     copies = rows.join(rows.groupBy("t").agg(F.min("id").alias("a")), "t").filter("id <> a").select("id")
-    gone = _written(copies)
-    pairs = _written(similar_pairs(q.join(gone, "id", "left_anti"), threshold))
+    gone = written(copies)
+    pairs = written(similar_pairs(q.join(gone, "id", "left_anti"), threshold))
     while n := pairs.count():
         if n <= local:
             kept_not = set()
@@ -139,9 +131,9 @@ def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 200_000) ->
             new = q.sparkSession.createDataFrame([(b,) for b in kept_not], gone.schema)
             return q.join(gone.unionByName(new), "id", "left_anti")
         kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
-        new = _written(pairs.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        gone = _written(gone.unionByName(new))
-        pairs = _written(pairs.join(new.toDF("a"), "a", "left_anti").join(new.toDF("b"), "b", "left_anti").select("a", "b"))
+        new = written(pairs.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = written(gone.unionByName(new))
+        pairs = written(pairs.join(new.toDF("a"), "a", "left_anti").join(new.toDF("b"), "b", "left_anti").select("a", "b"))
     return q.join(gone, "id", "left_anti")
 
 

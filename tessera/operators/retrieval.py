@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25, dense cosine, rank fusion, filters and boosts, neighbours, context and citations.
 
-Every operator takes a set of queries at once. Postings are cut down to the queries' own terms before they are grouped, by
-an equi-join on the term; per-query top-k lists are row_number filters, which Spark turns into partial limits before the
+Every operator takes a set of queries at once. Tokens are cut down to the queries' own terms, by a semi-join, before they are
+grouped into postings; document frequencies come from each text's distinct tokens, counted before the shuffle. Per-query top-k lists are row_number filters, which Spark turns into partial limits before the
 shuffle.
 """
 
@@ -15,29 +15,45 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: So many distinct query terms at most are broadcast.
+FEW_TERMS = 200_000
 NEGATIVE_PENALTY, DEFINITION_BOOST = 0.25, 1.5
 #: Kinds and headings that retrieval leaves out.
 NOISE_TYPES = ("exercise", "references", "bibliography", "citations")
 NOISE_HEADERS = ("references", "selected bibliography", "bibliography", "further reading", "appendix", "exercises", "review questions")
 
 
-def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, tok, tf) and (id, dl), dl the number of tokens, 0 included."""
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """(id, toks, dl), dl the number of tokens, 0 included."""
     found = chunks.select("id", X.tokens(F.col("text")).alias("toks"))
-    tf = found.select("id", F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"))
-    return tf, found.select("id", F.size("toks").alias("dl"))
+    return found.withColumn("dl", F.size("toks"))
 
 
 def bm25_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tok, df, idf) and one row (n, avgdl). Negative idf is replaced by a quarter of the vocabulary's mean idf."""
-    tf, lengths = postings(chunks)
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
+    """(tok, df, idf) and one row (n, avgdl). Negative idf is replaced by a quarter of the vocabulary's mean idf.
+
+    Each text hands on its distinct tokens, which are counted before the shuffle: what moves is a row for each word and task, no postings."""
+    toks = tokenized(chunks)
+    whole = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = toks.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(whole)).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row of totals
     mean = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
     return idf.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf")), whole
 
 
+def asked_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, tok, qtf) and the distinct terms (tok); these are broadcast if they are few, and else joined by shuffles."""
+    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
+    terms = asked.select("tok").distinct()
+    return asked, F.broadcast(terms) if terms.count() <= FEW_TERMS else terms
+
+
+def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, tok, tf, dl) of the terms(tok) alone: other tokens go before anything is grouped."""
+    found = tokenized(chunks).select("id", "dl", F.explode("toks").alias("tok")).join(terms, "tok", "left_semi")
+    return found.groupBy("id", "tok").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
+
+
 def ranked(scored: DataFrame, k: int, *tie: Column | str, score: str = "score", by: str = "query_id") -> DataFrame:
     """The k rows of highest score for each query, with `rank` from 1."""
     order = Window.partitionBy(by).orderBy(F.desc(score), *(tie or ("id",)))
@@ -46,10 +62,10 @@ def ranked(scored: DataFrame, k: int, *tie: Column | str, score: str = "score",
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): a term that a query repeats counts each time; only positive scores."""
-    tf, lengths = postings(chunks)
+    asked, terms = asked_terms(queries)
     idf, whole = bm25_statistics(chunks)
-    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
-    hits = tf.join(asked, "tok").join(idf, "tok").join(lengths, "id").crossJoin(F.broadcast(whole))
+    known = asked.join(idf.join(terms, "tok", "left_semi"), "tok")
+    hits = postings(chunks, terms).join(known, "tok").crossJoin(F.broadcast(whole))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
@@ -58,8 +74,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked(bm25_scores(chunks, queries), k)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
@@ -67,9 +86,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int | None
     """vectors(id, v), queries(query_id, q) -> the k nearest by cosine. The stated queries meet the rows in blocks: each query goes once to
     each block of rows, where its k best are kept, so what is shuffled is k rows for each query and block. There are as many blocks as shuffle partitions."""
     blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return ranked(rows.join(asked, "block").select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")), k)
+    rows = vectors.select("id", "v", dot(F.col("v"), F.col("v")).alias("vv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = queries.select("query_id", "q", dot(F.col("q"), F.col("q")).alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return ranked(rows.join(asked, "block").select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq")), 6).alias("score")), k)
 
 
 def rrf(lists: list[DataFrame], k: int = 10, k_rrf: int = RRF_K) -> DataFrame:
@@ -108,10 +127,9 @@ def boosted(scored: DataFrame) -> DataFrame:
     )
 
 
-def hybrid(chunks: DataFrame, lists: list[DataFrame], intents: DataFrame, k: int = 5, candidates: int = 20) -> DataFrame:
-    """chunks with key_terms, ranked candidate lists and intents by query -> (query_id, rank, id, score): fusion, filter, boosts, top k."""
-    merged = rrf(lists, max(3 * k, candidates))
-    scored = boosted(drop_noise(merged.drop("rank").join(chunks, "id").join(intents, "query_id")))
+def hybrid(chunks: DataFrame, merged: DataFrame, intents: DataFrame, k: int = 5) -> DataFrame:
+    """chunks with key_terms, merged(query_id, id, score) of rrf() and intents by query -> (query_id, rank, id, score): filter, boosts, top k."""
+    scored = boosted(drop_noise(merged.join(chunks, "id").join(intents, "query_id")))
     return ranked(scored.withColumn("score", F.round("score", 9)).select("query_id", "id", "score"), k)
 
 

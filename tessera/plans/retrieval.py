@@ -9,6 +9,7 @@ from ..functions import query as Q
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..sources import relations as S
+from ..sources.shared import written
 from .registry import query
 
 TOK_SQL = f"""{S.CHUNKS_SQL}, toks as (select id, unnest({S.tokens_sql('text')}) tok from chunks), tf as (select id, tok, count(*) tf from toks group by all),
@@ -75,9 +76,8 @@ OVERLAP_SQL = "ov as (select query_id, id, score, row_number() over (partition b
 
 def _lists(spark, sf, k=20):
     chunks, queries = S.chunks(spark, sf), S.queries(spark, sf)
-    tf, lengths = R.postings(chunks)
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("tok"))
-    overlap = tf.join(asked, "tok").join(lengths, "id").groupBy("query_id", "id").agg(F.round(F.count("*") / F.sqrt(F.max("dl")), 9).alias("score"))
+    asked, terms = R.asked_terms(queries)
+    overlap = R.postings(chunks, terms).join(asked.select("query_id", "tok"), "tok").groupBy("query_id", "id").agg(F.round(F.count("*") / F.sqrt(F.max("dl")), 9).alias("score"))
     return [R.bm25(chunks, queries, k), R.ranked(overlap, k)]
 
 
@@ -126,13 +126,15 @@ HYBRID_SQL = f"""{RRF_SQL}, {KEY_TERMS_SQL}, it as (select item_id query_id, ite
   hy as (select *, {RANK_SQL}::int as rank from hs)"""
 
 
-def _chunks_with_terms(spark, sf):
-    chunks = S.chunks(spark, sf)
-    return chunks.join(key_terms(chunks), "id", "left").withColumn("key_terms", F.coalesce("key_terms", F.array().cast("array<string>")))
+def _candidates(spark, sf, k):
+    """The fused list, written once, and the chunks in it with their key terms."""
+    merged = written(R.rrf(_lists(spark, sf), k).drop("rank"))
+    chunks = S.chunks(spark, sf).join(merged.select("id").distinct(), "id", "left_semi")
+    return chunks.join(key_terms(chunks), "id", "left").withColumn("key_terms", F.coalesce("key_terms", F.array().cast("array<string>"))), merged
 
 
-def _hybrid(spark, sf, k=5):
-    return R.hybrid(_chunks_with_terms(spark, sf), _lists(spark, sf), _intents(spark, sf), k)
+def _hybrid(spark, sf, k=5, candidates=20):
+    return R.hybrid(*_candidates(spark, sf, max(3 * k, candidates)), _intents(spark, sf), k)
 
 
 @query("I5_hybrid_search", f"with {HYBRID_SQL} select query_id, rank, id, round(score, 8) score from hy where rank <= 5")
@@ -151,20 +153,22 @@ def _(spark, sf):
 
 
 def _boosted(spark, sf):
-    merged = R.rrf(_lists(spark, sf), 20).drop("rank")
-    found = R.boosted(R.drop_noise(merged.join(_chunks_with_terms(spark, sf), "id").join(_intents(spark, sf), "query_id")))
+    chunks, merged = _candidates(spark, sf, 20)
+    found = R.boosted(R.drop_noise(merged.join(chunks, "id").join(_intents(spark, sf), "query_id")))
     return found.select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query("I7_about_concept", f"with {HYBRID_SQL} select it.query_id, count(*) n from it, kt where concept is not null and len(list_filter(key_terms, lambda t: contains(t, concept))) > 0 group by it.query_id")
 def _(spark, sf):
-    terms = key_terms(S.chunks(spark, sf)).select("id", F.explode("key_terms").alias("t")).groupBy("t").agg(F.collect_set("id").alias("ids"))
+    held = key_terms(S.chunks(spark, sf)).select("id", F.explode("key_terms").alias("t"))
+    terms = held.select("t").distinct()
     asked = _intents(spark, sf).filter("concept is not null").select("query_id", "concept")
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substr(c, i, F.lit(4)))
     # substring containment as an equi-join on four-letter grams, then the test itself
-    left = terms.filter("length(t) >= 4").select("t", "ids", F.explode(F.array_distinct(grams(F.col("t")))).alias("g"))
+    left = terms.filter("length(t) >= 4").select("t", F.explode(F.array_distinct(grams(F.col("t")))).alias("g"))
     right = asked.select("query_id", "concept", F.substring("concept", 1, 4).alias("g"))
-    hit = left.join(right, "g").filter(F.contains("t", F.lower("concept"))).select("query_id", F.explode("ids").alias("id")).distinct()
+    hit = left.join(right, "g").filter(F.contains("t", F.lower("concept"))).select("query_id", "t").distinct()
+    hit = hit.join(held, "t").select("query_id", "id").distinct()  # rows of (term, id): no term's ids meet in one row
     return hit.groupBy("query_id").agg(F.count("*").alias("n"))
 
 

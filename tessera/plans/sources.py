@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,15 @@ from pyspark.sql import functions as F
 from ..operators import reviews as R
 from ..sources import files as A
 from ..sources import relations as S
+from ..sources.shared import shared_dir
 from ..streaming import reviews as K
 from .registry import query
 from .reviews import BASE
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
 
 
 def _chunk_file(spark, sf) -> str:
@@ -152,11 +151,28 @@ def _streamed(spark: SparkSession, source: DataFrame, plan, mode: str, files: in
     return spark.read.parquet(out)
 
 
+def _arriving(spark: SparkSession, source: DataFrame, plan, by: str, keys: list[str], times: int = 3, files: int = 4) -> DataFrame:
+    """As _streamed in update mode, but parts of `source` arrive in order of `by`, one after another, each as several files by key; the stream runs anew for each from its checkpoint."""
+    folder, out, state = _folder(spark, "in"), _folder(spark, "out"), _folder(spark, "state")
+    at = F.unix_micros(F.col(by).cast("timestamp"))
+    cuts = source.select(at.alias("at")).approxQuantile("at", [k / times for k in range(1, times)], 0.01)
+    part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    for k in range(times):
+        source.filter(part == k).repartition(files, *keys).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(source.schema).parquet(folder)
+        run = plan(stream).writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("K1_streaming_states", f"{BASE} select user_id, card_id, repetitions, interval_days, round(ease_factor, 6) ease_factor, lapses, reviews from states")
 def _(spark, sf):
-    """Attempts arrive in order of time, in one trigger for each file, so the stream ends where the batch fold does."""
-    a = S.attempts(spark, sf)
-    got = _streamed(spark, a, K.review_updates, "update", files=1)
+    """Attempts arrive in order of time in several triggers. The stream is stopped behind each and started again from its checkpoint, and ends where the batch fold does."""
+    got = _arriving(spark, S.attempts(spark, sf), K.review_updates, "attempted_at", ["user_id", "card_id"])
     last = got.groupBy("user_id", "card_id").agg(F.max_by(F.struct("repetitions", "interval_days", "ease_factor", "lapses", "reviews"), "_batch").alias("s")).select("user_id", "card_id", "s.*")
     return last.withColumn("ease_factor", F.round("ease_factor", 6))
 
