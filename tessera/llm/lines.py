@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: So many lines at most are broadcast (about 10 MB).
+FEW_LINES = 100_000
 BAND = 0.10  # six standard errors of a sketch of 2^12 registers
 
 
@@ -35,14 +37,20 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
     return rows.select("_id", "_t", "_site", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), F.col("_line")).alias("_h2"))
 
 
-def spread(lines: DataFrame, min_sites: int) -> DataFrame:
+def few_lines(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """df, to be broadcast if counted has few rows: then the many rows of a common line stay where they are. Else both sides are dealt out by line."""
+    return F.broadcast(df) if counted.count() <= FEW_LINES else df
+
+
+def spread(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
     """(_h1, _h2, first): the lines on min_sites sites or more, with their first place."""
     place = F.struct("_id", "_t", "_pos")
     sketched = lines.groupBy("_h1", "_h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(12))).alias("sites"), F.min(place).alias("first"))
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
-    near = sketched.filter((F.col("sites") >= low) & (F.col("sites") <= high))
+    sketched = scratch.table(sketched.filter(F.col("sites") >= low), "sketched")
+    near = sketched.filter(F.col("sites") <= high)
     # exact counts of the few near lines: sites once for each line first, then their number
-    exact = lines.join(near.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").select("_h1", "_h2", "_site").distinct().groupBy("_h1", "_h2").count()
+    exact = lines.join(few_lines(near.select("_h1", "_h2"), near), ["_h1", "_h2"], "left_semi").select("_h1", "_h2", "_site").distinct().groupBy("_h1", "_h2").count()
     sure = sketched.filter(F.col("sites") > high).select("_h1", "_h2", "first")
     return sure.unionByName(near.join(exact.filter(F.col("count") >= min_sites), ["_h1", "_h2"]).select("_h1", "_h2", "first"))
 
@@ -51,7 +59,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     """docs with boilerplate lines taken out of text_col, and ld_lines, ld_removed: how many lines each row had and lost."""
     scratch = Scratch(docs.sparkSession)
     lines = scratch.table(exploded(docs, id_col, text_col, site_col), "lines")  # hashes and places only: texts are read twice in all
-    hit = lines.join(spread(lines, min_sites), ["_h1", "_h2"])
+    common = scratch.table(spread(lines, min_sites, scratch), "common")
+    hit = lines.join(few_lines(common, common), ["_h1", "_h2"])
     if keep_first:
         hit = hit.filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy(F.col("_id").alias("_gid"), F.col("_t").alias("_gt")).agg(F.collect_set("_pos").alias("_gone"))
@@ -59,7 +68,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     text = F.col("_row")[text_col]
     joined = docs.select(row).withColumn("_th", F.xxhash64(text))
     joined = joined.join(gone, F.col("_row")[id_col].eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gt")), "left")
-    kept = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    # the lines are held by a lambda's variable, so that they are split once; places that stay come from a set difference
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
+    kept = F.get(F.transform(F.array(_lines(text)), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")), F.lit(0))
     kept = F.when(F.col("_gone").isNull(), text).otherwise(kept)
     n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
     return joined.select(

@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern (the set of sources that they belong to). A flow routes the patterns' tokens
 to the sources' quotas; the first pass over a pattern is free and each further one costs more (convex repetition costs),
 so repetition is used only where quotas cannot be met otherwise. The flow network has one node for each pattern and
-source, which the mixture's specification bounds, not the corpus. Inside a pattern every document is taken in whole passes, and
+source and is worked out on the driver: at most MAX_PATTERNS patterns, an error beyond. Inside a pattern every document is taken in whole passes, and
 the rest of the pattern's flow goes to documents in a seeded order, up to the rest, and then to a few further documents that close
 the remaining gap.
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
+#: Patterns of membership (and so sources) that the flow on the driver takes; more raise an error.
+MAX_PATTERNS = 20_000
 GAP_ROUNDS = 8
 _PICKS = "array<struct<_order:long,_key:string>>"
 WEIGHTS = (3, 1, 2)
@@ -115,6 +117,8 @@ class Mix:
         self.rows = rows = scratch.table(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in self.columns.items())), "sizes")
         ranges = rows.groupBy("_pattern", F.shiftright("_order", 48).alias("_range")).agg(F.sum("_size").alias("words"))
         ranges = scratch.table(ranges, "ranges")
+        if (n := ranges.select("_pattern").distinct().count()) > MAX_PATTERNS:
+            raise ValueError(f"{n} patterns of membership, over {MAX_PATTERNS}: join sources into groups first")
         found = {tuple(json.loads(r[0])): r for r in ranges.groupBy("_pattern").agg(F.sum("words")).collect()}
         patterns = {p: r[1] for p, r in found.items()}
         sizes: dict[str | None, int] = {}

@@ -7,8 +7,8 @@ partition selection, and the cells' lists are merged by score. Nothing is pruned
 
 Nulls and edge cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; an empty
 vector takes part with score 0; vectors of different lengths are compared over the positions that both have; rows that repeat
-an id count once, by the smallest vector; ties go to the smaller id; integer scores that a long cannot hold raise an
-error. Other columns are not read. Empty tables or no queries give an empty result.
+an id count once, by the smallest vector; ties go to the smaller id; components of 2^52 and above behind the scale, and integer
+scores that a long cannot hold, raise an error, since no exact long stands for them. Other columns are not read. Empty tables or no queries give an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CELL_ROWS = 16384
+LEAST_ROWS = 2048  # smaller cells are not made for the sake of parallel work
 QUERY_BLOCK = 64
 
 
@@ -85,7 +86,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     """(query_id, rank, id, score): for each row under is_query, the k other rows of highest inner product."""
     rows = quantized(vectors, id_col, vector_col, scale)
     asked = quantized(vectors.filter(is_query), id_col, vector_col, scale)
-    cells = max(1, -(-vectors.count() // cell_rows))
+    n = vectors.count()
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1, -(-n // cell_rows), min(parts, n // LEAST_ROWS))  # each cell is a partition of its own
     own = rows.select(F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("role"), "id", "v")
     past = asked.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(2).alias("role"), "id", "v")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "id", "score")])
@@ -140,6 +143,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         a, b = col.offsets[at].as_py(), col.offsets[at + 1].as_py()
         return col.values.to_numpy(zero_copy_only=False)[a:b]
 
-    found = own.unionByName(past).repartition("cell").sortWithinPartitions("cell", "role", "id", "v").mapInArrow(run, schema)
+    found = own.unionByName(past).repartitionById(cells, "cell").sortWithinPartitions("cell", "role", "id", "v").mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -313,6 +313,49 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_against_plain_votes(spark, docs):
+    """Counts, projection, cosines and votes by plain loops over every labelled row."""
+    import numpy as np
+
+    from tessera.llm import common
+
+    def one(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(common.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    def brute_counts(text):
+        out, raw = [0.0] * quality.DIMS, text.encode()
+        words = [one(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+        for k, h in enumerate(words):
+            out[h % 1024] += 1
+            out[2048] += k > 0 and words[k - 1] == h
+            out[2049] += k > 1 and words[k - 2] == h
+        shape = [1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in (9, 32) else 5 if c in (10, 11, 12, 13) else c for c in raw]
+        for k in range(len(shape) - 3):
+            gram = common.window_hashes(np.array(shape[k : k + 4], np.uint64), 4)
+            out[1024 + int(gram[0]) % 1024] += 1
+        return out
+
+    rows = [r for r in docs.collect() if r.doc_id is not None and not (r.doc_id == 7 and r.text is not None)]
+    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2) for r in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels, dims=6)
+    got = {(r.doc_id, r.text): r.score for r in quality.score(docs, model, keep=["doc_id", "text"], neighbours=5).collect()}
+    for r in rows:
+        found = brute_counts(r.text or "")
+        x = [np.log1p(c) * float(i) for c, i in zip(found, model.idf, strict=True)]
+        half = lambda v: [c / (sum(y * y for y in v) ** 0.5 or 1) for c in v]
+        x = [0.3 * c for c in half(x[:1024])] + half(x[1024:])
+        own = [sum(a * b for a, b in zip(x, axis, strict=True)) for axis in model.axes.T.astype(float).tolist()]
+        own = half(own)
+        near = sorted(((sum(a * b for a, b in zip(own, v, strict=True)), y) for v, y in zip(model.vectors.astype(float).tolist(), model.labels.tolist(), strict=True)), reverse=True)
+        if near[4][0] - near[5][0] < 1e-4:
+            continue  # a tie at the last neighbour
+        weights = [(max(c, 0) ** 8, y) for c, y in near[:5]]
+        total = sum(w for w, _ in weights)
+        want = sum(w * y for w, y in weights) / total if total else model.labels.mean()
+        assert got[(r.doc_id, r.text)] == pytest.approx(want, abs=2e-3)
+
+
 def brute_secrets(text):
     out = []
     for k, (kind, pattern, group, least) in enumerate(
@@ -338,6 +381,25 @@ def test_secrets(spark, docs):
     assert any(x.kind == "github" for r in secrets.scan(docs).collect() for x in r.secrets)
 
 
+def test_all_rules_against_full_scans(spark):
+    """Every rule's spans, also of the added kinds, equal a scan of whole texts by its regex alone."""
+    rnd = random.Random(21)
+    word = lambda n, a="abcdefXYZ0123456789_-": "".join(rnd.choice(a) for _ in range(n))
+    parts = [lambda: "-----BEGIN " + rnd.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----", lambda: f"gh{rnd.choice('pousrx')}_" + word(rnd.randint(34, 40), "abcXYZ019"), lambda: f"xox{rnd.choice('abprsz')}-" + word(rnd.randint(8, 14))]
+    parts += [lambda: f"eyJ{word(9)}.eyJ{word(rnd.randint(6, 9))}.{word(9)}", lambda: "AIza" + word(rnd.randint(33, 37)), lambda: f"{rnd.choice('srx')}k_live_" + word(rnd.randint(14, 18), "aZ9"), lambda: rnd.choice(["Bearer ", "bEARER   ", "bearer"]) + word(rnd.randint(18, 24))]
+    parts += [lambda: " ", lambda: "\n", lambda: "é🙂ſK", lambda: "password=" + word(rnd.randint(10, 14), "abc"), lambda: "AKIA" + word(15, "AB9"), lambda: word(17, "0af")]
+    texts = ["".join(rnd.choice(parts)() for _ in range(rnd.randint(1, 8))) for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = set()
+    for r in secrets.scan(docs).collect():
+        want = []
+        for n, rule in enumerate(secrets.RULES):
+            want += [(m.start(), n, m.end()) for m in re.finditer(rule.pattern, texts[r.doc_id], re.ASCII) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        assert [(x.kind, x.start, x.end) for x in r.secrets] == [(secrets.RULES[n].kind, a, b) for a, n, b in sorted(want)]
+        seen |= {x.kind for x in r.secrets}
+    assert seen == {r.kind for r in secrets.RULES}
+
+
 def test_trigram_queries():
     """A match always satisfies its rule's query."""
     samples = {"pem": "-----BEGIN RSA PRIVATE KEY-----", "slack": "xoxb-1234567890-abc", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_-1", "google": "AIza" + "a" * 35, "stripe": "sk_live_" + "a" * 20, "bearer": "BEARER " + "a" * 24}
