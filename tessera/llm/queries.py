@@ -33,7 +33,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chat.read_back(chat.windows(turns.unionByName(more)))
     whole = back.groupBy("conv_id").agg(
         F.sum(F.size("turns")).alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("chunk", "window", "turns", "targets"))).alias("w"),
+        F.array_sort(F.collect_list(F.struct("window", "turns", "targets"))).alias("w"),
         F.sum("chars").alias("formatted_chars"),
     )
     said = F.array_join(F.transform(F.flatten(F.transform("w", lambda w: w["turns"])), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import pytest
 
@@ -20,6 +21,10 @@ def turns():
     rows = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello")]
     rows += [(2, k, ("user", "assistant")[k % 2], rnd.choice(odd) if k % 3 else "text " * rnd.randint(1, 200)) for k in range(40)]
     rows += [(3, k, "system" if k == 0 else ("user", "assistant")[k % 2], "t" * rnd.randint(0, 90)) for k in range(700)]
+    rows += [(5, 3 * k, "system" if k == 400 else ("user", "assistant")[k % 2], f"{k} " * rnd.randint(0, 60)) for k in range(1100)]  # the system turn stands far behind
+    rows += [(6, 256 * k, ("user", "assistant")[k % 2], f"sparse {k} " * rnd.randint(1, 9)) for k in range(40)]  # a turn for each run
+    rows += [(None, 1 + k, "system" if k == 2 else ("assistant", "user")[k % 2], f"none {k} " * rnd.randint(1, 9)) for k in range(600)]
+    rows += [(7, 0, "system", "s " * 700), *((7, 1 + k, ("user", "assistant")[k % 2], "x " * 40) for k in range(300))]  # leaves no room
     rows += [(4, 0, "assistant", "twice"), (4, 0, "assistant", "twice"), (4, None, "we\nird<s>", "x"), (4, 5, None, None), (None, 0, "user", "no id")]
     return rows
 
@@ -33,22 +38,48 @@ def test_chat(spark):
     for r in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         by.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
     for conv, want in by.items():
-        own = sorted((r for r in back if r.conv_id == conv), key=lambda r: (r.chunk, r.window))
+        own = sorted((r for r in back if r.conv_id == conv), key=lambda r: r.window)
         assert [(t.role, t.text) for r in own for t in r.turns] == want
         assert [t for r in own for t in r.targets] == [t for role, t in want if role == "assistant"]
+    made = {}
+    for r in out.collect():
+        made.setdefault(r.conv_id, {})[r.window] = r.formatted
+    assert made == {conv: brute_windows(want, 300, 80) for conv, want in by.items()}
     longest = {}
     for r in out.collect():
         size = sum(math.ceil((len(p) - len(chat.END)) / 4) + 4 for p in (x + chat.END for x in r.formatted.split(chat.END)[:-1]))
         new = r.formatted.count(chat.END) - r.repeated
-        assert new >= 1 and (size <= 300 or new == 1)
+        assert new >= 1 and (size <= 300 or new == 1 or r.conv_id == 7)
         assert "[INST]" not in r.formatted and "</s>" not in r.formatted
         longest[r.conv_id] = max(longest.get(r.conv_id, 0), r.repeated)
-        if r.conv_id == 3 and (r.chunk, r.window) != (0, 0):
+        if r.conv_id == 3 and r.window != 0:
             assert r.repeated >= 1 and r.formatted.startswith("<|im_start|>system\n")
     assert longest[2] >= 1
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def brute_windows(turns, budget, history, history_turns=4):
+    """Formatted windows of one conversation's (role, text) in order, turn by turn."""
+
+    def esc(t):
+        return re.sub(r"(<)(/?s>|<SYS>>|</SYS>>|\|[a-z_]+\|>)|(\[)(/?INST\])", lambda m: (m[1] or m[3]) + "\\-" + (m[2] or m[4]), t.replace("\\", "\\\\"))
+
+    said = [chat.START + esc(role).replace("\n", "\\n") + "\n" + esc(text) for role, text in turns]
+    n = [math.ceil(len(x) / 4) + 4 for x in said]
+    system = next((k for k, (role, _) in enumerate(turns) if role == "system"), None)
+    step, begin, out, last = max(64, budget - history - (n[system] if system is not None else 0)), 0, {}, None
+    begins = []
+    for k, x in enumerate(said):
+        begins.append(begin)
+        window = 2 * (begin // step) + ((begin + n[k] - 1) // step > begin // step)
+        if window != last:
+            first = [said[system]] if system is not None and system < k else []
+            out[window] = first + [said[j] for j in range(max(0, k - history_turns), k) if begin - begins[j] <= history and j != system]
+        out[window].append(x)
+        last, begin = window, begin + n[k]
+    return {w: "".join(p + chat.END for p in ps) for w, ps in out.items()}
+
+
 def test_topk(spark):
     rnd = random.Random(8)
     rows = [(i, [rnd.choice([0.0, 0.5, -0.25, rnd.uniform(-1, 1)]) for _ in range(rnd.choice([6, 6, 6, 4]))]) for i in range(260)]
