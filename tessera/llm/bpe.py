@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import raw, slices
+from .common import give_back, slices, small_batches
 
 CACHE_PIECES = 1 << 17  # in each of two generations
 STABLE_PAIRS = 1 << 20
@@ -145,6 +145,11 @@ class Encoder:
             cls.made[key] = cls(Vocabulary.read(content), pattern)
         return cls.made[key]
 
+    def rest(self) -> None:
+        """At the end of a task: the worker may next do something else, or nothing. The vocabulary stays."""
+        self.cache, self.old = {}, {}
+        self.vocabulary.stable.clear()
+
     def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of the pieces, which the cache does not have; their tables are filled in one pass, side by side."""
         out = {}
@@ -216,6 +221,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 
     decoded_col: also decodes the ids, in the same pass and the same worker, into a column of bytes.
     """
+    small_batches(docs.sparkSession)
     content = _content(docs.sparkSession, vocabulary)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (out_col, decoded_col)]  # columns of these names are replaced
     more = [T.StructField(decoded_col, T.BinaryType())] if decoded_col else []
@@ -234,12 +240,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             back = [_decoded(table, flat, ends)] if decoded_col else []
             yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), ids, *back], names=[f.name for f in schema])
+            del batch, ids, back, flat, ends
+        encoder.rest()
+        give_back()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns and out_col: the bytes that the ids stand for."""
+    small_batches(tokens.sparkSession)
     content = _content(tokens.sparkSession, vocabulary)
     schema = T.StructType([*tokens.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = tokens.columns.index(ids_col)

@@ -36,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts of 10,000 rows at once are held by Spark and by the worker, beside what is made of them. Lowers the default for the session; another setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _roots: list[str] = []
 
 
@@ -57,6 +68,7 @@ class Scratch:
     """Intermediate tables in the shared folder. A written table cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
         if not _roots:
@@ -84,7 +96,7 @@ class Scratch:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each slice has about max_bytes of text and max_rows at most (one row at least): what is worked on at once is bounded
-    by these and the longest text. What arrives at once is Spark's to bound: spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default).
+    by these and the longest text. What arrives at once is Spark's to bound: see small_batches, and spark.sql.execution.arrow.maxBytesPerBatch.
 
     At the end of a task the worker gives freed memory back, as it may wait idle beside the next tasks."""
     for batch in batches:
@@ -97,10 +109,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             yield batch.slice(at, to - at)
             at = to
         del batch, col, ends
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 PIECE_WORDS = 16
 _SENTENCE = re.compile(r"[^.!?]*[.!?]*")
@@ -146,6 +146,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ranges of ids, so neighbours meet in one task. Only ids are sorted to find where ranges begin (one value per partition
     on the driver), and the first row of each range is also sent to the range before it. Texts move once, compressed.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

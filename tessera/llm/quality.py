@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SEGMENT, raw, slices, window_hashes, word_hashes, words
+from .common import SEGMENT, raw, slices, small_batches, window_hashes, word_hashes, words
 
 WORD_DIMS, SHAPE_DIMS, MARKS = 1024, 1024, 4
 DIMS = WORD_DIMS + SHAPE_DIMS + MARKS
@@ -126,6 +126,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, dims: int = 48, seed: int = 17) -> Model:
     """Learns from labels that are not held out. Reads the corpus for document frequencies, and the labelled sample's texts."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     sample = usable.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(max_labelled)
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", neighbours: int = 15, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (id by default), score double and predicted int: 1 if score >= 0.5, else 0."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [id_col] if keep is None else keep
     columns = list(dict.fromkeys([*keep, text_col]))

@@ -28,7 +28,7 @@ except ImportError:  # pragma: no cover
     import sre_constants as sre
     import sre_parse
 
-from .common import raw, slices
+from .common import raw, slices, small_batches
 
 
 @dataclass(frozen=True)
@@ -205,6 +205,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     """(id, secrets: array of (kind, start, end)), by start and then in the order of the rules."""
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([docs.schema[id_col], T.StructField("secrets", T.ArrayType(item))])
+    small_batches(docs.sparkSession)
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(_needed, queries)))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from .common import Scratch, raw, slices
+from .common import Scratch, give_back, raw, slices
 from .components import components
 
 #: So many ids at most are broadcast to take rows out (8 MB of longs).
@@ -256,6 +256,7 @@ def links(fps: DataFrame, max_bits: int, chosen: Plan) -> DataFrame:
             held = [(k[cut:], v[cut:], fp[cut:])]
         if held:
             yield from verified(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        give_back()
 
     return probes.select("k", "v", "fp").repartition("k", "v").sortWithinPartitions("k", "v").mapInArrow(run, "a long, b long").distinct()
 

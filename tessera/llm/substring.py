@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, raw, slices, window_hashes, word_hashes, words
+from .common import raw, slices, small_batches, window_hashes, word_hashes, words, Scratch
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +149,7 @@ def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept, spans): kept is the remaining words joined by single spaces; spans are the removed word ranges."""
+    small_batches(docs.sparkSession)
     texts = packed(docs, id_col, text_col)
     found = repeats(docs, texts, id_col, text_col, length).filter(F.col(id_col) > F.col("least"))
     marks = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("pos").alias("at"))
