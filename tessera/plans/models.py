@@ -33,16 +33,13 @@ def _(spark, sf):
     return b.select(F.col("item_id").alias("query_id"), F.coalesce(given, F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("dense_input"))
 
 
-@query("I20_incremental_vector_search", f"with {VEC_SQL}, r as (select *, {RANK_SQL} as rank from vq where id % 7 <> 3) select query_id, rank::int as rank, id, score from r where rank <= 5")
-def _(spark, sf):
-    """Exact search over the rows that have a vector at present; rows still to be filled take no part."""
-    rows, asked = _vectors(spark, sf)
-    return R.dense(rows.filter("id % 7 <> 3"), asked, 5).select("query_id", "rank", "id", "score")
+SEARCH_SQL = f"with {VEC_SQL}, r as (select *, {RANK_SQL} as rank from vq where score is not null) select query_id, rank::int as rank, id, score from r where rank <= 5"
 
 
-@query("I20_search_all_vectors", f"with {VEC_SQL}, r as (select *, {RANK_SQL} as rank from vq where score is not null) select query_id, rank::int as rank, id, score from r where rank <= 5")
+@query("I20_search_all_vectors", SEARCH_SQL)
+@query("I20_incremental_vector_search", SEARCH_SQL)
 def _(spark, sf):
-    """As I20_incremental_vector_search, over all rows: only a vector that is null takes no part."""
+    """Exact search over the rows that have a vector at present; rows still to be filled, whose vector is null, take no part."""
     rows, asked = _vectors(spark, sf)
     return R.dense(rows.filter("v is not null"), asked.filter("q is not null"), 5).select("query_id", "rank", "id", "score")
 

@@ -97,29 +97,9 @@ def _(spark, sf):
 
 
 WORDS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower(trim({})), '\\s+'), lambda w: w <> ''))"
-PAIRS_SQL = f"""bq as (select item_id id, array_to_string(string_split(coalesce(text, ''), ' ')[1:6 - item_id % 2], ' ') || case when item_id % 4 < 2 then ' of the same kind as all others here' else '' end query from benchmark
-    union all select item_id + 100000, array_to_string(string_split(coalesce(text, ''), ' ')[1:6 - item_id % 2], ' ') || case when item_id % 4 < 2 then ' of the same kind as all others here' || case when item_id % 8 = 0 then ' now' else '' end else '' end from benchmark where item_id % 4 < 3),
-  ws as (select id, lower(trim(query)) t, {WORDS_SQL.format('query')} w from bq), prs as (select x.id a, y.id b from ws x join ws y on x.id < y.id where x.t = y.t or (len(x.w) > 0 and len(y.w) > 0 and len(list_intersect(x.w, y.w))::double / len(list_distinct(list_concat(x.w, y.w))) > 0.8))"""
-
-
-def _short_questions(spark, sf):
-    b = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = F.array_join(F.slice(F.split("text", " "), F.lit(1), (6 - F.col("id") % 2).cast("int")), " ")
-    tail = F.when(F.col("id") % 4 < 2, F.lit(" of the same kind as all others here")).otherwise(F.lit(""))
-    again = b.filter("id % 4 < 3").select((F.col("id") + 100000).alias("id"), F.concat(base, tail, F.when(F.col("id") % 8 == 0, F.lit(" now")).otherwise(F.lit(""))).alias("query"))
-    return b.select("id", F.concat(base, tail).alias("query")).unionByName(again)
-
-
-@query("O14_jaccard_pairs", f"with {PAIRS_SQL} select a, b from prs where (select t from ws where id = a) <> (select t from ws where id = b) or a = (select min(id) from ws z where z.t = (select t from ws where id = b))")
-def _(spark, sf):
-    return O.similar_pairs(_short_questions(spark, sf))
-
-
-@query("H11_greedy_dedup", f"""with recursive {PAIRS_SQL}, o as (select id, row_number() over (order by id) n from bq), g as (select 0::bigint n, []::bigint[] kept union all
-  select o.n, case when exists (select 1 from prs where b = o.id and list_contains(g.kept, a)) then g.kept else list_append(g.kept, o.id) end from g join o on o.n = g.n + 1)
-  select unnest(kept) id from g where n = (select count(*) from bq)""")
-def _(spark, sf):
-    return O.greedy_dedup(_short_questions(spark, sf)).select("id")
+PAIRS_SQL = f"""b0 as (select item_id id, coalesce(text, '') query from benchmark),
+  bq as (select * from b0 union all select id + (select coalesce(max(id), 0) + 1 from b0), case id % 4 when 0 then query when 1 then query || ' now' else regexp_replace(query, '\\s*\\S+\\s*$', '') end from b0 where id % 4 < 3),
+  ws as (select id, lower(trim(query)) t, {WORDS_SQL.format('query')} w from bq), prs as (select x.id a, y.id b, x.t ta, y.t tb from ws x join ws y on x.id < y.id where x.t = y.t or (len(x.w) > 0 and len(y.w) > 0 and len(list_intersect(x.w, y.w))::double / len(list_distinct(list_concat(x.w, y.w))) > 0.8))"""
 
 
 def _whole_questions(spark, sf):
@@ -131,12 +111,23 @@ def _whole_questions(spark, sf):
     return q.unionByName(q.filter(k < 3).crossJoin(offset).select((F.col("id") + F.col("after")).alias("id"), varied.alias("query")))
 
 
-@query("O14_whole_texts")
+JACCARD_SQL = f"with {PAIRS_SQL}, first_ as (select t, min(id) id from ws group by t) select a, b from prs where ta <> tb or a = (select id from first_ where t = tb)"
+
+
+@query("O14_whole_texts", JACCARD_SQL)
+@query("O14_jaccard_pairs", JACCARD_SQL)
 def _(spark, sf):
     return O.similar_pairs(_whole_questions(spark, sf))
 
 
-@query("H11_whole_texts")
+GREEDY_SQL = f"""with recursive {PAIRS_SQL}, o as (select id, row_number() over (order by id) n from bq), near as (select b, list(a) earlier from prs group by b),
+  p as (select n, id, coalesce(earlier, []) earlier from o left join near on b = id),
+  g as (select 0::bigint n, []::bigint[] kept union all select p.n, case when list_has_any(g.kept, p.earlier) then g.kept else list_append(g.kept, p.id) end from g join p on p.n = g.n + 1)
+  select unnest(kept) id from g where n = (select count(*) from bq)"""
+
+
+@query("H11_whole_texts", GREEDY_SQL)
+@query("H11_greedy_dedup", GREEDY_SQL)
 def _(spark, sf):
     return O.greedy_dedup(_whole_questions(spark, sf)).select("id")
 
