@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, merkle, mixing, quality, secrets, simhash, substring, topk
+from . import align, bpe, chat, codes, lines, merkle, mixing, quality, secrets, simhash, substring, topk, warc
+from .common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,8 +108,35 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes every vector by four codebooks of 256 entries, with its error and its label's."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = codes.fit(vectors)
+    coded = Scratch(spark).table(codes.encode(vectors, books, keep=["vec_id", "label"]), "codes")
+    total = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    code = F.concat_ws("", F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return coded.join(total, F.col("label").eqNullSafe(F.col("_label"))).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligns the tokens of two tokenizers in every document, and scores its links by corpus counts."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, keep=["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.encode("alignment", "UTF-8"), 256)).otherwise("")
+    kept = Scratch(spark).table(found.withColumn("groups_sha256", digest).drop("alignment"), "aligned")
+    return align.scored(kept, align.piece_count(b)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to WARC archives and reads them back, revisits resolved."""
+    scratch = Scratch(spark)
+    archives = warc.write(_table(spark, sf_dir, "pages"), f"{scratch.root}/archives")
+    found = scratch.table(warc.read(archives).drop("fields", "payload"), "records")
+    return warc.resolved(found).select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op3_chat_format, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op7_line_dedup, op8_source_mixing, op9_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_topk, op3_chat_format, op4_substring_dedup, op5_merkle_fingerprints, op6_byte_bpe, op7_line_dedup, op8_source_mixing, op9_quality_classifier, op10_secret_scan, op11_vector_codes, op12_tokenizer_alignment, op13_warc_archives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -170,4 +198,40 @@ def oracle_sql() -> dict[str, str]:
                   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
             r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
             select query_id, rank, vec_id, score from r where rank <= 10""",
+        "op11_vector_codes": _codes_sql(),
+        "op13_warc_archives": """
+            with p as (select page_id, coalesce(html, '') h from pages),
+            t as (select page_id, strlen(h)::bigint n, sha1(h) s, case when strlen(h) >= 1000 then max(page_id) over (partition by h) end top from p),
+            r as (select *, top is not null and page_id is distinct from top again from t)
+            select page_id, n payload_bytes, s payload_digest, case when again then 'revisit' else 'response' end record_type, case when again then top end refers_to from r""",
     }
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Distances as |x|^2 - 2 x.c + |c|^2 over whole doubles, which are exact here."""
+    near = """select p.part, p.id, min({{'d': list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x), 'i': b.i}}) m from p join b{k} b on p.part = b.part group by p.part, p.id"""
+    step = (
+        """a{k} as materialized ("""
+        + near
+        + """),
+            s{k} as (select part, i, list(floor(t / n) order by pos) x from (select a.part, m.i i, pos, sum(p.x[pos]) t, count(*) n from a{k} a join p on p.part = a.part and p.id = a.id, (select unnest(range(1, 1 + (select len(x) from p limit 1))) pos) group by a.part, m.i, pos) group by part, i),
+            b{n} as materialized (select b.part, b.i, coalesce(s.x, b.x) x from b{k} b left join s{k} s on b.part = s.part and b.i = s.i),
+            """
+    )
+    return (
+        """
+            with v as materialized (select row_number() over (order by vec_id nulls last, embedding) id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) e from embeddings
+                  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+            p as materialized (select id, part, e[part * len(e) // 4 + 1 : (part + 1) * len(e) // 4] x from v, (select unnest(range(4)) part)),
+            b0 as materialized (select part, id - 1 i, x from p where id <= 256),
+            """
+        + "".join(step.format(k=k, n=k + 1) for k in range(rounds))
+        + f"z as materialized ({near.format(k=rounds)}),"
+        + """
+            c as (select id, string_agg(lower(lpad(to_hex(m.i), 2, '0')), '' order by part) code, sum(m.d)::bigint error from z group by id),
+            l as (select v.label, sum(error)::bigint label_error from c join v using (id) group by v.label),
+            h as (select sha256(string_agg(list_aggregate(list_transform(x, lambda y: y::bigint::varchar), 'string_agg', ','), ',' order by part, i)) books from b"""
+        + str(rounds)
+        + """)
+            select v.vec_id, c.code, c.error, l.label_error, h.books codebooks_sha256 from c join v using (id) join l on v.label is not distinct from l.label, h"""
+    )
