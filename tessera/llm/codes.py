@@ -2,8 +2,8 @@
 
 The nearest entry is found exactly. Bounds from coarse to fine come first: a part is cut into segments, and of two vectors'
 segments the squared distance is at least length x (difference of means)^2 + (difference of residual norms)^2. Level one has
-one segment, level two segments of four components. An entry whose bound lies above the exact distance of the best entry
-seen so far is filtered out, with room for rounding; what survives both levels gets exact integer distances.
+one segment, level two segments of four components, level three of two. An entry whose bound lies above the exact distance of the best entry
+seen so far is filtered out, with room for rounding; what survives all levels gets exact integer distances.
 
 A round sends one row a task for each entry and component, so no group of vectors is moved; codebooks are of fixed size and go
 to the tasks with the code. The table is read once for its width, once for the seeds, once a round and once for the codes.
@@ -32,7 +32,7 @@ ROWS_AT_ONCE = 1024
 #: Rows after which a task hands its sums on; with it sums of components below 2^42 fit in a long.
 ROWS_A_SUM = 1 << 20
 #: Components of a segment by level; 0: the whole part.
-SEGMENTS = (0, 4)
+SEGMENTS = (0, 4, 2)
 #: Room for rounding, as a share of the squared norms.
 ROOM = 1e-9
 
@@ -61,18 +61,24 @@ def _fits(*blocks: np.ndarray) -> bool:
     return 4 * most * most * max(b.shape[1] for b in blocks) < 1 << 62
 
 
-class Segments:
-    """Means and residual norms of the rows' segments at one level."""
+def segments(rows: np.ndarray, size: int) -> np.ndarray:
+    """Each row's means (times the root of the length) and residual norms by segment: the squared distance of two such rows bounds that of the rows from below."""
+    n, width = rows.shape
+    if not width:
+        return np.zeros((n, 0))
+    cuts = np.arange(0, width, size or width)
+    sizes = np.diff(np.append(cuts, width))
+    x = rows.astype(np.float64)
+    means = np.add.reduceat(x, cuts, axis=1) / sizes
+    rest = (x - np.repeat(means, sizes, axis=1)) ** 2
+    return np.concatenate([means * np.sqrt(sizes), np.sqrt(np.add.reduceat(rest, cuts, axis=1))], axis=1)
 
-    def __init__(self, rows: np.ndarray, size: int):
-        n, width = rows.shape
-        size = size or max(1, width)
-        cuts = np.arange(0, width, size)
-        self.sizes = np.diff(np.append(cuts, width)).astype(np.float64)
-        x = rows.astype(np.float64)
-        self.means = np.add.reduceat(x, cuts, axis=1) / self.sizes if width else np.zeros((n, 0))
-        rest = (x - np.repeat(self.means, self.sizes.astype(np.int64), axis=1)) ** 2
-        self.norms = np.sqrt(np.add.reduceat(rest, cuts, axis=1)) if width else np.zeros((n, 0))
+
+def _first_least(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Of pairs that lie by row (each row has one at least): the place of each row's first least value."""
+    least = np.minimum.reduceat(values, np.searchsorted(row, np.arange(n)))
+    at = np.flatnonzero(values == least[row])
+    return at[np.append(True, np.diff(row[at]) > 0)]
 
 
 class Book:
@@ -80,40 +86,40 @@ class Book:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        self.levels = [Segments(entries, s) for s in SEGMENTS]
+        self.levels = [segments(entries, s) for s in SEGMENTS]
         self.square = (entries.astype(np.float64) ** 2).sum(1)
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Index and exact squared distance of each row's nearest entry (ties: the lower index), and how many exact distances were taken."""
-        fits = _fits(rows, self.entries)
-        kind = np.int64 if fits else object
+        kind = np.int64 if _fits(rows, self.entries) else object
+        own, entries = rows.astype(kind), self.entries.astype(kind)
 
         def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return ((rows[i].astype(kind) - self.entries[j].astype(kind)) ** 2).sum(1)
-
-        n, square = len(rows), (rows.astype(np.float64) ** 2).sum(1)
-        first, own = self.levels[0], Segments(rows, SEGMENTS[0])
-        bound = np.zeros((n, len(self.entries)))
-        for s, size in enumerate(first.sizes):
-            bound += size * (own.means[:, s, None] - first.means[None, :, s]) ** 2 + (own.norms[:, s, None] - first.norms[None, :, s]) ** 2
-        bound -= ROOM * (square[:, None] + self.square)
-        best = exact(np.arange(n), bound.argmin(1)).astype(np.float64)
-        i, j = np.nonzero(bound <= (best * (1 + ROOM))[:, None])
-        for level, size in zip(self.levels[1:], SEGMENTS[1:], strict=True):
-            own = Segments(rows, size)
-            bound = (level.sizes * (own.means[i] - level.means[j]) ** 2 + (own.norms[i] - level.norms[j]) ** 2).sum(1) - ROOM * (square[i] + self.square[j])
-            starts = np.searchsorted(i, np.arange(n))
-            least = np.minimum.reduceat(bound, starts)
-            at = np.flatnonzero(bound == least[i])  # one pair or more of each row
-            at = at[np.append(True, np.diff(i[at]) > 0)]
-            best = np.minimum(best, exact(i[at], j[at]).astype(np.float64))
-            left = bound <= best[i] * (1 + ROOM)
-            i, j = i[left], j[left]
+            apart = own[i] - entries[j]
+            return (apart * apart).sum(1) if kind is object else np.einsum("ij,ij->i", apart, apart)
+
+        n, every = len(rows), np.arange(len(rows))
+        square = (rows.astype(np.float64) ** 2).sum(1)
+        room = ROOM * (square[:, None] + self.square)
+        best, open_ = np.full(n, np.inf), np.ones((n, len(self.entries)), bool)
+        for size, level in zip(SEGMENTS, self.levels, strict=True):
+            mine = segments(rows, size)
+            if np.count_nonzero(open_) * 16 < open_.size:  # few are left: each by itself
+                i, j = np.nonzero(open_)
+                bound = ((mine[i] - level[j]) ** 2).sum(1) - room[i, j]
+                at = _first_least(bound, i, n)
+                best = np.minimum(best, exact(i[at], j[at]).astype(np.float64))
+                open_[i, j] = bound <= best[i] * (1 + ROOM)
+                continue
+            bound = mine @ level.T
+            bound *= -2
+            bound += (mine * mine).sum(1)[:, None] + (level * level).sum(1)
+            bound -= room
+            best = np.minimum(best, exact(every, np.where(open_, bound, np.inf).argmin(1)).astype(np.float64))
+            open_ &= bound <= (best * (1 + ROOM))[:, None]
+        i, j = np.nonzero(open_)
         far = exact(i, j)
-        starts = np.searchsorted(i, np.arange(n))
-        least = np.minimum.reduceat(far, starts)
-        at = np.flatnonzero(far == least[i])
-        at = at[np.append(True, np.diff(i[at]) > 0)]  # pairs lie by row, then by entry
+        at = _first_least(far, i, n)
         return j[at], far[at], len(i)
 
 
