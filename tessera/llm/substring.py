@@ -12,9 +12,9 @@ the length before; only what repeats in another document at one level is extende
 
 A key's rows meet in windowed aggregates over sorted, spillable runs of small rows; texts meet only their own positions.
 Documents are compressed while they are moved. Nulls and edge cases: a null text has no words; texts shorter than a window
-keep all words; a null id is never removed from and removes nothing; rows that repeat an id count as one document, in which
-a position marked in one row is marked in all; equal windows inside one document are no repeats. An empty table gives an
-empty result.
+keep all words; a null id is never removed from and removes nothing; rows that repeat an id count as one document, and
+words go from the row whose text has the window (a hash of the text stands beside the id); equal windows inside one document are
+no repeats. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,20 +57,29 @@ def _texts(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
 
+#: Tells rows of one id apart by their texts.
+TEXT = "_text"
+_TEXT = T.StructField(TEXT, T.LongType())
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias(TEXT))
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, z): the text's bytes, compressed, for moving."""
+    """(id, _text, z): the text's bytes, compressed, for moving."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in slices(batches, text_col):
             out = [pack.compress(x.encode()) if x else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=[id_col, TEXT, "z"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("z", T.BinaryType())]))
+    return _rows(docs, id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], _TEXT, T.StructField("z", T.BinaryType())]))
 
 
 def anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(seed, id, pos): each document's anchors."""
+    """(seed, id, _text, pos): each row's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
@@ -81,10 +90,11 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
             at = np.unique(at)
             doc = np.searchsorted(first, at, side="right") - 1
             seed = window_hashes(h, max(1, length // 2))[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(seed), batch.column(0).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32))], names=["seed", id_col, "pos"])
+            own = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(seed), batch.column(0).take(own), batch.column(2).take(own), pa.array((at - first[doc]).astype(np.int32))], names=["seed", id_col, TEXT, "pos"])
 
-    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema[id_col], T.StructField("pos", T.IntegerType())])
-    return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema[id_col], _TEXT, T.StructField("pos", T.IntegerType())])
+    return _rows(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, schema)
 
 
 def repeated(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -93,19 +103,25 @@ def repeated(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return rows.withColumn("least", F.min(id_col).over(w)).withColumn("most", F.max(id_col).over(w)).filter("least <> most").drop("most")
 
 
+def _marked(texts: DataFrame, marks: DataFrame, id_col: str) -> DataFrame:
+    """(id, _text, z, at): the texts with the positions of marks(id, _text, at array), null for rows without any."""
+    own = marks.select(F.col(id_col).alias("_id"), F.col(TEXT).alias("_own"), "at")
+    return texts.join(own, (F.col(id_col) == F.col("_id")) & (F.col(TEXT) == F.col("_own")), "left").select(id_col, TEXT, "z", "at")
+
+
 def windows(texts: DataFrame, marked: DataFrame, id_col: str, length: int) -> DataFrame:
-    """(h, x, id, pos): the windows whose anchor's position is in marked(id, at array), named by 96 bits."""
+    """(h, x, id, _text, pos): the windows whose anchor's position is in marked(id, _text, at array), named by 96 bits."""
     # an outer join, as in dedup(): both then read one and the same shuffle of the texts
-    joined = texts.join(marked.withColumnRenamed(id_col, "_id"), F.col(id_col) == F.col("_id"), "left").select(id_col, "z", "at")
+    joined = _marked(texts, marked, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "z", 1 << 20):
-            batch = batch.filter(pc.and_(batch.column(1).is_valid(), batch.column(2).is_valid()))
-            data, offsets = _texts(batch, 1)
+            batch = batch.filter(pc.and_(batch.column(2).is_valid(), batch.column(3).is_valid()))
+            data, offsets = _texts(batch, 2)
             starts, ends, first = words(data, offsets)
             h = word_hashes(data, starts, ends)
             begin, anchor = _anchors(h, first, length)
-            lists = batch.column(2)
+            lists = batch.column(3)
             of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             wanted = np.zeros(len(h) + 1, bool)
             wanted[np.minimum(first[of] + lists.flatten().to_numpy(), len(h))] = True
@@ -113,23 +129,24 @@ def windows(texts: DataFrame, marked: DataFrame, id_col: str, length: int) -> Da
             doc = np.searchsorted(first, begin, side="right") - 1
             name = window_hashes(h, length)[begin] if len(begin) else np.zeros(0, np.uint64)
             more = window_hashes(word_hashes(data, starts, ends, 0xC2B2AE3D27D4EB4F), length, 0xFF51AFD7ED558CCD)[begin] if len(begin) else name
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(doc)), pa.array((begin - first[doc]).astype(np.int32))], names=["h", "x", id_col, "pos"])
+            own = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array((begin - first[doc]).astype(np.int32))], names=["h", "x", id_col, TEXT, "pos"])
 
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("x", T.IntegerType()), texts.schema[id_col], T.StructField("pos", T.IntegerType())])
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("x", T.IntegerType()), texts.schema[id_col], _TEXT, T.StructField("pos", T.IntegerType())])
     return joined.mapInArrow(run, schema)
 
 
 def doubled(level: DataFrame, id_col: str, length: int) -> DataFrame:
-    """(h, x, id, pos) repeated at `length` -> candidates at twice that: windows whose halves both repeat, named by their halves' names."""
-    left = level.select(id_col, "pos", "h", "x")
-    right = level.select(id_col, (F.col("pos") - length).alias("pos"), F.col("h").alias("h2"), F.col("x").alias("x2"))
-    return left.join(right, [id_col, "pos"]).select(F.xxhash64("h", "x", "h2", "x2").alias("h"), F.hash("x2", "h2", "x", "h").alias("x"), id_col, "pos")
+    """(h, x, id, _text, pos) repeated at `length` -> candidates at twice that: windows whose halves both repeat, named by their halves' names."""
+    left = level.select(id_col, TEXT, "pos", "h", "x")
+    right = level.select(id_col, TEXT, (F.col("pos") - length).alias("pos"), F.col("h").alias("h2"), F.col("x").alias("x2"))
+    return left.join(right, [id_col, TEXT, "pos"]).select(F.xxhash64("h", "x", "h2", "x2").alias("h"), F.hash("x2", "h2", "x", "h").alias("x"), id_col, TEXT, "pos")
 
 
 def repeats(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
-    """texts: packed(docs). (h, x, id, pos, least): every window of `length` words that several documents share; least: the smallest id that has it."""
+    """texts: packed(docs). (h, x, id, _text, pos, least): every window of `length` words that several documents share; least: the smallest id that has it."""
     seeds = repeated(anchors(docs, id_col, text_col, length), ["seed"], id_col)
-    marked = seeds.groupBy(id_col).agg(F.collect_list("pos").alias("at"))
+    marked = seeds.groupBy(id_col, TEXT).agg(F.collect_list("pos").alias("at"))
     return repeated(windows(texts, marked, id_col, length), ["h", "x"], id_col)
 
 
@@ -152,8 +169,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     small_batches(docs.sparkSession)
     texts = packed(docs, id_col, text_col)
     found = repeats(docs, texts, id_col, text_col, length).filter(F.col(id_col) > F.col("least"))
-    marks = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("pos").alias("at"))
-    joined = texts.join(marks, F.col(id_col) == F.col("_id"), "left").select(id_col, "z", "at")
+    joined = _marked(texts, found.groupBy(id_col, TEXT).agg(F.collect_list("pos").alias("at")), id_col)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(span))])
 
@@ -161,12 +177,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches, "z", 1 << 20):
             rows = []
-            for doc, z, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, z, at in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 found = unpack.decompress(z).split() if z else []
                 n, spans, kept = len(found), [], found
                 if at:
                     edge = np.zeros(n + length + 1, np.int32)
-                    at = np.unique([p for p in at if p + length <= n])
+                    at = np.unique(np.array(at, np.int64))
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)
                     gone = np.cumsum(edge)[:n] > 0
