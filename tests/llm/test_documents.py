@@ -131,6 +131,30 @@ def test_substring(unique):
     assert {r.doc_id: r.words for r in substring.longest_repeats(unique).collect()}[1] == 104  # 120 shared words: 13, 26, 52, 104
 
 
+def test_substring_of_repeated_ids(spark):
+    """Rows that share an id are one document, but lose words by their own texts."""
+    rnd = random.Random(8)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 400)}" for _ in range(n))
+    a, b, c = say(20), say(20), say(30)
+    rows = [(1, a), (2, a), (2, "short"), (2, b), (2, None), (2, ""), (3, say(5) + " " + b), (3, c), (3, c), (3, say(20)), (4, c + " " + a), (4, c), (None, a), (None, c), (0, "x")]
+    df = spark.createDataFrame([(*r, "t", "t") for r in rows], "doc_id long, text string, _text string, least string")
+    least = {}
+    for i, t in rows:
+        ws = (t or "").split()
+        for k in range(len(ws) - 12 if i is not None else 0):
+            least[tuple(ws[k : k + 13])] = min(least.get(tuple(ws[k : k + 13]), 1 << 60), i)
+    want = []
+    for i, t in rows:
+        ws = (t or "").split()
+        gone = [False] * len(ws)
+        for k in range(len(ws) - 12 if i is not None else 0):
+            if least[tuple(ws[k : k + 13])] < i:
+                gone[k : k + 13] = [True] * 13
+        want.append((str(i), len(ws), sum(gone), " ".join(w for w, g in zip(ws, gone, strict=True) if not g)))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring.dedup(df).collect()) == sorted(want)
+    assert {r.doc_id: r.words for r in substring.longest_repeats(df).collect()} == {1: 13, 2: 13, 3: 26, 4: 26}
+
+
 def nested(text):
     """Sections, paragraphs and leaves of a text as nested lists, by other means than the operator's."""
     out, before = [], "x"
