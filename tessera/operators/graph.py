@@ -7,12 +7,15 @@ spread over the cluster by it.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:
     """The row of least ordinal for each key."""
@@ -118,12 +121,47 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(out, ["subject", "node"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
 
 
-def depths(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(subject, node, depth): the longest chain of prerequisites below each node of an acyclic graph."""
-    spark = edges.sparkSession
-    edges.select("subject", "topic_key", "prerequisite_key").createOrReplaceTempView("_tessera_edges")
-    return spark.sql(f"""
-        with recursive walk(subject, node, depth) max recursion level {rounds} as (
-          select distinct subject, prerequisite_key, 0 from _tessera_edges e where not exists (select 1 from _tessera_edges p where p.subject = e.subject and p.topic_key = e.prerequisite_key)
-          union all select e.subject, e.topic_key, depth + 1 from walk w join _tessera_edges e on e.subject = w.subject and e.prerequisite_key = w.node)
-        select subject, node, max(depth) depth from walk group by subject, node""")
+def _rooted(single: DataFrame) -> DataFrame:
+    """single(subject, node, up, d): nodes with one prerequisite -> the same with `up` the first node above that is none of these, and its distance.
+
+    Pointers double: each round looks as far again as the one before. Nodes of a ring, and what hangs below one, are left out.
+    """
+    now, nodes = written(single), single.count()
+    for _ in range(nodes.bit_length() + 1):
+        above = now.select("subject", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
+        longer = now.join(above, ["subject", "up"], "left").select("subject", "node", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("up2").isNotNull().alias("moved"))
+        now = written(longer)
+        if now.filter("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    return now.select("subject", "node", "up", "d").join(single.select("subject", F.col("node").alias("up")), ["subject", "up"], "left_anti")
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(subject, node, depth): the longest chain of prerequisites below each node; null for nodes on a cycle or behind one.
+
+    Nodes with one prerequisite hang on it, so chains are settled by doubling pointers, in as many rounds as their length has bits. What is
+    left is settled level by level: a node is when all its prerequisites are, and it keeps one number, the greatest so far. Every edge is
+    followed once; a round writes the nodes that still wait. The levels end where nothing more is settled.
+    """
+    e = written(edges.select("subject", F.col("topic_key").alias("node"), F.col("prerequisite_key").alias("pre")).distinct())
+    needs = e.groupBy("subject", "node").agg(F.count("*").alias("needs"), F.min("pre").alias("pre"))
+    hung = written(_rooted(needs.filter("needs = 1").select("subject", "node", F.col("pre").alias("up"), F.lit(1).cast("long").alias("d"))))
+    many = needs.filter("needs > 1").select("subject", "node")
+    at = hung.select("subject", F.col("node").alias("pre"), "up", "d")
+    short = e.join(many, ["subject", "node"], "left_semi").join(at, ["subject", "pre"], "left")
+    short = written(short.groupBy("subject", "node", F.coalesce("up", "pre").alias("pre")).agg((F.max(F.coalesce("d", F.lit(0))) + 1).alias("w")))  # of several ways to one node, the longest
+    every = written(e.select("subject", "node").union(e.select("subject", "pre")).distinct())
+    fresh = written(every.join(e.select("subject", "node").distinct(), ["subject", "node"], "left_anti").withColumn("depth", F.lit(0).cast("long")))
+    waits = written(short.groupBy("subject", "node").agg(F.count("*").alias("left"), F.lit(0).cast("long").alias("best")))
+    done = [fresh]
+    while not waits.isEmpty() and not fresh.isEmpty():
+        told = short.join(fresh.select("subject", F.col("node").alias("pre"), "depth"), ["subject", "pre"]).groupBy("subject", "node").agg(F.count("*").alias("n"), F.max(F.col("depth") + F.col("w")).alias("far"))
+        state = written(waits.join(told, ["subject", "node"], "left").select("subject", "node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("best", F.coalesce("far", F.lit(0))).alias("best")))
+        fresh, waits = state.filter("left = 0").select("subject", "node", F.col("best").alias("depth")), state.filter("left > 0")
+        done.append(fresh)
+        if len(done) >= 16:
+            done = [written(reduce(DataFrame.unionByName, done))]
+    roots = reduce(DataFrame.unionByName, done)
+    below = hung.join(roots.select("subject", F.col("node").alias("up"), "depth"), ["subject", "up"]).select("subject", "node", (F.col("depth") + F.col("d")).alias("depth"))
+    return every.join(roots.unionByName(below), ["subject", "node"], "left").select("subject", "node", F.col("depth").cast("int").alias("depth"))

@@ -25,12 +25,13 @@ def differences(old: DataFrame, new: DataFrame, keys: list[str], values: list[st
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """old with the rows of new put over those of equal keys; columns in `keep` stay as they were where a row existed."""
+    """old with the rows of new put over those of equal keys, nulls included; columns in `keep` stay as they were where a row existed."""
     columns = [c for c in old.columns if c not in keys]
     a = old.select(*keys, *(F.col(c).alias(f"old_{c}") for c in columns), F.lit(True).alias("in_old"))
-    b = new.select(*keys, *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("in_new"))
+    b = new.select(*(F.col(k).alias(f"key_{k}") for k in keys), *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("in_new"))
     value = lambda c: F.when(F.col("in_new").isNull() | (F.col("in_old").isNotNull() & F.lit(c in keep)), F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c)
-    return a.join(b, keys, "full").select(*keys, *(value(c) for c in columns))
+    same = reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in keys))
+    return a.join(b, same, "full").select(*(F.when(F.col("in_new").isNull(), F.col(k)).otherwise(F.col(f"key_{k}")).alias(k) for k in keys), *(value(c) for c in columns))
 
 
 def refreshed_vectors(stored: DataFrame, chunks: DataFrame, model: str) -> DataFrame:

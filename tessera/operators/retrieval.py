@@ -29,16 +29,20 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     return found.withColumn("dl", F.size("toks"))
 
 
-def bm25_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tok, df, idf) and one row (n, avgdl). Negative idf is replaced by a quarter of the vocabulary's mean idf.
+def idf_of(df: DataFrame, whole: DataFrame) -> DataFrame:
+    """df(tok, df) of the whole vocabulary, one row whole(n) -> (tok, df, idf). Negative idf is replaced by a quarter of the vocabulary's mean idf."""
+    idf = df.crossJoin(F.broadcast(whole.select("n"))).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row of totals
+    mean = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
+    return idf.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+
+
+def bm25_statistics(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """toks: tokenized(), written where it is used again. (tok, df, idf) and one row (n, avgdl).
 
     Each text hands on its distinct tokens, which are counted before the shuffle: what moves is a row for each word and task, no postings."""
-    toks = tokenized(chunks)
     whole = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = toks.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(whole)).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row of totals
-    mean = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
-    return idf.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf")), whole
+    return idf_of(df, whole), whole
 
 
 def asked_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +52,9 @@ def asked_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, F.broadcast(terms) if terms.count() <= FEW_TERMS else terms
 
 
-def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def postings(toks: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, tok, tf, dl) of the terms(tok) alone: other tokens go before anything is grouped."""
-    found = tokenized(chunks).select("id", "dl", F.explode("toks").alias("tok")).join(terms, "tok", "left_semi")
+    found = toks.select("id", "dl", F.explode("toks").alias("tok")).join(terms, "tok", "left_semi")
     return found.groupBy("id", "tok").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
 
 
@@ -60,18 +64,22 @@ def ranked(scored: DataFrame, k: int, *tie: Column | str, score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): a term that a query repeats counts each time; only positive scores."""
-    asked, terms = asked_terms(queries)
-    idf, whole = bm25_statistics(chunks)
-    known = asked.join(idf.join(terms, "tok", "left_semi"), "tok")
-    hits = postings(chunks, terms).join(known, "tok").crossJoin(F.broadcast(whole))
+def bm25_sums(hits: DataFrame) -> DataFrame:
+    """hits(query_id, id, qtf, idf, tf, dl, avgdl) -> (query_id, id, score): a term that a query repeats counts each time; only positive scores."""
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return ranked(bm25_scores(chunks, queries), k)
+def bm25_scores(toks: DataFrame, queries: DataFrame) -> DataFrame:
+    """toks: tokenized(), best as a written table, since it is read three times. (query_id, id, score)."""
+    asked, terms = asked_terms(queries)
+    idf, whole = bm25_statistics(toks)
+    known = asked.join(idf.join(terms, "tok", "left_semi"), "tok")
+    return bm25_sums(postings(toks, terms).join(known, "tok").crossJoin(F.broadcast(whole)))  # one row of totals
+
+
+def bm25(toks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    return ranked(bm25_scores(toks, queries), k)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -91,14 +91,21 @@ def mastery(attempts: DataFrame, states: DataFrame, identities: DataFrame, now:
     """Mastery of every topic for every user who has an attempt or a state: all topics of all cards, also those never tried."""
     topics = identities.select("subject", "topic_key").distinct()
     tried = recent_trend(attempts.join(identities, "card_id"))
-    held = states.join(identities, "card_id").groupBy("user_id", "subject", "topic_key").agg(
-        F.sum(F.greatest("lapses", F.lit(0))).alias("lapse_count"), F.count_if(F.col("due_at") <= now).alias("due_count"), F.count_if(F.to_date("due_at") < F.to_date(now)).alias("overdue_count")
-    )
+    held = states.join(identities, "card_id").groupBy("user_id", "subject", "topic_key").agg(*held_counts(now))
     users = attempts.select("user_id").union(states.select("user_id")).distinct()
     # the result has a row for every user and topic, so the pairing is the result itself
     rows = users.crossJoin(topics).join(tried, ["user_id", "subject", "topic_key"], "left").join(held, ["user_id", "subject", "topic_key"], "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("attempt_count", "lapse_count", "due_count", "overdue_count")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("avg_quality", "recent_trend")}
-    rows = rows.withColumns(zero)
+    return mastery_score(rows.withColumns(zero))
+
+
+def held_counts(now: Column) -> list[Column]:
+    """Aggregates of a topic's review states."""
+    return [F.sum(F.greatest("lapses", F.lit(0))).alias("lapse_count"), F.count_if(F.col("due_at") <= now).alias("due_count"), F.count_if(F.to_date("due_at") < F.to_date(now)).alias("overdue_count")]
+
+
+def mastery_score(rows: DataFrame) -> DataFrame:
+    """rows(attempt_count, avg_quality, recent_trend, lapse_count, due_count, overdue_count) with lapse_ratio and mastery."""
     ratio = F.least(F.lit(1.0), F.col("lapse_count") / F.greatest(F.lit(1), F.col("attempt_count")))
     trend = clamp((F.col("recent_trend") / 2 + 1) * 10, 0.0, 20.0)
     penalty = F.least(F.lit(30.0), 6.0 * F.col("overdue_count"))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import merge as M
 from ..operators import retrieval as R
+from ..operators.mastery import MasteryStore
 from ..sources import relations as S
+from ..sources.buckets import BucketTable
+from ..sources.shared import folder, written
 from .registry import query
 from .retrieval import BM25_SQL, RANK_SQL, VEC_SQL, _vectors
+from .reviews import MASTERY_SQL
 
 OLD_SQL = "old as (select c_custkey k, c_acctbal w, c_mktsegment seg, 1 created from customer where c_custkey % 5 <> 0), new as (select c_custkey k, case when c_custkey % 7 = 0 then c_acctbal + 1 when c_custkey % 11 = 0 then c_acctbal + 1e-11::double else c_acctbal end w, c_mktsegment seg, 2 created from customer where c_custkey % 3 <> 0)"
 
@@ -24,14 +28,62 @@ def _old_new(spark, sf):
 
 @query("F14_upsert", f"with {OLD_SQL} select coalesce(o.k, n.k) k, case when n.k is null then o.w else n.w end w, coalesce(o.created, n.created) created from old o full join new n on o.k = n.k")
 def _(spark, sf):
-    return M.upserted(*_old_new(spark, sf), ["k"], keep=("created",)).select("k", "w", "created")
+    """Today's rows are merged into a bucket table of yesterday's, twice; the first `created` stays."""
+    old, new = (df.select("k", "w", "created") for df in _old_new(spark, sf))
+    table = BucketTable(spark, folder(spark, "customers"), old.schema, ["k"], buckets=16)
+    table.upsert(0, old)
+    for _ in range(2):
+        table.upsert(1, new, keep=("created",))
+    return table.read()
 
 
-@query("H4_refresh_upsert", f"with {OLD_SQL} select coalesce(o.seg, n.seg) seg, count(*) n, count(n.k) touched from old o full join new n on o.k = n.k group by 1")
+CUTS = ("2024-01-11", "2024-01-21")
+
+
+@query(
+    "H4_refresh_upsert",
+    f"""{MASTERY_SQL}, k as (select *, case when attempted_at < timestamp '{CUTS[0]}' then 0 when attempted_at < timestamp '{CUTS[1]}' then 1 else 2 end k from att),
+    c as (select user_id, subject, topic_key, min(k) created from k group by all), u as (select user_id, max(k) updated from k group by all)
+    select user_id, subject, topic_key, n attempt_count, dc due_count, oc overdue_count, lc lapse_count, round(m, 5) mastery, bucket, created, updated from sb join c using (user_id, subject, topic_key) join u using (user_id)""",
+)
+def _(spark, sf):
+    """Attempts come in three batches, the second of them twice; each is merged into review states, partial sums and scores of the users that it names."""
+    a, i = S.attempts(spark, sf), S.identities(S.cards(spark, sf), S.topics(spark, sf))
+    store = MasteryStore(spark, folder(spark, "mastery"), a.schema["attempted_at"].dataType.simpleString())
+    k = sum((F.when(F.col("attempted_at") >= F.lit(c).cast("timestamp"), 1).otherwise(0) for c in CUTS), F.lit(0))
+    for batch in (0, 1, 1, 2):
+        store.refresh(batch, a.filter(k == batch), i, F.lit(S.NOW).cast("timestamp"))
+    return store.topics.read().select("user_id", "subject", "topic_key", "attempt_count", "due_count", "overdue_count", "lapse_count", F.round("mastery", 5).alias("mastery"), F.col("bucket_name").alias("bucket"), "created", "updated")
+
+
+@query(
+    "F15_vector_refresh",
+    """with n as (select count(*) n from embeddings), v as (select doc_id id, e.embedding v from documents, n join embeddings e on e.vec_id = doc_id % n),
+    vq as (select q.id query_id, c.id, round(list_sum(list_transform(list_zip(c.v, q.v), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(c.v, lambda x: x::double * x::double)) * list_sum(list_transform(q.v, lambda x: x::double * x::double))), 6) score
+      from v c, v q where q.id % 20 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from vq),
+    w as (select doc_id id, doc_id % 4 = 0 or doc_id % 3 = 0 filled from documents)
+    select query_id, rank, r.id, score, filled from r join w on w.id = r.id where rank <= 5""",
+)
 def _(spark, sf):
-    old, new = _old_new(spark, sf)
-    rows = M.upserted(old, new.withColumn("w", F.lit(0.5)), ["k"]).withColumn("t", F.when(F.col("created") == 2, F.lit(1)))
-    return rows.groupBy("seg").agg(F.count("*").alias("n"), F.count("t").alias("touched"))
+    """Sync of a chunk store as one job: content hashes, the rows whose hash or model is another, their vectors anew, written to their buckets, and a search over the result.
+
+    A third of the stored rows have another hash and a vector that is not theirs; a quarter of the documents are not stored yet."""
+    d, e = S.table(spark, sf, "documents"), S.table(spark, sf, "embeddings")
+    n = e.count()
+    made = e.select(F.col("vec_id").alias("_at"), F.col("embedding").cast("array<double>").alias("made"))  # what the model says of each text
+    texts = d.select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    k = F.col("id")
+    stored = texts.filter(k % 4 != 0).withColumn("_at", F.when(k % 3 == 0, (k + 1) % n).otherwise(k % n)).join(made, "_at")
+    stored = stored.select("id", F.lit("m1").alias("model"), F.when(k % 3 == 0, F.lit("stale")).otherwise(F.col("hash")).alias("hash"), F.col("made").alias("vector"), F.lit(False).alias("filled"))
+    store = BucketTable(spark, folder(spark, "chunks"), stored.schema, ["id"], buckets=16)
+    store.upsert(0, stored)
+    fresh = M.refreshed_vectors(store.read(), texts, "m1")
+    missing = fresh.filter("vector is null").withColumn("_at", k % n).join(made, "_at")
+    store.upsert(1, missing.select("id", "model", "hash", F.col("made").alias("vector"), F.lit(True).alias("filled")))
+    now = store.read()
+    hits = R.dense(now.select("id", F.col("vector").alias("v")), now.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 5)
+    return hits.join(now.select("id", "filled"), "id").select("query_id", "rank", "id", "score", "filled")
 
 
 @query("F16_graph_sync_diff", f"with {OLD_SQL} select coalesce(o.k, n.k) k, case when o.k is null then 'insert' when n.k is null then 'delete' when abs(o.w - n.w) <= 1e-9 then 'unchanged' else 'update' end op from old o full join new n on o.k = n.k")
@@ -138,7 +190,7 @@ NOISE_SQL = f"with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm), n as
 
 @query("I16_noise_at_k", f"{NOISE_SQL} select query_id, noise, required, case when noise <= 1 and required >= 1 then 'PASS' else 'FAIL' end verdict from n")
 def _(spark, sf):
-    hits = R.bm25(S.chunks(spark, sf), S.queries(spark, sf), 5).join(S.chunks(spark, sf), "id")
+    hits = R.bm25(written(R.tokenized(S.chunks(spark, sf))), S.queries(spark, sf), 5).join(S.chunks(spark, sf), "id")
     kind = F.col("chunk_type")
     g = hits.groupBy("query_id").agg(F.count_if(kind.isin("references", "exercise", "appendix")).alias("noise"), F.count_if(kind.isin("section", "algorithm")).alias("required"))
     return g.withColumn("verdict", F.when((F.col("noise") <= 1) & (F.col("required") >= 1), F.lit("PASS")).otherwise(F.lit("FAIL")))
@@ -202,17 +254,3 @@ def _(spark, sf):
 def _(spark, sf):
     g = S.table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("started"), "n")
-
-
-@query("K2_bounded_memory", "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 10")
-def _(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return S.table(spark, sf, "events").withColumn("r", F.row_number().over(w)).filter("r <= 10").select("user_id", "event_id")
-
-
-@query("K3_session_store", "with s as (select user_id, min(ts) created from events group by 1) select user_id from s where created > (select max(created) from s) - interval 180 minutes qualify row_number() over (order by created desc, user_id) <= 2000")
-def _(spark, sf):
-    s = S.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("created"))
-    latest = s.agg(F.max("created").alias("now"))
-    alive = s.join(F.broadcast(latest), F.col("created") > F.col("now") - F.expr("interval 180 minutes"))  # one row
-    return alive.orderBy(F.desc("created"), "user_id").limit(2000).select("user_id")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import questions as O
 from ..operators import retrieval as R
+from ..operators.postings_index import PostingsIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import relations as S
+from ..sources.shared import folder
 from .registry import query
 from .retrieval import BM25_SQL, RANK_SQL, VEC_SQL, _answers, _bm25, _vectors
 
@@ -44,6 +47,16 @@ def _(spark, sf):
     return R.dense(rows.filter("v is not null"), asked.filter("q is not null"), 5).select("query_id", "rank", "id", "score")
 
 
+@query("I20_inverted_file_search")
+def _(spark, sf):
+    """Approximate search: an index of 100 lists over all vectors, the 30 lists nearest to each query probed; what they hold is scored exactly. A third of the rows come as a later insert."""
+    rows, asked = _vectors(spark, sf)
+    rows, asked = rows.filter("v is not null"), asked.filter("q is not null")
+    index = VectorIndex.build(rows.filter("id % 3 <> 0"), folder(spark, "vectors"))
+    index.insert(rows.filter("id % 3 = 0"), 1)
+    return index.search(asked, 5).select("query_id", "rank", "id", "score")
+
+
 @query("J10_reformulated_query", "select conv_id, turn, case when turn % 4 = 2 and length('again ' || turn) > 5 then 'again ' || turn else text end query from conversations where role = 'user'")
 def _(spark, sf):
     t = S.table(spark, sf, "conversations").filter("role = 'user'")
@@ -77,6 +90,19 @@ def _(spark, sf):
     return _bm25(spark, sf, max(3 * c.top_k, c.candidates)).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@query("O5_kept_index", f"with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm) select query_id, rank::int as rank, id, round(score, 6) score from r where rank <= 5")
+def _(spark, sf):
+    """A kept index after three batches of changes: some chunks come with another text first, some are taken away and come back. It ends with the whole corpus and scores as a new one would."""
+    c = S.chunks(spark, sf).select("id", "text")
+    other = F.when(F.col("id") % 5 == 0, F.concat(F.lit("formerly "), F.substring("text", 1, 200))).otherwise(F.col("text")).alias("text")
+    index = PostingsIndex(spark, folder(spark, "postings"))
+    index.apply(0, add=c.filter("id % 3 <> 0").select("id", other))
+    index.apply(1, add=c.filter("id % 3 = 0 or id % 5 = 0"), remove=c.filter("id % 7 = 0 and id % 3 <> 0 and id % 5 <> 0").select("id"))
+    for _ in range(2):
+        index.apply(2, add=c.filter("id % 7 = 0"))
+    return index.search(S.queries(spark, sf), 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query("O18_argument_limits", "select item_id query_id, length(coalesce(text, '')) <= 2000 accepted from benchmark")
 def _(spark, sf):
     return S.queries(spark, sf).select("query_id", (F.length("query") <= 2000).alias("accepted"))

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import questions as O
 from ..operators import retrieval as R
 from ..sources import relations as S
+from ..sources.shared import written
 from .registry import query
 from .retrieval import KEY_TERMS_SQL, key_terms
 
@@ -143,7 +144,7 @@ def _(spark, sf):
     """The whole of H12: valid questions, each linked to its three best chunks, without near-duplicates of kept ones."""
     valid = O.validated(_questions(spark, sf)).filter("size(errors) = 0")
     q = valid.select("id", "query", F.when(F.col("id") % 4 != 0, (F.col("id") * 2).cast("string")).alias("source_chunk_id"))
-    hits = R.bm25(S.chunks(spark, sf), q.select(F.col("id").alias("query_id"), "query"), 3).select(F.col("query_id").alias("id"), "rank", F.col("id").cast("string").alias("chunk_id"))
+    hits = R.bm25(written(R.tokenized(S.chunks(spark, sf))), q.select(F.col("id").alias("query_id"), "query"), 3).select(F.col("query_id").alias("id"), "rank", F.col("id").cast("string").alias("chunk_id"))
     return O.greedy_dedup(q.select("id", "query")).select("id").join(O.auto_linked(q, hits), "id").select("id", F.array_join("linked", ",").alias("linked"))
 
 

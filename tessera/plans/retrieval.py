@@ -24,8 +24,13 @@ VEC_SQL = """vq as (select q.vec_id query_id, v.vec_id id, round(list_sum(list_t
   sqrt(list_sum(list_transform(v.embedding, lambda x: x::double * x::double)) * list_sum(list_transform(q.embedding, lambda x: x::double * x::double))), 6) score from embeddings v, embeddings q where q.vec_id % 20 = 0)"""
 
 
+def _toks(spark, sf):
+    """The corpus as tokens, made and written once for all that a query does with it."""
+    return written(R.tokenized(S.chunks(spark, sf)))
+
+
 def _bm25(spark, sf, k):
-    return R.bm25(S.chunks(spark, sf), S.queries(spark, sf), k)
+    return R.bm25(_toks(spark, sf), S.queries(spark, sf), k)
 
 
 @query("G1_tokenize", f"with {S.CHUNKS_SQL} select id, len(t) n_tokens, array_to_string(t, ' ') tokens from (select id, {S.tokens_sql('text')} t from chunks)")
@@ -35,12 +40,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("D11_bm25_statistics", f"with {TOK_SQL} select tok, df, round(idf, 6) idf from idfs")
 def _(spark, sf):
-    return R.bm25_statistics(S.chunks(spark, sf))[0].select("tok", "df", F.round("idf", 6).alias("idf"))
+    return R.bm25_statistics(_toks(spark, sf))[0].select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("I2_bm25_scores", f"with {BM25_SQL} select query_id, id, round(score, 6) score from bm")
 def _(spark, sf):
-    return R.bm25_scores(S.chunks(spark, sf), S.queries(spark, sf)).withColumn("score", F.round("score", 6))
+    return R.bm25_scores(_toks(spark, sf), S.queries(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("F1_bm25_topk", f"with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm) select query_id, rank::int as rank, id, round(score, 6) score from r where rank <= 5")
@@ -70,19 +75,27 @@ def _(spark, sf):
     return hits.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("same_label"), F.round(F.avg("score"), 5).alias("mean_score"))
 
 
-# A second ranking without a model: chunks by shared distinct terms, then by shortness.
-OVERLAP_SQL = "ov as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, id, round(count(*) / sqrt(max(dl)), 9) score from tf join asked using (tok) join lens using (id) group by query_id, id))"
+# The dense ranking: a vector for each chunk and each query, as a model would give them.
+DENSE_SQL = """size_ as (select count(*) n from embeddings), dv as (select doc_id id, e.embedding v from documents, size_ join embeddings e on e.vec_id = doc_id % n), qv as (select item_id query_id, e.embedding q from benchmark, size_ join embeddings e on e.vec_id = item_id % n),
+  ds as (select query_id, id, round(list_sum(list_transform(list_zip(v, q), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(v, lambda x: x::double * x::double)) * list_sum(list_transform(q, lambda x: x::double * x::double))), 6) score from dv, qv),
+  dn as (select *, row_number() over (partition by query_id order by score desc, id) as rank from ds)"""
+
+
+def _dense_list(spark, sf, k):
+    v = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("_at"), F.col("embedding").alias("v"))
+    n = v.count()
+    rows = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % n).alias("_at")).join(v, "_at")
+    asked = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % n).alias("_at")).join(v.withColumnRenamed("v", "q"), "_at")
+    return R.dense(rows, asked, k)
 
 
 def _lists(spark, sf, k=20):
-    chunks, queries = S.chunks(spark, sf), S.queries(spark, sf)
-    asked, terms = R.asked_terms(queries)
-    overlap = R.postings(chunks, terms).join(asked.select("query_id", "tok"), "tok").groupBy("query_id", "id").agg(F.round(F.count("*") / F.sqrt(F.max("dl")), 9).alias("score"))
-    return [R.bm25(chunks, queries, k), R.ranked(overlap, k)]
+    """What a hybrid search fuses: the lexical and the dense list."""
+    return [_bm25(spark, sf, k), _dense_list(spark, sf, k)]
 
 
-RRF_SQL = f"""{BM25_SQL}, bmr as (select *, {RANK_SQL} as rank from bm), {OVERLAP_SQL},
-  both_ as (select query_id, id, rank, 0 l from bmr where rank <= 20 union all select query_id, id, rank, 1 from ov where rank <= 20),
+RRF_SQL = f"""{BM25_SQL}, bmr as (select *, {RANK_SQL} as rank from bm), {DENSE_SQL},
+  both_ as (select query_id, id, rank, 0 l from bmr where rank <= 20 union all select query_id, id, rank, 1 from dn where rank <= 20),
   rrf0 as (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) score, min({{'l': l, 'r': rank}}) seen from both_ group by query_id, id),
   rrf as (select *, row_number() over (partition by query_id order by score desc, seen) as rank from rrf0)"""
 

@@ -3,26 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reviews as R
 from ..sources import files as A
+from ..sources import jdbc as J
 from ..sources import relations as S
-from ..sources.shared import shared_dir
+from ..sources.shared import folder
 from ..streaming import reviews as K
+from ..streaming import sessions as Z
 from .registry import query
 from .reviews import BASE
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-
-
 def _chunk_file(spark, sf) -> str:
-    path = _folder(spark, "chunks.jsonl")
+    path = folder(spark, "chunks.jsonl")
     c = S.chunks(spark, sf)
     rows = c.select(F.col("id").cast("string").alias("id"), "book_id", "header_path", "chunk_type", F.array(F.lit("a")).alias("key_terms"), "text", F.when(F.col("id") % 3 != 0, F.col("subject")).alias("subject"), F.lit(1).alias("_row_index"))
     A.write_records(rows, path)
@@ -52,7 +50,7 @@ def _(spark, sf):
 
 def _record_file(spark, sf, faults: bool) -> str:
     """Lines of JSON; a fifth each are comments of two kinds and malformed if faults are asked for."""
-    path, k = _folder(spark, "questions.jsonl"), F.col("p_partkey") % 5
+    path, k = folder(spark, "questions.jsonl"), F.col("p_partkey") % 5
     good = F.to_json(F.struct(F.col("p_name").alias("query"), F.col("p_size").alias("quality_score")))
     line = F.when(k == 0, F.lit("# note")).when(k == 1, F.lit("// note")).when(k == 2, F.lit('{"query": ')).otherwise(good) if faults else F.when(k == 0, F.lit("# note")).otherwise(good)
     S.table(spark, sf, "part").select(line.alias("value")).write.text(path)
@@ -66,7 +64,7 @@ def _(spark, sf):
 
 @query("A6_book_directory", "select source book_id, count(*) n from documents group by source")
 def _(spark, sf):
-    path = _folder(spark, "books")
+    path = folder(spark, "books")
     d = S.table(spark, sf, "documents").select("source", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("value"))
     d.write.partitionBy("source").text(path)
     rows = spark.read.text(path)
@@ -75,14 +73,14 @@ def _(spark, sf):
 
 @query("A7_record_sink", "select p_partkey id, p_name from part")
 def _(spark, sf):
-    path = _folder(spark, "sink.jsonl")
+    path = folder(spark, "sink.jsonl")
     A.write_records(S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", F.lit(0).alias("_row_index")), path)
     return spark.read.schema("id long, p_name string").json(path)
 
 
 @query("A11_overwrite_checkpoint", "select p_partkey id from part where p_partkey % 2 = 1")
 def _(spark, sf):
-    path = _folder(spark, "checkpoint.jsonl")
+    path = folder(spark, "checkpoint.jsonl")
     ids = S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     A.write_records(ids, path, "overwrite")
     A.write_records(ids.filter("id % 2 = 1"), path, "overwrite")
@@ -90,7 +88,7 @@ def _(spark, sf):
 
 
 def _graph_file(spark, sf, whole: bool) -> str:
-    path = _folder(spark, "graph.json")
+    path = folder(spark, "graph.json")
     n, r = S.table(spark, sf, "nation"), S.table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("subject"))
     topic = F.struct("subject", F.col("n_name").alias("topic_key"), F.col("n_name").alias("display_name"), F.lit("x").alias("source"))
     graphs = n.join(r, "n_regionkey").groupBy("subject").agg(F.array_sort(F.collect_list(topic)).alias("topics")).withColumn("validated_edges", F.array().cast(f"array<{A.EDGE}>"))
@@ -112,23 +110,47 @@ def _(spark, sf):
 @query("A14_embedding_cache", "select true valid, false valid_reordered")
 def _(spark, sf):
     e = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").alias("id"))
-    path = _folder(spark, "cache")
+    path = folder(spark, "cache")
     e.withColumn("model", F.lit("m")).write.parquet(path)
     cache = spark.read.parquet(path)
     other = A.valid_cache(cache, e.select("pos", (F.col("id") + 1).alias("id")), "m").withColumnRenamed("valid", "valid_reordered")
     return A.valid_cache(cache, e, "m").crossJoin(other)  # one row each
 
 
-@query("A15_relational_table", "select n_nationkey, n_name from nation where n_regionkey = 1")
-def _(spark, sf):
-    return S.table(spark, sf, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
+def _database(spark, sf) -> J.Database:
+    """The database under spark.tessera.jdbc.url, or an embedded one of its own for local masters."""
+    url = spark.conf.get("spark.tessera.jdbc.url", None)
+    return J.Database(spark, url) if url else J.derby(spark, folder(spark, "db"))
 
 
-@query("A16_table_listing", "select * from (values ('_tessera_nation'), ('_tessera_region')) t(name)")
+@query("A15_relational_table", "select p_partkey, p_name, case when p_partkey % 7 = 0 then p_size + 100 else p_size end p_size, case when p_partkey % 7 = 0 or p_partkey % 5 <> 0 then 1 end created from part where p_partkey % 5 <> 0 or p_partkey % 7 = 0")
 def _(spark, sf):
-    for t in ("nation", "region"):
-        S.table(spark, sf, t).createOrReplaceTempView(f"_tessera_{t}")
-    return spark.sql("show tables").filter("tableName like '\\_tessera\\_nation' or tableName like '\\_tessera\\_region'").select(F.col("tableName").alias("name"))
+    """Parts go to a database, a seventh of them are upserted, twice, with their first `created` kept, and all are read back by key ranges."""
+    db, p = _database(spark, sf), S.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", F.col("p_size").cast("int").alias("p_size"))
+    table = f"part_{uuid.uuid4().hex[:12]}"
+    db.create(table, p.withColumn("created", F.lit(1)).schema, ["p_partkey"])
+    db.append(p.filter("p_partkey % 5 <> 0 or p_partkey % 7 = 0").withColumn("created", F.lit(1)), table)
+    moved = p.filter("p_partkey % 7 = 0").withColumns({"p_size": F.col("p_size") + 100, "created": F.lit(2)})
+    for _ in range(2):
+        db.upsert(moved, table, ["p_partkey"], keep=["created"])
+    rows = db.read(table, "p_partkey", 4)
+    return rows.toDF(*(c.lower() for c in rows.columns))
+
+
+@query("A16_table_listing", "select 'nation' name, count(*) n from nation union all select 'region', count(*) from region union all select 'supplier', count(*) from supplier")
+def _(spark, sf):
+    """Tables as the database's metadata lists them, each with a count that the database makes."""
+    db = _database(spark, sf)
+    mark = uuid.uuid4().hex[:12].upper()
+    for t in ("nation", "region", "supplier"):
+        rows = S.table(spark, sf, t)
+        db.create(f"{t}_{mark}", rows.schema)
+        db.append(rows, f"{t}_{mark}")
+    schema = spark.conf.get("spark.tessera.jdbc.schema", "APP")
+    name = db.catalog(f"db_{mark.lower()}")
+    found = [r.tableName for r in db.tables(name, schema).filter(F.col("tableName").endswith(mark)).collect()]  # a row for each table
+    counts = [spark.table(f"{name}.{schema}.{t}").agg(F.count("*").alias("n")).select(F.lit(t.lower().rpartition("_")[0]).alias("name"), "n") for t in found]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("O7_url_normalisation", "select 'jdbc:postgresql://h:5432/db?sslmode=require' url")
@@ -138,22 +160,22 @@ def _(spark, sf):
 
 def _streamed(spark: SparkSession, source: DataFrame, plan, mode: str, files: int = 3) -> DataFrame:
     """Runs a streaming plan over a table that arrives as several files, one in each trigger; what the sink has received."""
-    folder, name = _folder(spark, "in"), f"tessera_{uuid.uuid4().hex}"
-    source.repartition(files).write.parquet(folder)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = _folder(spark, "out")
+    inbox, name = folder(spark, "in"), f"tessera_{uuid.uuid4().hex}"
+    source.repartition(files).write.parquet(inbox)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    out = folder(spark, "out")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    run = plan(stream).writeStream.queryName(name).outputMode(mode).option("checkpointLocation", _folder(spark, "state")).foreachBatch(keep).trigger(availableNow=True).start()
+    run = plan(stream).writeStream.queryName(name).outputMode(mode).option("checkpointLocation", folder(spark, "state")).foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(out)
 
 
 def _arriving(spark: SparkSession, source: DataFrame, plan, by: str, keys: list[str], times: int = 3, files: int = 4) -> DataFrame:
     """As _streamed in update mode, but parts of `source` arrive in order of `by`, one after another, each as several files by key; the stream runs anew for each from its checkpoint."""
-    folder, out, state = _folder(spark, "in"), _folder(spark, "out"), _folder(spark, "state")
+    inbox, out, state = folder(spark, "in"), folder(spark, "out"), folder(spark, "state")
     at = F.unix_micros(F.col(by).cast("timestamp"))
     cuts = source.select(at.alias("at")).approxQuantile("at", [k / times for k in range(1, times)], 0.01)
     part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -162,8 +184,8 @@ def _arriving(spark: SparkSession, source: DataFrame, plan, by: str, keys: list[
         batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     for k in range(times):
-        source.filter(part == k).repartition(files, *keys).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(source.schema).parquet(folder)
+        source.filter(part == k).repartition(files, *keys).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(source.schema).parquet(inbox)
         run = plan(stream).writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.parquet(out)
@@ -195,3 +217,44 @@ def _(spark, sf):
 @query("K7_batch_twin", f"{BASE} select repetitions, count(*) n from states group by 1")
 def _(spark, sf):
     return R.review_states(S.attempts(spark, sf)).groupBy("repetitions").agg(F.count("*").alias("n"))
+
+
+#: How long a chat and a quiz session live, and how many a store holds.
+CHAT_MINUTES, QUIZ_MINUTES, STORES, SESSIONS = 120, 180, 8, 2000
+
+
+def _sessions(spark, sf, session, minutes: int, sliding: bool) -> DataFrame:
+    """Every session of the event log, from a stream that is stopped and started again; at the time of the last event."""
+    e = S.table(spark, sf, "events")
+    requests = e.select("user_id", session.alias("session"), F.col("ts").alias("at"), F.col("event_id").alias("turn_id"))
+    with Z.rocksdb(spark):
+        log = _arriving(spark, requests, lambda s: Z.session_log(s, F.pmod("user_id", F.lit(STORES)), minutes, SESSIONS, sliding=sliding), "at", ["user_id"])
+    return Z.ended(log, F.lit(e.agg(F.max("ts").cast("timestamp")).first()[0]), minutes, sliding)
+
+
+@query(
+    "K2_bounded_memory",
+    f"""with p as (select user_id u, event_type c, user_id % {STORES} st, ts, event_id i, lag(ts) over w pts, lag(event_id) over w pi, lead(ts) over w nts, lead(event_id) over w ni from events window w as (partition by user_id, event_type order by ts, event_id)),
+    d as (select a.u, a.c, a.ts, a.i, a.pts is null or a.ts - a.pts > interval {CHAT_MINUTES} minutes or count(b.i) >= {SESSIONS} opens from p a left join p b
+      on b.st = a.st and a.ts - a.pts <= interval {CHAT_MINUTES} minutes and (b.ts > a.pts or b.ts = a.pts and b.i > a.pi) and (b.ts < a.ts or b.ts = a.ts and b.i < a.i) and (b.nts is null or b.nts > a.ts or b.nts = a.ts and b.ni > a.i) group by a.u, a.c, a.ts, a.i, a.pts),
+    k as (select *, sum(opens::int) over (partition by u, c order by ts, i) n from d),
+    s as (select u user_id, c as session, min(ts) started, max(ts) used, count(*) requests, array_to_string(list(i order by ts, i)[-10:], ',') turns from k group by u, c, n)
+    select *, case when (select max(ts) from events) - used > interval {CHAT_MINUTES} minutes then 'expired' else 'live' end status from s""",
+)
+def _(spark, sf):
+    """Chat memory: ten turns for each (user, conversation), gone two hours after the last use; a store that is full gives up the session that was used longest ago."""
+    got = _sessions(spark, sf, F.col("event_type"), CHAT_MINUTES, True)
+    return got.select("user_id", "session", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "used")), "requests", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"), "status")
+
+
+@query(
+    "K3_session_store",
+    f"""with l as (select user_id, list(ts order by ts, event_id) t from events group by 1),
+    s as (select user_id, unnest(list_reduce(list_transform(t, lambda x: [x]), lambda a, b: case when b[1] > a[-1] + interval {QUIZ_MINUTES} minutes then list_concat(a, b) else a end)) started from l),
+    g as (select s.user_id, s.started, max(e.ts) used, count(*) requests from events e asof join s on e.user_id = s.user_id and e.ts >= s.started group by 1, 2)
+    select *, case when (select max(ts) from events) - started > interval {QUIZ_MINUTES} minutes then 'expired' else 'live' end status from g""",
+)
+def _(spark, sf):
+    """Quiz sessions: gone three hours after their start, whatever happens meanwhile; a store that is full gives up the oldest."""
+    got = _sessions(spark, sf, F.lit("quiz"), QUIZ_MINUTES, False)
+    return got.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "used")), "requests", "status")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+
+
+_roots: list[str] = []
+
+
+def _tidy() -> None:
+    """At the end of the driver's process, if Spark still runs: the tables that results were read from go."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for root in _roots:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may end first
+        return
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: computed once, read by all that use it, and found again when executors are lost."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df as a table in the shared folder: computed once, read by all that use it by columns, and found again when executors are lost."""
+    path = folder(df.sparkSession, "written")
+    if not _roots:
+        atexit.register(_tidy)
+    _roots.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
