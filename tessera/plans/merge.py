@@ -49,7 +49,7 @@ CUTS = ("2024-01-11", "2024-01-21")
 def _(spark, sf):
     """Attempts come in three batches, the second of them twice; each is merged into review states, partial sums and scores of the users that it names."""
     a, i = S.attempts(spark, sf), S.identities(S.cards(spark, sf), S.topics(spark, sf))
-    store = MasteryStore(spark, folder(spark, "mastery"), a.schema["attempted_at"].dataType.simpleString())
+    store = MasteryStore(spark, folder(spark, "mastery"), a.schema["attempted_at"].dataType.simpleString(), buckets=8)
     k = sum((F.when(F.col("attempted_at") >= F.lit(c).cast("timestamp"), 1).otherwise(0) for c in CUTS), F.lit(0))
     for batch in (0, 1, 1, 2):
         store.refresh(batch, a.filter(k == batch), i, F.lit(S.NOW).cast("timestamp"))
@@ -91,14 +91,6 @@ def _(spark, sf):
     return M.differences(*_old_new(spark, sf), ["k"], ["w"], delete=True)
 
 
-@query("F15_vector_refresh", "select doc_id id, case when doc_id % 4 <> 0 and doc_id % 3 <> 0 then n_chars end vector from documents")
-def _(spark, sf):
-    d = S.table(spark, sf, "documents")
-    h = F.sha2(F.coalesce("text", F.lit("")), 256)
-    stored = d.filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), F.lit("m1").alias("model"), F.when(F.col("doc_id") % 3 == 0, F.lit("stale")).otherwise(h).alias("hash"), F.col("n_chars").alias("vector"))
-    return M.refreshed_vectors(stored, d.select(F.col("doc_id").alias("id"), h.alias("hash")), "m1").select("id", "vector")
-
-
 SEED_SQL = "rows_ as (select p_partkey ordinal, p_name question, case when p_partkey % 4 = 0 then null else p_brand end source, p_size > 5 complete from part), existing as (select distinct p_name question, case when p_partkey % 8 = 0 then null else p_brand end source from part where p_partkey % 10 = 0)"
 
 

@@ -95,7 +95,7 @@ def _(spark, sf):
     """A kept index after three batches of changes: some chunks come with another text first, some are taken away and come back. It ends with the whole corpus and scores as a new one would."""
     c = S.chunks(spark, sf).select("id", "text")
     other = F.when(F.col("id") % 5 == 0, F.concat(F.lit("formerly "), F.substring("text", 1, 200))).otherwise(F.col("text")).alias("text")
-    index = PostingsIndex(spark, folder(spark, "postings"))
+    index = PostingsIndex(spark, folder(spark, "postings"), buckets=16)
     index.apply(0, add=c.filter("id % 3 <> 0").select("id", other))
     index.apply(1, add=c.filter("id % 3 = 0 or id % 5 = 0"), remove=c.filter("id % 7 = 0 and id % 3 <> 0 and id % 5 <> 0").select("id"))
     for _ in range(2):
