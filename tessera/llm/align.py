@@ -16,7 +16,9 @@ those asked for are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, give_back, slices, small_batches
+from .common import Scratch, frequent, give_back, slices, small_batches
 
 #: The most frequent id pairs whose counts are broadcast: 12 bytes each, some 10 MB as a table.
 BROADCAST_PAIRS = 1 << 18
@@ -41,9 +43,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Byte:
-    """A byte-level BPE from its JSON file: encodes space + text."""
+    """A byte-level BPE from its JSON file: encodes space + text.
 
-    def __init__(self, content: bytes):
+    If merges stand in the order of the ids that they make, the ids are ranks, and with the pattern that byte-level splitting stands for the
+    rank library encodes, which is several times as fast; other files, and texts that it cannot take, go through the file's own library.
+    """
+
+    def __init__(self, content: bytes, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
@@ -52,9 +58,33 @@ class Byte:
         self.table = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for piece, i in vocabulary.items():
             self.table[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
+        self.ranked = None
+        found = json.loads(content)
+        model, added = found["model"], {t["id"] for t in found.get("added_tokens", ())}
+        merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", ())]
+        plain = model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout") and found.get("normalizer") is None
+        split = found.get("pre_tokenizer") or {}
+        if pattern and plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and merged == sorted(set(merged)) and len(set(merged) | added) + 256 == len(vocabulary):
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(self.table) if i not in added}, special_tokens={})
+
+    def _own(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        texts = [" " + t for t in texts]
+        if self.ranked is None:
+            return self._own(texts)
+        out = []
+        for t in texts:
+            try:
+                out.append(self.ranked.encode_ordinary(t))
+            except BaseException as wrong:  # noqa: BLE001  its panics, as on very long runs of spaces, are no Exceptions
+                if isinstance(wrong, KeyboardInterrupt | SystemExit):
+                    raise
+                out += self._own([t])
+        return out
 
 
 class Piece:
@@ -76,13 +106,20 @@ class Side:
 
     def __init__(self, table: list[bytes], sizes: np.ndarray, lists: list[list[int]]):
         counts = np.array([len(x) for x in lists], np.int64)
-        self.ids = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
+        self.ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.text = np.repeat(np.arange(len(lists)), counts)
         self.ends = np.cumsum(sizes[self.ids])
         self.starts = self.ends - sizes[self.ids]
         self.table = table
 
+    def same(self, texts: Iterable[bytes]) -> bool:
+        """Whether the tokens of all texts give these back, each in its place."""
+        texts = list(texts)
+        ends = np.concatenate([[0], self.ends])[self.first]
+        sizes = np.diff(ends)
+        return sizes[sizes > 0].tolist() == [len(t) for t in texts] and b"".join(map(self.table.__getitem__, self.ids.tolist())) == b"".join(texts)
+
     def spelled(self, k: int) -> bytes:
         return b"".join([self.table[i] for i in self.ids[self.first[k] : self.first[k + 1]].tolist()])
 
@@ -149,7 +186,7 @@ class Writing:
 class Pair:
     """Both tokenizers; made once in each Python worker."""
 
-    made: dict[tuple[bytes, bytes], Pair] = {}
+    made: dict[tuple, Pair] = {}
 
     def __init__(self, a: Byte, b: Piece):
         self.a, self.b = a, b
@@ -157,11 +194,11 @@ class Pair:
         self.writing = Writing(len(a.table), len(b.table))
 
     @classmethod
-    def get(cls, a: bytes, b: bytes) -> Pair:
-        if (a, b) not in cls.made:
+    def get(cls, a: bytes, b: bytes, pattern: str | None = None) -> Pair:
+        if (a, b, pattern) not in cls.made:
             cls.made.clear()
-            cls.made[a, b] = cls(Byte(a), Piece(b))
-        return cls.made[a, b]
+            cls.made[a, b, pattern] = cls(Byte(a, pattern), Piece(b))
+        return cls.made[a, b, pattern]
 
     def sides(self, texts: list[str | None]) -> tuple[Side, Side]:
         """The tokens of both; texts that either does not give back have none."""
@@ -172,7 +209,7 @@ class Pair:
                 own[k] = ids
         out = [Side(t.table, s, x) for t, s, x in zip((self.a, self.b), self.sizes, lists, strict=True)]
         whole = {k: (" " + texts[k]).encode() for k in some}
-        wrong = [k for k in some if any(side.spelled(k) != whole[k] for side in out)]
+        wrong = [] if all(side.same(whole.values()) for side in out) else [k for k in some if any(side.spelled(k) != whole[k] for side in out)]
         if wrong:
             for own in lists:
                 for k in wrong:
@@ -184,8 +221,9 @@ class Pair:
 _LINK = T.StructType([T.StructField("pair", T.LongType()), T.StructField("times", T.IntegerType())])
 
 
-def align(docs: DataFrame, a: str, b: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, keep: list[str] | None = None, text_col: str = "text", pattern: str | None = None) -> DataFrame:
     """The columns in keep (all by default) and row, n_a, n_b, n_groups, n_links, alignment, links. a, b: paths of the two vocabularies on the driver.
+    pattern: the regex by which a splits texts, see Byte; the ids are the same without it.
 
     alignment: the groups as `a1,a2|b1;a3|b2,b3`, ids in order. links: the distinct linked pairs, each as id of a * size of b + id of b, and how often.
     row: a number of the row, of its task and place; it differs between runs of a task over other splits, so write the table before it is joined.
@@ -205,7 +243,7 @@ def align(docs: DataFrame, a: str, b: str, keep: list[str] | None = None, text_c
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        both = Pair.get(files[0].value, files[1].value)
+        both = Pair.get(files[0].value, files[1].value, pattern)
         wide, row = len(both.b.table), TaskContext.get().partitionId() << 40
         for batch in slices(batches, text_col, 1 << 19):
             n = batch.num_rows
@@ -224,19 +262,6 @@ def align(docs: DataFrame, a: str, b: str, keep: list[str] | None = None, text_c
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def _frequent(counts: DataFrame, most: int) -> int:
-    """The least count of which at most `most` pairs have as much or more."""
-    step = F.floor(F.log2("n") * 16)  # a row for each sixteenth of an octave
-    found = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), reverse=True)
-    total, least = 0, 1 << 62
-    for _, k, n in found:
-        total += k
-        if total > most:
-            break
-        least = n
-    return least
-
-
 def pair_counts(aligned: DataFrame, wide: int) -> DataFrame:
     """(pair, n, best): in how many rows of aligned a pair is linked, and whether no other pair of its id of a is in more."""
     n = aligned.select(F.explode("links.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("a", F.expr(f"pair div {wide}"))
@@ -248,7 +273,7 @@ def scored(aligned: DataFrame, wide: int, broadcast_pairs: int = BROADCAST_PAIRS
     """aligned: a written table of align() (row and links are read). Without links; with n_best and count_sum: a row's links whose count is their id of a's highest, and the sum of all links' counts."""
     scratch = Scratch(aligned.sparkSession)
     counts = scratch.table(pair_counts(aligned, wide), "pair-counts")
-    least = _frequent(counts, broadcast_pairs)
+    least = frequent(counts, broadcast_pairs)
     links = aligned.select("row", F.inline("links"))
     common, rare = F.broadcast(counts.filter(F.col("n") >= least)), counts.filter(F.col("n") < least)
     sums = [F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")]

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six bytes (space, \t \n \v \f \r).
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -201,3 +202,16 @@ def window_hashes(h: np.ndarray, length: int, base: int = 0xD6E8FEB86659FD93) ->
         out *= b
         out += h[k : k + n]
     return mix(out)
+
+
+def frequent(counts: DataFrame, most: int) -> int:
+    """counts(n): the least n of which at most `most` rows have as much or more."""
+    step = F.floor(F.log2("n") * 16)  # a row for each sixteenth of an octave
+    found = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), reverse=True)
+    total, least = 0, 1 << 62
+    for _, k, n in found:
+        total += k
+        if total > most:
+            break
+        least = n
+    return least

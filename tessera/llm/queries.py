@@ -121,7 +121,7 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligns the tokens of two tokenizers in every document, and scores its links by corpus counts."""
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    found = align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, keep=["doc_id"])
+    found = align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, keep=["doc_id"], pattern=public_tokenizers.PATTERN)
     digest = F.when(F.col("n_a") > 0, F.sha2(F.encode("alignment", "UTF-8"), 256)).otherwise("")
     kept = Scratch(spark).table(found.withColumn("groups_sha256", digest).drop("alignment"), "aligned")
     return align.scored(kept, align.piece_count(b)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

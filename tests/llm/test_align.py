@@ -47,6 +47,21 @@ def plain(texts):
     return [(*r[:4], sum(n for p, n in links.items() if count[p] == top[p[0]]), sum(n * count[p] for p, n in links.items()), r[4]) for r, links in zip(rows, linked, strict=True)]
 
 
+def test_ranks_give_the_same_ids():
+    """The rank library's ids are those of the file's own library, also where it gives up."""
+    with open(A, "rb") as f:
+        content = f.read()
+    own, ranked = align.Byte(content), align.Byte(content, P.PATTERN)
+    assert own.ranked is None and ranked.ranked is not None
+    rnd = random.Random(1)
+    letters = "aeiou  thrs\n\t'0189.,-éß東🙂\u00a0\u2003\u200bA_"
+    texts = [t for t in TEXTS if t] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 300))) for _ in range(500)]
+    texts += [" " * 200_000, "a" * 200_000, "\n" * 50_000 + "x", " " * 3000 + "y", "é" * 30_000, "!?" * 50_000, "don't I'LL we've 'S", "1" * 40_000]
+    assert ranked.ids(texts) == own.ids(texts)
+    turned = content.replace(b'"dropout":null', b'"dropout":0.1')
+    assert turned == content or align.Byte(turned, P.PATTERN).ranked is None
+
+
 @pytest.mark.parametrize("broadcast_pairs", [0, 20, 1 << 18])
 def test_alignment(spark, tmp_path, broadcast_pairs):
     rnd = random.Random(9)
@@ -54,7 +69,7 @@ def test_alignment(spark, tmp_path, broadcast_pairs):
     texts = TEXTS + [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60))) for _ in range(60)]
     docs = spark.createDataFrame([(None if k == 3 else k // 2, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, links string, row int").repartition(5)
     path = f"file://{tmp_path}/aligned"
-    align.align(docs, A, B).write.parquet(path)
+    align.align(docs, A, B, pattern=P.PATTERN if broadcast_pairs else None).write.parquet(path)
     got = align.scored(spark.read.parquet(path), align.piece_count(B), broadcast_pairs)
     found = sorted((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.alignment) for r in got.collect())
     assert found == sorted(plain(texts))
