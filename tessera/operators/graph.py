@@ -121,6 +121,20 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(out, ["subject", "node"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
 
 
+def connected(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) -> (node, root): the smallest node that can be reached. A round takes the least root among the neighbours, then the root's root."""
+    edges = written(pairs.select("a", "b").union(pairs.select("b", "a")).filter("a <> b").distinct())
+    now = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    while True:
+        near = edges.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        told = now.join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
+        above = now.select(F.col("node").alias("to"), F.col("root").alias("up"))
+        after = written(told.join(above, "to").select("node", F.least("to", "up").alias("root"), (F.least("to", "up") < F.col("root")).alias("moved")))
+        now = after.select("node", "root")
+        if after.filter("moved").isEmpty():
+            return now
+
+
 def _rooted(single: DataFrame) -> DataFrame:
     """single(subject, node, up, d): nodes with one prerequisite -> the same with `up` the first node above that is none of these, and its distance.
 

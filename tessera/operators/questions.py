@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, first_of, word_set
 from ..sources.shared import written
+from .graph import connected
+from .order import numbered
 
 TYPES = ("definition", "procedural", "comparative", "factual")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -100,36 +104,51 @@ def similar_pairs(q: DataFrame, threshold: float = 0.8) -> DataFrame:
     rare = tokens.groupBy("tok").agg(F.count("*").alias("df"))
     ordered = tokens.join(rare, "tok").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("w"))
     n = F.size("w")
-    heads = ordered.select("a", n.alias("n"), F.transform("w", lambda x: x["tok"]).alias("w"), F.explode(F.slice(F.transform("w", lambda x: x["tok"]), F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("tok"))
+    heads = ordered.select("a", n.alias("n"), F.explode(F.slice(F.transform("w", lambda x: x["tok"]), F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("tok"))
     left, right = heads.alias("l"), heads.alias("r")
     sized = (F.col("l.a") < F.col("r.a")) & (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold)
-    met = left.join(right, F.expr("l.tok = r.tok")).filter(sized)
-    common = F.size(F.array_intersect("l.w", "r.w"))
-    near = met.filter(common / (F.col("l.n") + F.col("r.n") - common) > threshold).select(F.col("l.a").alias("a"), F.col("r.a").alias("b")).distinct()
+    met = left.join(right, F.expr("l.tok = r.tok")).filter(sized).select(F.col("l.a").alias("a"), F.col("r.a").alias("b")).distinct()  # ids alone meet; the sets come afterwards
+    both = met.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("w").alias("v")), "b")
+    common = F.size(F.array_intersect("w", "v"))
+    near = both.filter(common / (F.size("w") + F.size("v") - common) > threshold).select("a", "b")
     copies = rows.join(first, "t").filter("id <> a").select("a", F.col("id").alias("b"))
     return near.unionByName(copies)
 
 
-def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 200_000) -> DataFrame:
+def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 1_000_000) -> DataFrame:
     """q(id, query) in order of id: a question goes if it is similar to one that is kept before it.
 
     All but the first of equal texts go: what keeps or removes the first removes them too. For the rest the pairs decide it: an id is kept if none of
-    its earlier partners is, and goes if one of them is kept. Each round settles all ids whose earlier partners are settled and writes the pairs that
-    are still open; rounds go on until none is, at most `local` open pairs are settled in one pass in order of id.
+    its earlier partners is, and goes if one of them is kept. Pairs are dealt by the connected component that they lie in, and a task settles its
+    components one after another in order of id. A component of more than `local` pairs is settled by rounds of joins instead: each settles all ids whose
+    earlier partners are settled, until none is open.
     """
     text = F.lower(F.trim("query"))
     rows = q.select("id", text.alias("t"))
     copies = rows.join(rows.groupBy("t").agg(F.min("id").alias("a")), "t").filter("id <> a").select("id")
     gone = written(copies)
     pairs = written(similar_pairs(q.join(gone, "id", "left_anti"), threshold))
-    while n := pairs.count():
-        if n <= local:
-            kept_not = set()
-            for a, b in sorted(map(tuple, pairs.select("a", "b").collect())):
-                if a not in kept_not:
-                    kept_not.add(b)
-            new = q.sparkSession.createDataFrame([(b,) for b in kept_not], gone.schema)
-            return q.join(gone.unionByName(new), "id", "left_anti")
+    of = pairs.join(connected(pairs).select(F.col("node").alias("a"), "root"), "a")
+    sizes = written(of.groupBy("root").agg(F.count("*").alias("n")))
+    small = of.join(sizes.filter(F.col("n") <= local).select("root"), "root", "left_semi")
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, off = None, set()
+        for frame in frames:
+            out = []
+            for root, a, b in zip(frame["root"], frame["a"], frame["b"], strict=True):
+                if root != now:
+                    now, off = root, set()
+                if a not in off and b not in off:
+                    off.add(b)
+                    out.append(b)
+            yield pd.DataFrame({"id": out}, dtype=frame["a"].dtype)
+
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settled = small.select("root", "a", "b").repartition(parts, "root").sortWithinPartitions("root", "a", "b").mapInPandas(settle, gone.schema)
+    gone = written(gone.unionByName(settled))
+    pairs = written(of.join(sizes.filter(F.col("n") > local).select("root"), "root", "left_semi").select("a", "b"))
+    while not pairs.isEmpty():
         kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
         new = written(pairs.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct())
         gone = written(gone.unionByName(new))
@@ -137,24 +156,40 @@ def greedy_dedup(q: DataFrame, threshold: float = 0.8, local: int = 200_000) ->
     return q.join(gone, "id", "left_anti")
 
 
-def batches(q: DataFrame, max_rows: int = 20, max_chars: int = 24000, group: str = "part") -> DataFrame:
+def batches(q: DataFrame, max_rows: int = 20, max_chars: int = 24000, group: str = "part", chunk: int = 512) -> DataFrame:
     """q(part, id, chars) -> (part, id, batch): rows in order of id fill batches up to a row count and a character count (96 more for each row).
 
-    Packing is sequential by nature, so it runs once for each part; a part is a unit of work of bounded size, such as one input file.
+    A part is cut into chunks of so many rows, which are packed for each place at which a batch may begin in them: one of the first max_rows.
+    So a chunk is a function from where the first batch begins to where the first one of the next chunk does, and how many there were.
+    Doubling puts these functions together, in as many rounds as the number of chunks has bits; then every chunk knows where to begin.
     """
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        out, batch, n, total = [], 0, 0, 0
-        for size in rows["chars"] + 96:
-            if n and (n >= max_rows or total + size > max_chars):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + size
-            out.append(batch)
-        return pd.DataFrame({group: rows[group], "id": rows["id"], "batch": out})
-
-    return q.select(group, "id", "chars").groupBy(group).applyInPandas(pack, q.select(group, "id").schema.add("batch", "integer"))
-
+    chunk, P = max(chunk, 2 * max_rows), [F.col(group).alias("_p")]
+    rows = numbered(q.select(group, "id", "chars"), group, "id", "chars")
+    packs = rows.groupBy(*P, F.floor(F.col("_n") / chunk).alias("c")).agg(F.array_sort(F.collect_list(F.struct("_n", "id", (F.col("chars") + 96).cast("long").alias("w")))).alias("r"))
+    packs = written(packs.select("_p", "c", F.transform("r", lambda x: x["w"]).alias("w"), F.transform("r", lambda x: x["id"]).alias("ids")))
+    start = "named_struct('k', 0L, 't', 0L, 'n', 0L)"
+    full = f"s.k = 0 or s.k >= {max_rows} or s.t + x > {max_chars}"
+    put = f"named_struct('k', if({full}, 1L, s.k + 1), 't', if({full}, x, s.t + x), 'n', if({full}, s.n + 1, s.n))"
+    ends = packs.select("_p", "c", "w", F.explode(F.expr(f"sequence(0, least({max_rows}, size(w)) - 1)")).alias("e")).withColumn("s", F.expr(f"aggregate(slice(w, e + 1, size(w) - e), {start}, (s, x) -> {put})"))
+    heads = packs.select(F.col("_p").alias("_p2"), (F.col("c") - 1).alias("c2"), F.slice("w", 1, max_rows).alias("h"))
+    fits = f"s.open and s.k < {max_rows} and s.t + x <= {max_chars}"
+    taken = F.expr(f"aggregate(h, named_struct('k', s.k, 't', s.t, 'a', 0, 'open', true), (s, x) -> named_struct('k', if({fits}, s.k + 1, s.k), 't', if({fits}, s.t + x, s.t), 'a', if({fits}, s.a + 1, s.a), 'open', {fits})).a")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    jump = written(ends.join(heads, same("_p", "_p2") & (F.col("c") == F.col("c2"))).select("_p", "c", "e", (F.col("c") + 1).alias("to_c"), taken.alias("to_e"), F.col("s.n").alias("n")))
+    at = written(packs.filter("c = 0").select("_p", "c", F.lit(0).alias("e"), F.lit(0).cast("long").alias("base")))
+    while True:
+        step = jump.toDF(*(f"j_{c}" for c in jump.columns))
+        new = written(at.join(step, same("_p", "j__p") & (F.col("c") == F.col("j_c")) & (F.col("e") == F.col("j_e"))).select("_p", F.col("j_to_c").alias("c"), F.col("j_to_e").alias("e"), (F.col("base") + F.col("j_n")).alias("base")))
+        if new.isEmpty():
+            break
+        at = written(at.unionByName(new))
+        far = jump.join(step, same("_p", "j__p") & (F.col("to_c") == F.col("j_c")) & (F.col("to_e") == F.col("j_e")))
+        jump = written(far.select("_p", "c", "e", F.col("j_to_c").alias("to_c"), F.col("j_to_e").alias("to_e"), (F.col("n") + F.col("j_n")).alias("n")))
+    begun = at.select(F.col("_p").alias("_p2"), F.col("c").alias("c2"), "e", "base")
+    placed = packs.join(begun, same("_p", "_p2") & (F.col("c") == F.col("c2")))
+    own = F.expr(f"aggregate(slice(w, e + 1, size(w) - e), named_struct('k', 0L, 't', 0L, 'n', 0L, 'out', cast(array() as array<bigint>)), (s, x) -> named_struct('k', if({full}, 1L, s.k + 1), 't', if({full}, x, s.t + x), 'n', if({full}, s.n + 1, s.n), 'out', array_append(s.out, if({full}, s.n, s.n - 1)))).out")
+    found = F.concat(F.expr("array_repeat(base - 1, e)"), F.transform(own, lambda b: b + F.col("base")))
+    return placed.select(F.col("_p").alias(group), F.explode(F.arrays_zip(F.col("ids").alias("id"), found.alias("batch"))).alias("x")).select(group, F.col("x.id").alias("id"), F.col("x.batch").cast("int").alias("batch"))
 
 
 def auto_linked(q: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
@@ -163,3 +198,15 @@ def auto_linked(q: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
     rows = q.join(best, "id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     own = F.when(F.col("source_chunk_id").isNotNull() & ~F.array_contains("found", F.col("source_chunk_id")), F.array("source_chunk_id")).otherwise(F.array().cast("array<string>"))
     return rows.select("id", F.slice(F.concat(own, "found"), 1, k).alias("linked"))
+
+
+def selected_chunks(chosen: DataFrame, hits: DataFrame) -> DataFrame:
+    """chosen(id, selection), hits(id, rank, chunk_id) -> (id, linked): what a comma-separated selection names, in its order: numbers are ranks of the question's hits, other names are ids.
+
+    Ranks that the question's hits do not have are left out; a question without any keeps an empty list."""
+    named = chosen.select("id", F.posexplode(F.transform(F.split("selection", ","), lambda x: F.trim(x))).alias("pos", "name"))
+    rank = F.when(F.col("name").rlike("^[0-9]+$"), F.col("name").try_cast("int"))
+    number = F.col("name").rlike("^[0-9]+$")
+    found = named.withColumn("rank", rank).join(hits.select("id", "rank", "chunk_id"), ["id", "rank"], "left").filter(~number | F.col("chunk_id").isNotNull())
+    lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("chunk_id", "name").alias("c")))).alias("l"))
+    return chosen.select("id").join(lists, "id", "left").select("id", F.coalesce(F.transform("l", lambda x: x["c"]), F.array().cast("array<string>")).alias("linked"))

@@ -99,6 +99,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int | None
     return ranked(rows.join(asked, "block").select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / F.sqrt(F.col("vv") * F.col("qq")), 6).alias("score")), k)
 
 
+def ranking_source(chunks: DataFrame) -> DataFrame:
+    """chunks(id, part, stored) with `ranking`: stored if every chunk of the part has a stored vector, else local."""
+    whole = chunks.groupBy("part").agg(F.bool_and("stored").alias("whole"))
+    return chunks.join(whole, "part").withColumn("ranking", F.when(F.col("whole"), F.lit("stored")).otherwise(F.lit("local"))).drop("whole")
+
+
 def rrf(lists: list[DataFrame], k: int = 10, k_rrf: int = RRF_K) -> DataFrame:
     """Ranked lists (query_id, id, rank) -> (query_id, id, score): sum of 1 / (k_rrf + rank); ties keep the order in which ids were first seen."""
     parts = [x.select("query_id", "id", "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, first_of
+from ..sources.shared import written
+from .order import numbered
 
 STATE = "struct<repetitions:int,interval_days:int,ease_factor:double,lapses:int>"
 
@@ -56,7 +58,7 @@ def _fresh(users: DataFrame, ids: DataFrame, states: DataFrame, limit: int) -> D
     Ranked by id, the k-th card that a user has seen has rank r_k; before it there are r_k - k unseen ones. Gaps between seen ranks
     give the unseen ranks as ranges, which are cut at `limit` and only then spelled out.
     """
-    ranked = ids.withColumn("r", F.row_number().over(Window.orderBy("card_id")))  # card ids alone, once
+    ranked = written(numbered(ids.withColumn("_all", F.lit(0)), "_all", "card_id").select("card_id", (F.col("_n") + 1).alias("r")))
     total = ranked.agg(F.max("r").alias("total"))
     seen = states.select("user_id", "card_id").join(ranked, "card_id").select("user_id", "r").distinct()
     ends = users.select("user_id").crossJoin(F.broadcast(total)).select("user_id", (F.col("total") + 1).alias("r"))  # one row of totals
@@ -142,3 +144,14 @@ def served_variants(cards: DataFrame, attempts: DataFrame, recent: int = 30) ->
     rows = users.join(variants, "canonical").join(seen, ["user_id", "variant"], "left")
     order = Window.partitionBy("user_id", "canonical").orderBy(F.col("seen_at").asc_nulls_first(), "variant")
     return rows.withColumn("r", F.row_number().over(order)).filter("r = 1").select("user_id", "canonical", "variant", F.col("seen_at").isNull().alias("unseen"))
+
+
+def normalised_scope(values: Column) -> Column:
+    """Trimmed and folded names of a scope; blank and null ones go."""
+    return F.filter(F.transform(values, lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+def path_ranks(steps: DataFrame, session: str, order: str, topic: str) -> DataFrame:
+    """steps of sessions -> (session, topic, path_rank): a topic's place from 0 in the session's path; of several the last."""
+    placed = steps.withColumn("_at", F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1)
+    return placed.groupBy(session, topic).agg(F.max("_at").alias("path_rank"))

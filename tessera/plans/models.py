@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..config import RetrievalConfig, violations
 from ..operators import questions as O
 from ..operators import retrieval as R
 from ..operators.postings_index import PostingsIndex
@@ -12,7 +12,7 @@ from ..operators.vector_index import VectorIndex
 from ..sources import relations as S
 from ..sources.shared import folder
 from .registry import query
-from .retrieval import BM25_SQL, RANK_SQL, VEC_SQL, _answers, _bm25, _vectors
+from .retrieval import BM25_SQL, RANK_SQL, VEC_SQL, _answers, _bm25, _document_vectors, _vectors
 
 
 @query("H13_auto_link", f"with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm), l as (select query_id, list(id::varchar order by rank) f from r where rank <= 3 group by query_id) select item_id id, array_to_string(((case when item_id % 4 <> 0 and not list_contains(coalesce(f, []), (item_id * 2)::varchar) then [(item_id * 2)::varchar] else [] end) || coalesce(f, []))[1:3], ',') linked from benchmark left join l on l.query_id = item_id")
@@ -28,12 +28,21 @@ def _(spark, sf):
     return R.widened(hits, _answers(spark, sf).select("query_id", "answer"), max_tokens=800)
 
 
-@query("I12_hypothetical_answer", "select item_id query_id, case when item_id % 3 = 0 then coalesce(nullif(trim(text), ''), 'x') else 'q' || item_id end dense_input from benchmark")
+@query(
+    "I12_hypothetical_answer",
+    """with size_ as (select count(*) n from embeddings), dv as (select doc_id id, e.embedding v from documents, size_ join embeddings e on e.vec_id = doc_id % n),
+    qv as (select item_id query_id, item_id % 3 = 0 hypothetical, e.embedding q from benchmark, size_ join embeddings e on e.vec_id = (item_id + case when item_id % 3 = 0 then 7 else 0 end) % n),
+    ds as (select query_id, id, hypothetical, round(list_sum(list_transform(list_zip(v, q), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(v, lambda x: x::double * x::double)) * list_sum(list_transform(q, lambda x: x::double * x::double))), 6) score from dv, qv),
+    r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from ds) select query_id, rank, id, score, hypothetical from r where rank <= 5""",
+)
 def _(spark, sf):
-    """The dense ranking takes the hypothetical answer where a model gave one, and the query itself elsewhere."""
-    b = S.table(spark, sf, "benchmark")
-    given = F.when(F.col("item_id") % 3 == 0, F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("x")))
-    return b.select(F.col("item_id").alias("query_id"), F.coalesce(given, F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("dense_input"))
+    """The dense ranking by the vector of the hypothetical answer where a model gave one (every third query), and by the query's own elsewhere."""
+    rows, asked, n = _document_vectors(spark, sf)
+    given = F.when(F.col("query_id") % 3 == 0, F.col("query_id"))
+    made = asked.select("query_id", F.pmod(F.coalesce(given + 7, F.col("query_id")), F.lit(n)).alias("_at"), given.isNotNull().alias("hypothetical"))
+    vectors = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("_at"), F.col("embedding").alias("q"))
+    hits = R.dense(rows, made.join(vectors, "_at").select("query_id", "q"), 5)
+    return hits.join(made.select("query_id", "hypothetical"), "query_id").select("query_id", "rank", "id", "score", "hypothetical")
 
 
 SEARCH_SQL = f"with {VEC_SQL}, r as (select *, {RANK_SQL} as rank from vq where score is not null) select query_id, rank::int as rank, id, score from r where rank <= 5"
@@ -82,12 +91,24 @@ def _(spark, sf):
     return S.cards(spark, sf).select("id", F.concat(F.lit("Grade from 0 to 5. Type: "), "question_type", F.lit("\nQuestion: "), "question", F.lit("\nExpected: "), F.substring("answer", 1, 400)).alias("prompt"))
 
 
-@query("O5_ranking_choice", f"with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm) select query_id, count(*) n from r where rank <= 20 group by query_id")
+@query(
+    "O5_ranking_choice",
+    """with size_ as (select count(*) n from embeddings), d as (select doc_id id, lang, doc_id % 6 <> 0 or lang = 'en' stored from documents), c as (select lang, bool_and(stored) whole from d group by lang),
+    dv as (select d.id, c.whole, e.embedding v from d join c on c.lang is not distinct from d.lang, size_ join embeddings e on e.vec_id = (d.id + case when c.whole then 0 else 1 end) % n),
+    qv as (select item_id query_id, e.embedding q from benchmark, size_ join embeddings e on e.vec_id = item_id % n),
+    ds as (select query_id, id, whole, round(list_sum(list_transform(list_zip(v, q), lambda z: z[1]::double * z[2]::double)) / sqrt(list_sum(list_transform(v, lambda x: x::double * x::double)) * list_sum(list_transform(q, lambda x: x::double * x::double))), 6) score from dv, qv),
+    r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from ds) select query_id, rank, id, score, case when whole then 'stored' else 'local' end ranking from r where rank <= 20""",
+)
 def _(spark, sf):
-    from ..config import RetrievalConfig
-
-    c = RetrievalConfig()
-    return _bm25(spark, sf, max(3 * c.top_k, c.candidates)).groupBy("query_id").agg(F.count("*").alias("n"))
+    """The dense ranking from stored vectors for languages whose chunks all have one, and from vectors that are made anew for the others."""
+    rows, asked, n = _document_vectors(spark, sf)
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", ((F.col("doc_id") % 6 != 0) | F.coalesce(F.col("lang") == "en", F.lit(False))).alias("stored"))
+    chosen = R.ranking_source(d.select("id", F.coalesce("lang", F.lit("")).alias("part"), "stored"))
+    made = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("_at"), F.col("embedding").alias("v"))
+    local = chosen.filter("ranking = 'local'").withColumn("_at", (F.col("id") + 1) % n).join(made, "_at").select("id", "v")
+    kept = chosen.filter("ranking = 'stored'").select("id").join(rows, "id")
+    hits = R.dense(kept.unionByName(local), asked, RetrievalConfig().depth)
+    return hits.join(chosen.select("id", "ranking"), "id").select("query_id", "rank", "id", "score", "ranking")
 
 
 @query("O5_kept_index", f"with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm) select query_id, rank::int as rank, id, round(score, 6) score from r where rank <= 5")
@@ -103,12 +124,27 @@ def _(spark, sf):
     return index.search(S.queries(spark, sf), 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("O18_argument_limits", "select item_id query_id, length(coalesce(text, '')) <= 2000 accepted from benchmark")
+@query(
+    "O18_argument_limits",
+    """select doc_id id, array_to_string(list_filter([case when coalesce(length(text) not between 1 and 2000, true) then 'query' end, case when doc_id % 23 not between 1 and 20 then 'top_k' end, case when doc_id % 104 not between 1 and 100 then 'limit' end,
+      case when coalesce(length(text) > 4000, true) then 'user_answer' end, case when length(repeat(source, 8)) > 64 then 'conversation_id' end, case when length(repeat(lang, 17)) > 32 then 'action' end, case when doc_id % 9 - 1 < 0 then 'response_time_ms' end], lambda x: x is not null), ',') violations from documents""",
+)
 def _(spark, sf):
-    return S.queries(spark, sf).select("query_id", (F.length("query") <= 2000).alias("accepted"))
-
-
-@query("O16_linked_chunks", "select item_id, row_number() over (order by item_id)::int as position from benchmark")
+    """Every document as a request: which of its arguments lie outside the limits."""
+    k = F.col("doc_id")
+    found = violations(query=(F.col("text"), True), top_k=(k % 23, False), limit=(k % 104, False), user_answer=(F.col("text"), True), conversation_id=(F.repeat("source", F.lit(8)), True), action=(F.repeat("lang", F.lit(17)), True), response_time_ms=(k % 9 - 1, False))
+    return S.table(spark, sf, "documents").select(k.alias("id"), F.array_join(found, ",").alias("violations"))
+
+
+@query(
+    "O16_linked_chunks",
+    f"""with {BM25_SQL}, r as (select *, {RANK_SQL} as rank from bm), l as (select query_id, list(id::varchar order by rank) f from r where rank <= 10 group by query_id),
+    s as (select item_id id, [(item_id % 12)::varchar, 'doc_' || item_id, '2', '0', '99'] t from benchmark), n as (select id, unnest(t) name, generate_subscripts(t, 1) pos from s),
+    m as (select id, pos, case when regexp_full_match(name, '[0-9]+') then f[name::int] else name end c from n left join l on l.query_id = id)
+    select id, coalesce(string_agg(c, ',' order by pos) filter (c is not null), '') linked from m group by id""",
+)
 def _(spark, sf):
-    b = S.table(spark, sf, "benchmark").select("item_id")
-    return b.withColumn("position", F.row_number().over(Window.orderBy("item_id")))  # one file's questions
+    """Chunks that a selection names, by their rank in the question's results or by id."""
+    q = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.concat((F.col("item_id") % 12).cast("string"), F.lit(", doc_"), F.col("item_id").cast("string"), F.lit(",2 , 0,99")).alias("selection"))
+    hits = _bm25(spark, sf, 10).select(F.col("query_id").alias("id"), "rank", F.col("id").cast("string").alias("chunk_id"))
+    return O.selected_chunks(q, hits).select("id", F.array_join("linked", ",").alias("linked"))

@@ -81,12 +81,17 @@ DENSE_SQL = """size_ as (select count(*) n from embeddings), dv as (select doc_i
   dn as (select *, row_number() over (partition by query_id order by score desc, id) as rank from ds)"""
 
 
-def _dense_list(spark, sf, k):
+def _document_vectors(spark, sf):
+    """(id, v) of every document, (query_id, q) of every query, and how many vectors there are."""
     v = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("_at"), F.col("embedding").alias("v"))
     n = v.count()
-    rows = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % n).alias("_at")).join(v, "_at")
-    asked = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % n).alias("_at")).join(v.withColumnRenamed("v", "q"), "_at")
-    return R.dense(rows, asked, k)
+    rows = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % n).alias("_at")).join(v, "_at").select("id", "v")
+    asked = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % n).alias("_at")).join(v.withColumnRenamed("v", "q"), "_at").select("query_id", "q")
+    return rows, asked, n
+
+
+def _dense_list(spark, sf, k):
+    return R.dense(*_document_vectors(spark, sf)[:2], k)
 
 
 def _lists(spark, sf, k=20):

@@ -188,9 +188,11 @@ def _(spark, sf):
 SCOPE = [" Asia ", "", "EUROPE:core", "  ", "key:t3"]
 
 
-@query("B3_normalise_scope", "select list_filter(list_transform([' Asia ', '', 'EUROPE:core', '  ', 'key:t3'], lambda x: lower(trim(x))), lambda x: x <> '')::varchar[] as scope_values")
+@query("B3_normalise_scope", "select p_partkey id, array_to_string(list_filter(list_transform([' ' || p_brand || ' ', case when p_partkey % 3 = 0 then null else '' end, upper(p_name), '  ', p_type], lambda x: lower(trim(x))), lambda x: x <> ''), '|') scope_values from part")
 def _(spark, sf):
-    return spark.range(1).select(F.filter(F.transform(F.array(*map(F.lit, SCOPE)), lambda x: F.lower(F.trim(x))), lambda x: x != "").alias("scope_values"))
+    """A scope for each part, of names with blanks around them, blank ones and null ones."""
+    given = F.array(F.concat(F.lit(" "), "p_brand", F.lit(" ")), F.when(F.col("p_partkey") % 3 != 0, F.lit("")), F.upper("p_name"), F.lit("  "), F.col("p_type"))
+    return S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(R.normalised_scope(given), "|").alias("scope_values"))
 
 
 @query("B2_scope_filter", f"with {S.TOPICS_SQL}, {S.CARDS_SQL}, {S.IDENTITIES_SQL} select card_id from identities where subject in ('asia', 'europe', 'key') or topic_key in ('asia', 'europe:core', 'key:t3')")
@@ -210,10 +212,11 @@ def _(spark, sf):
     return S.identities(S.cards(spark, sf), S.topics(spark, sf)).join(ranks, ["subject", "topic_key"], "left").select("card_id", "path_rank")
 
 
-@query("F6_client_path_rank", "select * from (values ('os', 3::int), ('cn', 1::int), ('dbms', 2::int)) t(topic, path_rank)")
+@query("F6_client_path_rank", "select session, topic, max(pos)::int path_rank from (select user_id session, event_type || event_id % 7 topic, row_number() over (partition by user_id order by event_id) - 1 pos from events) group by session, topic")
 def _(spark, sf):
-    given = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ("os", "cn", "dbms", "os")))).alias("pos", "topic"))
-    return given.groupBy("topic").agg(F.max("pos").alias("path_rank"))
+    """Each user's events as the path that a client sends: topics in order, many of them several times."""
+    steps = S.table(spark, sf, "events").select(F.col("user_id").alias("session"), "event_id", F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("topic"))
+    return R.path_ranks(steps, "session", "event_id", "topic")
 
 
 @query("H19_attempt_quality", f"with {S.ATTEMPTS_SQL} select id, case when id % 7 = 0 then 0 else greatest(quality - 2, 0) end::int quality from attempts where id % 5 <> 0")

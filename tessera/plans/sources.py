@@ -153,9 +153,18 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, counts)
 
 
-@query("O7_url_normalisation", "select 'jdbc:postgresql://h:5432/db?sslmode=require' url")
+@query(
+    "O7_url_normalisation",
+    """select s_suppkey id, (['jdbc:postgresql://', 'jdbc:postgresql://', 'jdbc:mysql://', 'jdbc:oracle:thin:'])[s_suppkey % 4 + 1] || 'h' || s_nationkey || ':5432/' || s_suppkey
+      || case when s_suppkey % 4 = 3 then '?ssl=on' else (['', '?sslmode=require', '?sslmode=disable&ssl=x'])[s_suppkey % 3 + 1] end url from supplier""",
+)
 def _(spark, sf):
-    return spark.createDataFrame([(A.jdbc_url("postgresql+asyncpg://h:5432/db?ssl=require"),)], "url string")
+    """A URL for each supplier, with drivers in the scheme, old scheme names and two ways to ask for encryption."""
+    k = F.col("s_suppkey")
+    scheme = F.element_at(F.array(*map(F.lit, ("postgresql+asyncpg://", "postgres://", "mysql+pymysql://", "jdbc:oracle:thin:"))), (k % 4 + 1).cast("int"))
+    asked = F.when(k % 4 == 3, F.lit("?ssl=on")).otherwise(F.element_at(F.array(*map(F.lit, ("", "?ssl=require", "?sslmode=disable&ssl=x"))), (k % 3 + 1).cast("int")))
+    url = F.concat(scheme, F.lit("h"), F.col("s_nationkey").cast("string"), F.lit(":5432/"), k.cast("string"), asked)
+    return S.table(spark, sf, "supplier").select(k.alias("id"), A.jdbc_url_column(url).alias("url"))
 
 
 def _streamed(spark: SparkSession, source: DataFrame, plan, mode: str, files: int = 3) -> DataFrame:
@@ -199,6 +208,15 @@ def _(spark, sf):
     return last.withColumn("ease_factor", F.round("ease_factor", 6))
 
 
+@query("K1_late_attempts", f"{BASE} select user_id, card_id, repetitions, interval_days, round(ease_factor, 6) ease_factor, lapses, reviews from states")
+def _(spark, sf):
+    """Attempts arrive in no order at all, over several triggers and restarts; within the watermark each takes its place, and the stream ends where the batch fold does."""
+    a = S.attempts(spark, sf).withColumn("_come", F.pmod(F.xxhash64("id"), F.lit(1000)))
+    got = _arriving(spark, a.withColumn("_come", F.timestamp_seconds("_come")), lambda s: K.review_updates(s, "60 days"), "_come", ["user_id", "card_id"])
+    last = got.groupBy("user_id", "card_id").agg(F.max_by(F.struct("repetitions", "interval_days", "ease_factor", "lapses", "reviews"), "_batch").alias("s")).select("user_id", "card_id", "s.*")
+    return last.withColumn("ease_factor", F.round("ease_factor", 6))
+
+
 @query("K6_refresh_interval", "select user_id, count(*) refreshes from (select user_id, floor(epoch(ts) / 300) slot from events group by all) group by user_id")
 def _(spark, sf):
     """A refresh at most every 300 s: attempts that fall into one interval share a refresh."""
