@@ -7,8 +7,9 @@ partition selection, and the cells' lists are merged by score. Nothing is pruned
 
 Nulls and edge cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; an empty
 vector takes part with score 0; vectors of different lengths are compared over the positions that both have; rows that repeat
-an id count once, by the smallest vector; ties go to the smaller id; components of 2^52 and above behind the scale, and integer
-scores that a long cannot hold, raise an error, since no exact long stands for them. Other columns are not read. Empty tables or no queries give an empty result.
+an id count once, by the smallest vector; ties go to the smaller id; components of 2^63 and above behind the scale, and scores in the
+result that a long cannot hold, raise an error, since no long stands for them; where products could exceed a long on the way, whole
+numbers of any size are summed. Other columns are not read. Empty tables or no queries give an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ LEAST_ROWS = 2048  # smaller cells are not made for the sake of parallel work
 QUERY_BLOCK = 64
 
 
+def _largest(x: np.ndarray) -> int:
+    """The greatest magnitude, also of the least long."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 class Postings:
     """The rows of a cell by term. ids ascend; weights are integers."""
 
@@ -39,17 +45,16 @@ class Postings:
         terms, first = np.unique(term[order], return_index=True)
         cuts = np.append(first, len(order))
         self.lists = {int(t): (row[order[a:b]], weight[order[a:b]]) for t, a, b in zip(terms, cuts, cuts[1:], strict=False)}
-        self.most, self.width = int(np.abs(flat).max(initial=0)), int(lengths.max(initial=0))
+        self.most, self.width = _largest(flat), int(lengths.max(initial=0))
 
     def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """A dense row of scores for each query, one term at a time."""
-        out = np.zeros((len(queries), len(self.ids)), np.int64)
+        """A dense row of scores for each query, one term at a time; Python's integers where longs may not do."""
         width = max((len(q) for q in queries), default=0)
         block = np.zeros((len(queries), width), np.int64)
         for i, q in enumerate(queries):
             block[i, : len(q)] = q
-        if int(np.abs(block).max(initial=0)) * self.most * min(width, self.width) >= 1 << 63:
-            raise OverflowError("inner products exceed a long")
+        kind = np.int64 if _largest(block) * self.most * min(width, self.width) < 1 << 63 else object
+        block, out = block.astype(kind), np.zeros((len(queries), len(self.ids)), kind)
         for t in range(width):
             if t not in self.lists:
                 continue
@@ -57,6 +62,7 @@ class Postings:
             who = np.flatnonzero(block[:, t])
             if not len(who):
                 continue
+            weights = weights.astype(kind)
             if len(rows) == len(self.ids) and len(who) == len(queries):
                 out += block[:, t, None] * weights
             else:
@@ -77,8 +83,8 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     """(id, v array<long>): floor(scale * x) of each component of the valid vectors."""
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    small = F.forall(x, lambda c: F.abs(c.cast("double") * scale) < F.lit(float(1 << 52)))
-    v = F.when(small, F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))))).otherwise(F.raise_error(F.lit("a component is too large for exact integers")))
+    small = F.forall(x, lambda c: F.abs(c.cast("double") * scale) < F.lit(float(1 << 63)))
+    v = F.when(small, F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale))))).otherwise(F.raise_error(F.lit("a component is too large for a long")))
     return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.cast("array<long>").alias("v"))
 
 

@@ -132,3 +132,14 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     digest = lambda x: sorted((r.doc_id, hashlib.sha256(str(r.ids).encode()).hexdigest()) for r in x)
     assert digest(whole) == digest(seen["byte-level BPE"])
+
+
+def test_topk_of_large_components(spark):
+    """Longs on the way may overflow; only a score in the result that no long holds is an error."""
+    rows = [(0, [2.0**61, 1.0]), (1, [0.0, 5.0]), (2, [1.0, 0.0]), (3, [-3.0, 2.0**40]), (4, [2.0**60, 0.0]), (5, [float(1 << 62), -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.search(df.filter("vec_id < 4"), F.col("vec_id") == 0, k=3, scale=1.0).collect()]
+    assert sorted(got) == [(1, 2, 2**61), (2, 1, 5), (3, 3, -3 * 2**61 + 2**40)]
+    assert [r.vec_id for r in topk.search(df.filter("vec_id <> 5"), F.col("vec_id") == 2, k=9, scale=1.0).collect()] == [0, 4, 1, 3]
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big"):
+        topk.search(df, F.col("vec_id") == 0, k=3, scale=1.0).collect()
