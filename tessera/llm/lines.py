@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frequent
 
 #: So many lines at most are broadcast (about 10 MB).
 FEW_LINES = 100_000
@@ -37,22 +37,31 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
     return rows.select("_id", "_t", "_site", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), F.col("_line")).alias("_h2"))
 
 
-def few_lines(df: DataFrame, counted: DataFrame) -> DataFrame:
-    """df, to be broadcast if counted has few rows: then the many rows of a common line stay where they are. Else both sides are dealt out by line."""
-    return F.broadcast(df) if counted.count() <= FEW_LINES else df
+def met(lines: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
+    """lines that are among `of`(_h1, _h2, n, ...), a written table; n: how many rows a line has.
+
+    Few are broadcast, so the many rows of a common line stay where they are. Of more than FEW_LINES the most frequent are, and only rows of rarer ones are dealt out by line.
+    """
+    keys = ["_h1", "_h2"]
+    side = of.drop("n") if how == "inner" else of.select(*keys)
+    if of.count() <= FEW_LINES:
+        return lines.join(F.broadcast(side), keys, how)
+    least = frequent(of, FEW_LINES)
+    often, rare = (x.drop("n") if how == "inner" else x.select(*keys) for x in (of.filter(F.col("n") >= least), of.filter(F.col("n") < least)))
+    return lines.join(F.broadcast(often), keys, how).unionByName(lines.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rare, keys, how))
 
 
 def spread(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
-    """(_h1, _h2, first): the lines on min_sites sites or more, with their first place."""
+    """(_h1, _h2, first, n): the lines on min_sites sites or more, with their first place and how many rows they have."""
     place = F.struct("_id", "_t", "_pos")
-    sketched = lines.groupBy("_h1", "_h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(12))).alias("sites"), F.min(place).alias("first"))
+    sketched = lines.groupBy("_h1", "_h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(12))).alias("sites"), F.min(place).alias("first"), F.count("*").alias("n"))
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
     sketched = scratch.table(sketched.filter(F.col("sites") >= low), "sketched")
     near = sketched.filter(F.col("sites") <= high)
     # exact counts of the few near lines: sites once for each line first, then their number
-    exact = lines.join(few_lines(near.select("_h1", "_h2"), near), ["_h1", "_h2"], "left_semi").select("_h1", "_h2", "_site").distinct().groupBy("_h1", "_h2").count()
-    sure = sketched.filter(F.col("sites") > high).select("_h1", "_h2", "first")
-    return sure.unionByName(near.join(exact.filter(F.col("count") >= min_sites), ["_h1", "_h2"]).select("_h1", "_h2", "first"))
+    exact = met(lines, near.select("_h1", "_h2", "n"), "left_semi").select("_h1", "_h2", "_site").distinct().groupBy("_h1", "_h2").count()
+    sure = sketched.filter(F.col("sites") > high).select("_h1", "_h2", "first", "n")
+    return sure.unionByName(near.join(exact.filter(F.col("count") >= min_sites), ["_h1", "_h2"]).select("_h1", "_h2", "first", "n"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, keep_first: bool = True) -> DataFrame:
@@ -60,7 +69,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     scratch = Scratch(docs.sparkSession)
     lines = scratch.table(exploded(docs, id_col, text_col, site_col), "lines")  # hashes and places only: texts are read twice in all
     common = scratch.table(spread(lines, min_sites, scratch), "common")
-    hit = lines.join(few_lines(common, common), ["_h1", "_h2"])
+    hit = met(lines, common)
     if keep_first:
         hit = hit.filter(~F.struct("_id", "_t", "_pos").eqNullSafe(F.col("first")))
     gone = hit.groupBy(F.col("_id").alias("_gid"), F.col("_t").alias("_gt")).agg(F.collect_set("_pos").alias("_gone"))
