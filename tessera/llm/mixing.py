@@ -2,8 +2,9 @@
 
 Documents are aggregated by membership pattern (the set of sources that they belong to). A flow routes the patterns' tokens
 to the sources' quotas; the first pass over a pattern is free and each further one costs more (convex repetition costs),
-so repetition is used only where quotas cannot be met otherwise. The flow network has one node for each pattern and
-source and is worked out on the driver: at most MAX_PATTERNS patterns, an error beyond. Inside a pattern every document is taken in whole passes, and
+so repetition is used only where quotas cannot be met otherwise. A source whose documents belong to no other needs no network:
+its one pattern meets its quota as far as the passes go. The network of the others has one node for each pattern and
+source and is worked out on the driver: at most MAX_PATTERNS of these overlapping patterns, an error beyond. Inside a pattern every document is taken in whole passes, and
 the rest of the pattern's flow goes to documents in a seeded order, up to the rest, and then to a few further documents that close
 the remaining gap.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
-#: Patterns of membership (and so sources) that the flow on the driver takes; more raise an error.
+#: Patterns of sources that overlap that the flow on the driver takes; more raise an error.
 MAX_PATTERNS = 20_000
+#: Rows of a plan that are broadcast; a longer one is joined by a shuffle.
+FEW_PATTERNS = 50_000
 GAP_ROUNDS = 8
 _PICKS = "array<struct<_order:long,_key:string>>"
 WEIGHTS = (3, 1, 2)
@@ -56,6 +60,13 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
 
 def flow(patterns: dict[tuple, int], quotas: dict, most: int = 2) -> dict[tuple, dict]:
     """Words from each pattern to each of its sources: as much of the quotas as can be met, at least cost, where the k-th pass costs k - 1 a word."""
+    shared = Counter(s for p in patterns for s in p)
+    alone = {p: {p[0]: min(quotas[p[0]], most * size)} for p, size in patterns.items() if len(p) == 1 and shared[p[0]] == 1 and p[0] in quotas}
+    if alone:
+        rest = {p: size for p, size in patterns.items() if p not in alone}
+        return alone | (flow(rest, {s: q for s, q in quotas.items() if (s,) not in alone}, most) if rest else {})
+    if len(patterns) > MAX_PATTERNS:
+        raise ValueError(f"{len(patterns)} overlapping patterns of membership, over {MAX_PATTERNS}: join sources into groups first")
     names = ["from", "to", *(("p", p) for p in patterns), *(("s", s) for s in quotas)]
     at = {n: i for i, n in enumerate(names)}
     edges: list[list[int]] = []  # to, capacity, cost; the reverse edge is at index ^ 1
@@ -100,6 +111,10 @@ def flow(patterns: dict[tuple, int], quotas: dict, most: int = 2) -> dict[tuple,
             edges[e ^ 1][1] += step
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW_PATTERNS else df
+
+
 class Mix:
     """A mixture that has been worked out. sources: its targets; cuts: for each pattern, whole passes and where the seeded order is cut."""
 
@@ -117,8 +132,6 @@ class Mix:
         self.rows = rows = scratch.table(docs.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in self.columns.items())), "sizes")
         ranges = rows.groupBy("_pattern", F.shiftright("_order", 48).alias("_range")).agg(F.sum("_size").alias("words"))
         ranges = scratch.table(ranges, "ranges")
-        if (n := ranges.select("_pattern").distinct().count()) > MAX_PATTERNS:
-            raise ValueError(f"{n} patterns of membership, over {MAX_PATTERNS}: join sources into groups first")
         found = {tuple(json.loads(r[0])): r for r in ranges.groupBy("_pattern").agg(F.sum("words")).collect()}
         patterns = {p: r[1] for p, r in found.items()}
         sizes: dict[str | None, int] = {}
@@ -132,10 +145,10 @@ class Mix:
             words = sum(routed[p].values())
             passes = words // size if size else 0
             plan.append((found[p]["_pattern"], passes, words - passes * size))
-        wanted = F.broadcast(spark.createDataFrame(plan, "_pattern string, _passes long, _rest long"))
+        wanted = _few(spark.createDataFrame(plan, "_pattern string, _passes long, _rest long"), len(plan))
         before = F.coalesce(F.sum("words").over(Window.partitionBy("_pattern").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         cut = ranges.withColumn("before", before).join(wanted, "_pattern").filter("_rest > 0 and before <= _rest and before + words > _rest").select("_pattern", "_range", "before", "_rest")
-        inside = rows.withColumn("_range", F.shiftright("_order", 48)).join(F.broadcast(cut), ["_pattern", "_range"])
+        inside = rows.withColumn("_range", F.shiftright("_order", 48)).join(_few(cut, len(plan)), ["_pattern", "_range"])
         order = Window.partitionBy("_pattern").orderBy("_order", "_key", "_size")
         inside = inside.withColumn("total", F.col("before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         # the last document that fits as a whole: order and key of the cut, and what is still missing there
@@ -153,7 +166,7 @@ class Mix:
             open_ = [(p, x["gap"], *x["last"], x["more"]) for p, x in state.items() if x["gap"] > 0]
             if not open_:
                 break
-            asked = F.broadcast(spark.createDataFrame(open_, f"_pattern string, _gap long, _cut long, _cut_key string, _more {_PICKS}"))
+            asked = _few(spark.createDataFrame(open_, f"_pattern string, _gap long, _cut long, _cut_key string, _more {_PICKS}"), len(open_))
             key = F.struct("_order", "_key")
             left = rows.join(asked, "_pattern").filter((key > F.struct(F.col("_cut").alias("_order"), F.col("_cut_key").alias("_key"))) & ~F.array_contains("_more", key) & (F.col("_size") > 0))
             if k < GAP_ROUNDS - 1:
@@ -169,7 +182,7 @@ class Mix:
 
     def with_taken(self, rows: DataFrame) -> DataFrame:
         """rows that have the working columns, and _taken: how many times each is taken as a whole."""
-        cuts = F.broadcast(self.spark.createDataFrame(self.cuts, f"_pattern string, _passes long, _cut long, _cut_key string, _more {_PICKS}"))
+        cuts = _few(self.spark.createDataFrame(self.cuts, f"_pattern string, _passes long, _cut long, _cut_key string, _more {_PICKS}"), len(self.cuts))
         key = F.struct("_order", "_key")
         chosen = (key <= F.struct(F.col("_cut").alias("_order"), F.col("_cut_key").alias("_key"))) | F.array_contains("_more", key)
         times = F.least(F.col("_passes") + chosen.cast("long"), F.lit(self.most))
