@@ -42,6 +42,7 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.stable: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}  # as many as there are tokens at most
         self._automaton = None
 
     @classmethod
@@ -58,16 +59,62 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, t: int) -> tuple[int, int] | None:
+        """The two tokens that t is merged from: what is left of its bytes by the merges before it. The token itself twice if it is one byte; None if merging does not lead to it."""
+        out = self._halves.get(t, 0)
+        if out == 0:
+            b = self.bytes_of[t]
+            parts = [b[i : i + 1] for i in range(len(b))]
+            while len(parts) > 2:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank >= t:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            out = (t, t) if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+            self._halves[t] = out
+        return out
+
     def pair(self, p: int, t: int) -> bool:
-        """Whether the tokens p, t can stand side by side (p: _START for t at the beginning)."""
+        """Whether the tokens p, t can stand side by side (p: _START for t at the beginning).
+
+        They can if no merge across the border comes before those that make them. The border's tokens are taken apart from the last merge to the first,
+        always the one that was made later, and the two that then meet must not make a token that is merged before what was taken apart last.
+        """
         out = self.stable.get(p * _PAIR + t)
         if out is None:
-            out = self.merged(self.bytes_of[t]) == [t] if p == _START else self.merged(self.bytes_of[p] + self.bytes_of[t]) == [p, t]
+            out = self.halves(t) is not None and (p == _START or self._apart(p, t))
             if len(self.stable) > STABLE_PAIRS:
                 self.stable.clear()
             self.stable[p * _PAIR + t] = out
         return out
 
+    def _apart(self, left: int, right: int) -> bool:
+        ranks, bytes_of, before = self.ranks, self.bytes_of, 1 << 60
+        while True:
+            across = ranks.get(bytes_of[left] + bytes_of[right])
+            if across is not None and across < before:
+                return False
+            if left > right:
+                before = left
+                inner = self.halves(left)
+                left = inner[1]
+                if left != before:
+                    continue
+                before, inner = right + 1, self.halves(right)
+                if inner[0] == right:
+                    return True
+                right = inner[0]
+            else:
+                before = right + 1  # of equal merges the left one comes first
+                inner = self.halves(right)
+                if inner[0] != right:
+                    right = inner[0]
+                    continue
+                before, inner = left, self.halves(left)
+                if inner[1] == left:
+                    return True
+                left = inner[1]
+
     def automaton(self):
         """Finds all tokens in a string in one pass (bytes as Latin-1)."""
         if self._automaton is None:
