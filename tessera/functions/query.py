@@ -38,10 +38,22 @@ EXPANSIONS = {
 }
 #: Beginnings that a semantic query drops.
 SEMANTIC_PREFIXES = ("please explain ", "explain ", "can you explain ", "what do you mean by ", "what is meant by ")
+#: Whole messages that need no retrieval; words that refer to what was said before; what joins and parts questions.
 GREETING = r"(?i)^(hi|hello|hey|thanks|thank you|bye|ok|yes|no)[\s!?.]*$"
 PRONOUNS = r"(?i)\b(it|its|they|them|their|this|that|these|those|the same|above|previous)\b"
 MULTI_PART = (" and ", " also ", " then ", "; ", "? ", " versus ", " vs ")
 SEPARATORS = (" and ", " also ", " then ", "; ", "? ")
+#: What a query holds (one phrase of each group), and what its chunks must not.
+NEGATIVE_SIGNALS = (
+    ((("tcp",), ("handshake",)), ("tls", "record protocol", "authentication protocol")),
+    ((("b+ tree", "b plus tree", "b-tree"),), ("r tree", "generalized search trees")),
+    ((("virtual memory",),), ("virtual machines", "virtual machine")),
+)
+#: Beginnings and phrases of questions about procedures; phrases of comparisons, and two that make one together.
+PROCEDURAL_BEGINNINGS = ("how to ", "how do ", "how does ", "explain how ")
+PROCEDURAL_PHRASES = (" step by step", "steps to", "algorithm for", "procedure for")
+COMPARATIVE_PHRASES = ("compare ", " vs ", " versus ", "difference between")
+COMPARATIVE_PAIR = ("advantages of", "over")
 #: Words that are no entities.
 NO_ENTITY = ("what", "how", "why", "when", "the", "and", "for", "with", "from", "does", "explain", "define", "compare", "difference", "between")
 
@@ -59,23 +71,18 @@ def concept(q: Column) -> Column:
 
 def negative_signals(q: Column) -> Column:
     low = F.lower(q)
-    return F.flatten(
-        F.array(
-            F.when(F.contains(low, F.lit("tcp")) & F.contains(low, F.lit("handshake")), F.array(*map(F.lit, ("tls", "record protocol", "authentication protocol")))).otherwise(F.array().cast("array<string>")),
-            F.when(contains_any(low, ("b+ tree", "b plus tree", "b-tree")), F.array(*map(F.lit, ("r tree", "generalized search trees")))).otherwise(F.array().cast("array<string>")),
-            F.when(F.contains(low, F.lit("virtual memory")), F.array(*map(F.lit, ("virtual machines", "virtual machine")))).otherwise(F.array().cast("array<string>")),
-        )
-    )
+    none = F.array().cast("array<string>")
+    return F.flatten(F.array(*(F.when(reduce(lambda a, b: a & b, (contains_any(low, any_of) for any_of in all_of)), F.array(*map(F.lit, signals))).otherwise(none) for all_of, signals in NEGATIVE_SIGNALS)))
 
 
 def is_procedural(q: Column) -> Column:
     low = F.lower(F.trim(q))
-    return reduce(lambda a, b: a | b, (F.startswith(low, F.lit(p)) for p in ("how to ", "how do ", "how does ", "explain how "))) | contains_any(low, (" step by step", "steps to", "algorithm for", "procedure for"))
+    return reduce(lambda a, b: a | b, (F.startswith(low, F.lit(p)) for p in PROCEDURAL_BEGINNINGS)) | contains_any(low, PROCEDURAL_PHRASES)
 
 
 def is_comparative(q: Column) -> Column:
     low = F.lower(F.trim(q))
-    return contains_any(low, ("compare ", " vs ", " versus ", "difference between")) | (F.contains(low, F.lit("advantages of")) & F.contains(low, F.lit("over")))
+    return contains_any(low, COMPARATIVE_PHRASES) | reduce(lambda a, b: a & b, (F.contains(low, F.lit(p)) for p in COMPARATIVE_PAIR))
 
 
 def intent(q: Column) -> Column:
