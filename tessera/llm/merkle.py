@@ -8,7 +8,7 @@ writes the tree down, `root|section;section`: a section is `digest size:paragrap
 branches are passed over whole, and the walk down those that differ gives the likeness and the place of the edit.
 
 Nulls and edge cases: a null text counts as empty; an empty text has a tree without sections; ids are integers and may repeat: rows are
-ordered by (id, text) and each is a document of its own; null ids come first and are dealt to one task; a table of one row is its own
+ordered by id and then by their compressed bytes, and each is a document of its own; null ids come first and are dealt to one task; a table of one row is its own
 next document. Texts of any length are read whole. An empty table gives an empty result.
 """
 

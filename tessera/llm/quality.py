@@ -27,6 +27,8 @@ from .common import SEGMENT, raw, slices, small_batches, window_hashes, word_has
 
 WORD_DIMS, SHAPE_DIMS, MARKS = 1024, 1024, 4
 DIMS = WORD_DIMS + SHAPE_DIMS + MARKS
+#: Of one feature in one text, in training and scoring alike.
+MOST = 65535
 
 _SHAPE = np.arange(256, dtype=np.uint64)
 for _kind, _codes in ((1, range(97, 123)), (2, range(65, 91)), (3, range(48, 58)), (1, range(128, 256)), (4, (9, 32)), (5, (10, 11, 12, 13))):
@@ -91,7 +93,7 @@ class Model:
 
 
 def weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit rows, half their weight from words and half from shapes and repeats."""
+    """Rows of unit length in two parts: words, which weigh 0.3, and shapes and repeats."""
     x = (np.log1p(found) * idf).astype(np.float32)
     lexical, shape = unit(x[:, :WORD_DIMS]), unit(x[:, WORD_DIMS:])
     return np.concatenate([lexical * np.float32(0.3), shape], axis=1)
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 1 << 20, 256):
-            found = np.minimum(counts(*raw(batch.column(2))), 65535).astype(np.uint16)
+            found = np.minimum(counts(*raw(batch.column(2))), MOST).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=schema.names)
 
     texts = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(id_col, "_label", text_col)
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 1 << 20, 256):
-            found = shared.value.vote(counts(*raw(batch.column(columns.index(text_col)))), neighbours)
+            found = shared.value.vote(np.minimum(counts(*raw(batch.column(columns.index(text_col)))), MOST), neighbours)
             yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=schema.names)
 
     return docs.select(*columns).mapInArrow(run, schema)
