@@ -57,29 +57,31 @@ def _texts(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(found), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
 
-#: Tells rows of one id apart by their texts.
+#: Tells rows of one id apart by their texts: a hash, or 0 in a table that repeats no id, which costs nothing where rows are moved.
 TEXT = "_text"
 _TEXT = T.StructField(TEXT, T.LongType())
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias(TEXT))
+def marked_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, _text)."""
+    twice = not docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
+    return docs.select(id_col, text_col, (F.xxhash64(text_col) if twice else F.lit(0).cast("long")).alias(TEXT))
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _text, z): the text's bytes, compressed, for moving."""
+def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rows: marked_texts(). (id, _text, z): the text's bytes, compressed, for moving."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        pack = zstandard.ZstdCompressor(level=7, write_content_size=True)
         for batch in slices(batches, text_col):
             out = [pack.compress(x.encode()) if x else None for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=[id_col, TEXT, "z"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], _TEXT, T.StructField("z", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], _TEXT, T.StructField("z", T.BinaryType())]))
 
 
-def anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(seed, id, _text, pos): each row's anchors."""
+def anchors(rows: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """rows: marked_texts(). (seed, id, _text, pos): each row's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
@@ -93,8 +95,8 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
             own = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(seed), batch.column(0).take(own), batch.column(2).take(own), pa.array((at - first[doc]).astype(np.int32))], names=["seed", id_col, TEXT, "pos"])
 
-    schema = T.StructType([T.StructField("seed", T.LongType()), docs.schema[id_col], _TEXT, T.StructField("pos", T.IntegerType())])
-    return _rows(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("seed", T.LongType()), rows.schema[id_col], _TEXT, T.StructField("pos", T.IntegerType())])
+    return rows.filter(F.col(id_col).isNotNull()).mapInArrow(run, schema)
 
 
 def repeated(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -143,9 +145,9 @@ def doubled(level: DataFrame, id_col: str, length: int) -> DataFrame:
     return left.join(right, [id_col, TEXT, "pos"]).select(F.xxhash64("h", "x", "h2", "x2").alias("h"), F.hash("x2", "h2", "x", "h").alias("x"), id_col, TEXT, "pos")
 
 
-def repeats(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
-    """texts: packed(docs). (h, x, id, _text, pos, least): every window of `length` words that several documents share; least: the smallest id that has it."""
-    seeds = repeated(anchors(docs, id_col, text_col, length), ["seed"], id_col)
+def repeats(rows: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
+    """rows: marked_texts(), texts: packed(rows). (h, x, id, _text, pos, least): every window of `length` words that several documents share; least: the smallest id that has it."""
+    seeds = repeated(anchors(rows, id_col, text_col, length), ["seed"], id_col)
     marked = seeds.groupBy(id_col, TEXT).agg(F.collect_list("pos").alias("at"))
     return repeated(windows(texts, marked, id_col, length), ["h", "x"], id_col)
 
@@ -153,7 +155,8 @@ def repeats(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col:
 def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """(id, pos, words): for each document, the first of its longest windows (length, twice that, ...) that another document shares."""
     scratch = Scratch(docs.sparkSession)
-    level = scratch.table(repeats(docs, packed(docs, id_col, text_col), id_col, text_col, length).drop("least"), "level")
+    rows = marked_texts(docs, id_col, text_col)
+    level = scratch.table(repeats(rows, packed(rows, id_col, text_col), id_col, text_col, length).drop("least"), "level")
     found, size = None, length
     while not level.isEmpty():
         own = level.groupBy(id_col).agg(F.min("pos").alias("pos")).withColumn("words", F.lit(size))
@@ -167,8 +170,9 @@ def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept, spans): kept is the remaining words joined by single spaces; spans are the removed word ranges."""
     small_batches(docs.sparkSession)
-    texts = packed(docs, id_col, text_col)
-    found = repeats(docs, texts, id_col, text_col, length).filter(F.col(id_col) > F.col("least"))
+    rows = marked_texts(docs, id_col, text_col)
+    texts = packed(rows, id_col, text_col)
+    found = repeats(rows, texts, id_col, text_col, length).filter(F.col(id_col) > F.col("least"))
     joined = _marked(texts, found.groupBy(id_col, TEXT).agg(F.collect_list("pos").alias("at")), id_col)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("spans", T.ArrayType(span))])
