@@ -5,7 +5,6 @@ Line work is array work inside a row; nothing is shuffled until a result needs i
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
