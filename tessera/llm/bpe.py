@@ -14,8 +14,8 @@ encoded row by row; unknown ids raise an error. Text of any language and length
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,7 +30,6 @@ from .common import give_back, slices, small_batches
 CACHE_PIECES = 1 << 17  # in each of two generations
 STABLE_PAIRS = 1 << 20
 CACHED_BYTES = 64  # longer pieces are encoded each time
-_PAIR = 1 << 32
 _START = -2  # stands before a piece's first token
 
 
@@ -41,7 +40,8 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.stable: dict[int, bool] = {}
+        self.stable: dict[int, dict[int, bool]] = {}  # by the token that follows
+        self._known = 0
         self._halves: dict[int, tuple[int, int] | None] = {}  # as many as there are tokens at most
         self._automaton = None
 
@@ -80,14 +80,20 @@ class Vocabulary:
         They can if no merge across the border comes before those that make them. The border's tokens are taken apart from the last merge to the first,
         always the one that was made later, and the two that then meet must not make a token that is merged before what was taken apart last.
         """
-        out = self.stable.get(p * _PAIR + t)
+        known = self.stable.get(t)
+        out = None if known is None else known.get(p)
         if out is None:
             out = self.halves(t) is not None and (p == _START or self._apart(p, t))
-            if len(self.stable) > STABLE_PAIRS:
-                self.stable.clear()
-            self.stable[p * _PAIR + t] = out
+            if self._known >= STABLE_PAIRS:
+                self.forget()
+            self.stable.setdefault(t, {})[p] = out
+            self._known += 1
         return out
 
+    def forget(self) -> None:
+        self.stable.clear()
+        self._known = 0
+
     def _apart(self, left: int, right: int) -> bool:
         ranks, bytes_of, before = self.ranks, self.bytes_of, 1 << 60
         while True:
@@ -127,12 +133,12 @@ class Vocabulary:
 
     def fill(self, text: str, last: list[int], at: int = 0) -> None:
         """Sets last[j + 1] for each j >= at of text (bytes as Latin-1) where a token ends; last holds _START where pieces begin."""
-        known, pair = self.stable.get, self.pair
+        known, pair, none = self.stable.get, self.pair, {}
         for j, (t, size) in self.automaton().iter(text):
             if j < at or last[j + 1] != -1:
                 continue
             p = last[j + 1 - size]
-            ok = known(p * _PAIR + t)
+            ok = known(t, none).get(p)
             if pair(p, t) if ok is None else ok:
                 last[j + 1] = t
 
@@ -195,10 +201,10 @@ class Encoder:
     def rest(self) -> None:
         """At the end of a task: the worker may next do something else, or nothing. The vocabulary stays."""
         self.cache, self.old = {}, {}
-        self.vocabulary.stable.clear()
+        self.vocabulary.forget()
 
-    def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of the pieces, which the cache does not have; their tables are filled in one pass, side by side."""
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of the pieces as 32-bit integers, which the cache does not have; their tables are filled in one pass, side by side."""
         out = {}
         for p in [p for p in pieces if p in self.old]:
             out[p] = self.old[p]
@@ -217,7 +223,7 @@ class Encoder:
                     t = last[j]
                     ids.append(t)
                     j -= len(sizes[t])
-                out[p] = tuple(ids[::-1])
+                out[p] = array("i", ids[::-1]).tobytes()
         if len(self.cache) + len(out) > CACHE_PIECES:
             self.old, self.cache = self.cache, {}
         self.cache |= {p: x for p, x in out.items() if len(p) <= CACHED_BYTES}
@@ -227,11 +233,15 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
         pieces = [self.split(t) if t else [] for t in texts]
         cache = self.cache
         new = self.learn(list(dict.fromkeys([p for own in pieces for p in own if p not in cache])))
         get = cache.get  # also after a change of generations: what is not in the one before is among the new ones
-        return [list(chain.from_iterable([get(p) or new[p] for p in own])) for own in pieces]
+        return [b"".join([get(p) or new[p] for p in own]) for own in pieces]
 
     def append(self, text: str, ids: list[int], more: str) -> list[int]:
         """Ids of text + more from those of text: pieces are settled up to the last run of spaces before the end and are kept as they are."""
@@ -279,10 +289,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         encoder = Encoder.get(content.value, pattern)
         table = _table(content.value) if decoded_col else None
         for batch in slices(batches, text_col, 1 << 20):
-            found = encoder.encode_all(batch.column(columns.index(text_col)).to_pylist())
+            found = encoder.packed(batch.column(columns.index(text_col)).to_pylist())
             ends = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=ends[1:])
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+            np.cumsum([len(x) // 4 for x in found], out=ends[1:])
+            flat = np.frombuffer(b"".join(found), np.int32)
             del found
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             back = [_decoded(table, flat, ends)] if decoded_col else []

@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch, mix, raw, slices, window_hashes, word_hashes, words
 from .components import components
