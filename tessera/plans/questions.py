@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..sources import relations as S
 from ..sources.shared import written
 from .registry import query
-from .retrieval import KEY_TERMS_SQL, key_terms
+from .retrieval import KEY_TERMS_SQL
 
 
 def _any(col, words):
@@ -26,9 +26,10 @@ POTENTIAL_SQL = f"""{S.CHUNKS_SQL}, {KEY_TERMS_SQL}, po as (select c.id, book_id
 
 
 def _potential(spark, sf):
-    chunks = S.chunks(spark, sf).join(key_terms(S.chunks(spark, sf)), "id", "left")
-    score = O.chunk_potential(F.col("chunk_type"), F.col("header_path"), F.col("text"), F.coalesce(F.size("key_terms"), F.lit(0)), F.col("id") % 3)
-    return chunks.select("id", O.diversity_key(F.col("book_id"), F.col("header_path")).alias("key"), score.alias("score"))
+    """Of the key terms the score takes their number alone: the distinct tokens, eight at most. So no chunk is joined or grouped."""
+    terms = F.least(F.size(F.array_distinct(X.tokens(F.col("text")))), F.lit(8))
+    score = O.chunk_potential(F.col("chunk_type"), F.col("header_path"), F.col("text"), terms, F.col("id") % 3)
+    return S.chunks(spark, sf).select("id", O.diversity_key(F.col("book_id"), F.col("header_path")).alias("key"), score.alias("score"))
 
 
 @query("H8_chunk_potential", f"with {POTENTIAL_SQL} select id, score from ps")

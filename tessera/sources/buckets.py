@@ -7,6 +7,8 @@ run again ends in the same rows, and files of buckets that nothing touches stay
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -27,23 +29,44 @@ class BucketTable:
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
-    def _manifest(self, before: int | None = None) -> dict[int, int]:
-        """Where each bucket lies: a row for each, at most."""
+    def _files(self, name: str):
+        """(file system, path) of a name below the folder, for the driver's own small files."""
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
-        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return {}
-        done = [int(s.getPath().getName()) for s in files.listStatus(path) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        done = [n for n in done if before is None or n < before]
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+    def _names(self, name: str) -> list[str]:
+        files, path = self._files(name)
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def _manifest(self, before: int | None = None) -> dict[int, str]:
+        """Which folder holds each bucket, by the last manifest, or the last of those under `before`."""
+        done = [tuple(map(int, n.split(".")[:2])) for n in self._names("manifest") if n.endswith(".json")]
+        done = [n for n in done if before is None or n[0] < before]
         if not done:
             return {}
-        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version int").parquet(f"{self.folder}/manifest/{max(done)}").collect()}
-
-    def _read(self, where: dict[int, int]) -> DataFrame:
+        files, path = self._files("manifest/{}.{}.json".format(*max(done)))
+        stream = files.open(path)
+        try:
+            return {int(b): v for b, v in json.loads(bytes(stream.readAllBytes()))}
+        finally:
+            stream.close()
+
+    def _commit(self, number: int, where: dict[int, str]) -> None:
+        """A manifest gets its name when it is whole; a number that is merged again gets a further one."""
+        again = 1 + max((int(n.split(".")[1]) for n in self._names("manifest") if n.endswith(".json") and int(n.split(".")[0]) == number), default=0)
+        files, path = self._files(f"manifest/{number}.{again}.json")
+        _, half = self._files(f"manifest/{number}.{uuid.uuid4().hex}")
+        stream = files.create(half)
+        stream.write(bytearray(json.dumps(sorted(where.items())).encode()))
+        stream.close()
+        if not files.rename(half, path):
+            raise OSError(f"manifest {number} of {self.folder} was not written")
+
+    def _read(self, where: dict[int, str]) -> DataFrame:
         if not where:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/data/version={v}/bucket={b}" for b, v in sorted(where.items())))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/data/{v}/bucket={b}" for b, v in sorted(where.items())))
 
     def read(self, of: DataFrame | None = None) -> DataFrame:
         """The rows; of: only those of the buckets in which these rows' keys lie."""
@@ -55,16 +78,15 @@ class BucketTable:
         return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
 
     def merge(self, number: int, changes: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> None:
-        """combine(old) -> the rows of the buckets in which the keys of `changes` lie, from what these buckets held before merge `number`."""
-        before = self._manifest(number)
+        """combine(old) -> the rows of the buckets in which the keys of `changes` lie, from what these buckets held before merge `number`. Numbers count up; the last may be merged again."""
+        before, label = self._manifest(number), f"{number}-{uuid.uuid4().hex[:12]}"
         touched = self.touched(changes)
         old = self._read({b: before[b] for b in touched if b in before})
         rows = combine(old).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema)).withColumn("bucket", self.bucket())
         # a bucket has one file, and more only where it is large
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={number}")
-        written = {r[0] for r in self.spark.read.schema("bucket int").option("basePath", f"{self.folder}/data/version={number}").parquet(f"{self.folder}/data/version={number}").select("bucket").distinct().collect()} if touched else set()
-        after = {b: v for b, v in before.items() if b not in touched} | {b: number for b in written}
-        self.spark.createDataFrame(sorted(after.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{number}")
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/data/{label}")
+        written = {int(n.removeprefix("bucket=")) for n in self._names(f"data/{label}") if n.startswith("bucket=")}
+        self._commit(number, {b: v for b, v in before.items() if b not in touched} | dict.fromkeys(written, label))
 
     def upsert(self, number: int, rows: DataFrame, keep: tuple[str, ...] = ()) -> None:
         """rows, one for each key, in place of those of equal keys; columns in keep stay as they were where a row existed."""
