@@ -18,7 +18,7 @@ from .retrieval import ranked
 
 #: Rows that k-means sees at most, of the smallest hashes of their ids.
 SAMPLE = 65_536
-LISTS, ROUNDS, PROBES = 100, 8, 30
+LISTS, ROUNDS, PROBES = 100, 8, 60
 #: Rows of a list that lie in one cell at most, about; a cell is held by the task that searches it.
 CELL_ROWS = 16_384
 QUERY_BLOCK = 256

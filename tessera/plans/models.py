@@ -58,7 +58,7 @@ def _(spark, sf):
 
 @query("I20_inverted_file_search")
 def _(spark, sf):
-    """Approximate search: an index of 100 lists over all vectors, the 30 lists nearest to each query probed; what they hold is scored exactly. A third of the rows come as a later insert."""
+    """Approximate search: an index of 100 lists over all vectors, the 60 lists nearest to each query probed (the given vectors hardly cluster; README has recall by probes); what they hold is scored exactly. A third of the rows come as a later insert."""
     rows, asked = _vectors(spark, sf)
     rows, asked = rows.filter("v is not null"), asked.filter("q is not null")
     index = VectorIndex.build(rows.filter("id % 3 <> 0"), folder(spark, "vectors"))

@@ -180,3 +180,14 @@ def test_kept_postings(spark, tmp_path):
     held = spark.read.parquet(f"file://{tmp_path}/p/postings")
     there = held.filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit("kernel")), F.lit(8))).select(F.input_file_name()).distinct().count()
     assert there < len(files(f"{tmp_path}/p/postings")) / 2  # bytes that a search doesn't read
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_recall_on_the_given_vectors(spark):
+    from tessera import catalog
+    from tessera.plans.retrieval import _vectors
+
+    sf = "/root/testdata/sf0.001"
+    exact = {(r.query_id, r.id) for r in R.dense(*_vectors(spark, sf), 5).collect()}
+    found = {(r.query_id, r.id) for r in catalog.queries()["I20_inverted_file_search"](spark, sf).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
