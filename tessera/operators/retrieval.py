@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import written
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: So many distinct query terms at most are broadcast.
@@ -29,6 +30,11 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     return found.withColumn("dl", F.size("toks"))
 
 
+def as_tokens(chunks: DataFrame) -> DataFrame:
+    """(id, toks, dl), written where the chunks still hold texts, since what follows reads it several times."""
+    return chunks if "toks" in chunks.columns else written(tokenized(chunks))
+
+
 def idf_of(df: DataFrame, whole: DataFrame) -> DataFrame:
     """df(tok, df) of the whole vocabulary, one row whole(n) -> (tok, df, idf). Negative idf is replaced by a quarter of the vocabulary's mean idf."""
     idf = df.crossJoin(F.broadcast(whole.select("n"))).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row of totals
@@ -36,10 +42,11 @@ def idf_of(df: DataFrame, whole: DataFrame) -> DataFrame:
     return idf.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25_statistics(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """toks: tokenized(), written where it is used again. (tok, df, idf) and one row (n, avgdl).
+def bm25_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks(id, text) or as_tokens() of them -> (tok, df, idf) and one row (n, avgdl).
 
     Each text hands on its distinct tokens, which are counted before the shuffle: what moves is a row for each word and task, no postings."""
+    toks = as_tokens(chunks)
     whole = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = toks.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     return idf_of(df, whole), whole
@@ -70,16 +77,17 @@ def bm25_sums(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 
-def bm25_scores(toks: DataFrame, queries: DataFrame) -> DataFrame:
-    """toks: tokenized(), best as a written table, since it is read three times. (query_id, id, score)."""
+def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """chunks(id, text) or as_tokens() of them -> (query_id, id, score)."""
+    toks = as_tokens(chunks)
     asked, terms = asked_terms(queries)
     idf, whole = bm25_statistics(toks)
     known = asked.join(idf.join(terms, "tok", "left_semi"), "tok")
     return bm25_sums(postings(toks, terms).join(known, "tok").crossJoin(F.broadcast(whole)))  # one row of totals
 
 
-def bm25(toks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return ranked(bm25_scores(toks, queries), k)
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    return ranked(bm25_scores(chunks, queries), k)
 
 
 def dot(a: Column, b: Column) -> Column:

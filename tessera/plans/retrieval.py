@@ -26,7 +26,7 @@ VEC_SQL = """vq as (select q.vec_id query_id, v.vec_id id, round(list_sum(list_t
 
 def _toks(spark, sf):
     """The corpus as tokens, made and written once for all that a query does with it."""
-    return written(R.tokenized(S.chunks(spark, sf)))
+    return R.as_tokens(S.chunks(spark, sf))
 
 
 def _bm25(spark, sf, k):
