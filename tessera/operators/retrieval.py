@@ -7,10 +7,15 @@ shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..sources.shared import written
@@ -18,6 +23,8 @@ from ..sources.shared import written
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: So many distinct query terms at most are broadcast.
 FEW_TERMS = 200_000
+#: So many numbers (queries x components) at most are sent to the rows of a dense search: 4 MB.
+FEW_QUERIES = 1 << 19
 NEGATIVE_PENALTY, DEFINITION_BOOST = 0.25, 1.5
 #: Kinds and headings that retrieval leaves out.
 NOISE_TYPES = ("exercise", "references", "bibliography", "citations")
@@ -98,9 +105,51 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _unit(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of unit length of a list column, and which rows have one: not those that are null, zero, of another width or with null components."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    sizes, out = np.diff(col.offsets.to_numpy()), np.zeros((len(col), width))
+    right = (sizes == width) & col.is_valid().to_numpy(zero_copy_only=False)
+    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64)
+    out[right] = flat[np.repeat(right, np.where(col.is_valid().to_numpy(zero_copy_only=False), sizes, 0))].reshape(-1, width)
+    norms = np.linalg.norm(out, axis=1)
+    has = right & (norms > 0) & np.isfinite(norms)
+    return out / np.where(has, norms, 1)[:, None], has
+
+
+def _dense_few(vectors: DataFrame, queries: DataFrame, asked: list, k: int) -> DataFrame:
+    """The queries go to the rows: each batch of rows keeps its k best for each query, by one matrix product."""
+    width = len(asked[0].q)
+    ids = pa.array([r.query_id for r in asked], to_arrow_type(queries.schema["query_id"].dataType))
+    wanted, has = _unit(pa.array([r.q for r in asked], pa.list_(pa.float64())), width)
+    ids, wanted = ids.take(pa.array(np.flatnonzero(has))), wanted[has]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, good = _unit(batch.column(1), width)
+            score = rows @ wanted.T
+            score[~good] = -2
+            n = len(score)
+            least = np.partition(score, n - k, axis=0)[n - k] if n > k else np.full(score.shape[1], -1.5)
+            r, c = np.nonzero((score >= least - 1e-6) & good[:, None])  # ties of rounded scores are settled behind
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c)), batch.column(0).take(pa.array(r)), pa.array(score[r, c])], names=["query_id", "id", "score"])
+
+    schema = T.StructType([queries.schema["query_id"], vectors.schema["id"], T.StructField("score", T.DoubleType())])
+    found = vectors.select("id", "v").mapInArrow(run, schema)
+    return ranked(found.select("query_id", "id", F.round("score", 6).alias("score")), k)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
-    """vectors(id, v), queries(query_id, q) -> the k nearest by cosine. The stated queries meet the rows in blocks: each query goes once to
-    each block of rows, where its k best are kept, so what is shuffled is k rows for each query and block. There are as many blocks as shuffle partitions."""
+    """vectors(id, v), queries(query_id, q) -> the k nearest by cosine. Up to FEW_QUERIES numbers of queries are sent to the rows. More of them meet the rows in blocks:
+    each query goes once to each block of rows, where its k best are kept, so what is shuffled is k rows for each query and block. There are as many blocks as shuffle partitions."""
+    first = queries.filter("q is not null").select("query_id", F.col("q").cast("array<double>").alias("q"))
+    one = first.limit(1).collect()
+    if blocks is None and one and one[0].q and k >= 1:
+        most = max(1, FEW_QUERIES // len(one[0].q))
+        asked = first.limit(most + 1).collect()
+        if len(asked) <= most:
+            return _dense_few(vectors, queries, asked, k)
     blocks = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select("id", "v", dot(F.col("v"), F.col("v")).alias("vv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     asked = queries.select("query_id", "q", dot(F.col("q"), F.col("q")).alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
