@@ -449,3 +449,21 @@ def test_empty(spark, docs):
     assert bpe.decode(bpe.encode(none, path, public_tokenizers.PATTERN), path).count() == 0
     assert lines.dedup(none).count() == 0 and mixing.Mix(none).taken().count() == 0 and mixing.Mix(none).repeated(none).count() == 0
     assert quality.drop_low_quality(none, labels).count() == 0 and secrets.scan(none).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1])
+def test_many_common_lines(docs, monkeypatch, few):
+    """Beyond FEW_LINES the most frequent lines are broadcast and the rest are dealt out: the same result."""
+    want = sorted((str(r.doc_id), r.text or "", r.ld_lines, r.ld_removed) for r in lines.dedup(docs, min_sites=3).collect())
+    monkeypatch.setattr(lines, "FEW_LINES", few)
+    assert sorted((str(r.doc_id), r.text or "", r.ld_lines, r.ld_removed) for r in lines.dedup(docs, min_sites=3).collect()) == want
+    assert any(r[3] for r in want)
+
+
+def test_flow_of_lone_sources():
+    """Sources that overlap with no other are settled as the network would, whatever their number; the rest meets in the network."""
+    alone = {(f"s{k}",): 10 + k for k in range(3000)}
+    quotas = {f"s{k}": 7 * k % 50 for k in range(3000)}
+    assert mixing.flow(alone, quotas) == {(f"s{k}",): {f"s{k}": min(7 * k % 50, 2 * (10 + k))} for k in range(3000)}
+    mixed = mixing.flow({("a",): 10, ("b",): 10, ("b", "c"): 10, ("d",): 5}, {"a": 15, "b": 20, "c": 10, "d": 0})
+    assert mixed[("a",)] == {"a": 15} and mixed[("d",)] == {"d": 0} and mixed[("b",)]["b"] + mixed[("b", "c")]["b"] == 20 and mixed[("b", "c")]["c"] == 10
