@@ -80,6 +80,23 @@ def test_late_attempts(spark):
     assert sum(r[-1] for r in left) < 60
 
 
+def test_late_attempts_of_many_cards(spark, tmp_path):
+    """Users and cards of several rows of state, null ones among them; there are far fewer rows of state than (user, card)."""
+    rnd = random.Random(5)
+    cards = [None, 0, 1, 1023, 1024, 5000, (1 << 62) + 1]
+    rows = [(k, rnd.choice([None, 0, 1, 31, 32, 99]), rnd.choice(cards), dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(0, 50)), rnd.randint(0, 5), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 99))) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, user_id long, card_id long, attempted_at timestamp, quality int, come timestamp")
+    columns = ["user_id", "card_id", "repetitions", "interval_days", F.round("ease_factor", 9).alias("ease"), "lapses", "last_reviewed_at", "reviews"]
+    want = reviews.review_states(df.drop("come")).select(columns)
+    got = _arriving(spark, df, lambda s: review_updates(s, "5 days"), "come", ["user_id"], times=3, files=2)
+    last = got.groupBy("user_id", "card_id").agg(F.max_by(F.struct("repetitions", "interval_days", "ease_factor", "lapses", "last_reviewed_at", "reviews"), "_batch").alias("s")).select("user_id", "card_id", "s.*").select(columns)
+    assert last.count() == want.count() == 42
+    assert last.exceptAll(want).count() == 0
+    stream = spark.readStream.schema("id long, user_id long, card_id long, attempted_at timestamp, quality int").parquet(str(tmp_path))
+    analyzed = review_updates(stream)._jdf.queryExecution().analyzed().toString()
+    assert "_users" in analyzed and "_cards" in analyzed  # no call for each (user, card)
+
+
 def test_limits(spark):
     rows = [("q", 5, 20, "a", None, None, 0), ("", 0, 101, "a" * 4001, "c" * 65, "x" * 33, -1), (None, None, None, None, "c" * 64, "", None), ("q" * 2000, 20, 100, "", "", "dont_know", 7), ("q" * 2001, 21, 1, "a" * 4000, None, None, None)]
     df = spark.createDataFrame(rows, "query string, top_k int, n int, user_answer string, conversation_id string, action string, response_time_ms int")
