@@ -142,6 +142,37 @@ def test_vector_index_of_nothing(spark, tmp_path):
     assert index.search(none.withColumnRenamed("id", "query_id").withColumnRenamed("v", "q")).count() == 0
 
 
+def test_dense_in_blocks(spark, monkeypatch):
+    """More queries than are sent to the rows: the same rows as from the few, with copies, missing and odd vectors, and ids that are no numbers; scores are worked out in small tiles."""
+    rnd = np.random.default_rng(9)
+    x = np.concatenate([vectors(rnd, 700), np.ones((300, 24)), vectors(rnd, 200)])
+    odd = [("n", None), ("w", [1.0, 2.0]), ("z", [0.0] * 24), ("i", [float("nan")] * 24)]
+    rows = spark.createDataFrame([(f"r{k:04d}", v.tolist()) for k, v in enumerate(x)] + odd, "id string, v array<double>").repartition(3)
+    asked = rows.filter("id like '%0' or id in ('n', 'z')").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    score = np.round(unit @ unit.T, 6)
+    want = {(f"r{q:04d}", n + 1, f"r{r:04d}") for q in range(0, len(x), 10) for n, r in enumerate(sorted(range(len(x)), key=lambda r, q=q: (-score[q, r], r))[:7])}
+    plain = R.dense(rows, asked, 7)
+    assert {(r.query_id, r.rank, r.id) for r in plain.collect()} == want
+    monkeypatch.setattr(R, "FEW_QUERIES", 24 * 10)
+    monkeypatch.setattr(R, "TILE", 1000)
+    monkeypatch.setattr(R, "BLOCK", 24 * 100)
+    blocked = R.dense(rows, asked, 7)
+    assert {(r.query_id, r.rank, r.id) for r in blocked.collect()} == want
+    plan = plan_of(blocked)
+    assert "MapInArrow" in plan and "Join" not in plan  # no pair of a row and a query is a row of Spark's
+    assert R.dense(rows, asked.filter("false"), 7).count() == 0
+
+
+def test_dense_keeps_little(monkeypatch):
+    """Of very many equal rows the first k for each query go on, and a tile is all that is held beside."""
+    monkeypatch.setattr(R, "TILE", 4096)
+    rows, wanted = np.ones((20_000, 4)) / 2, np.ones((64, 4)) / 2
+    found = list(R._best(rows, wanted, 5))
+    assert sum(len(q) for q, _, _ in found) == 64 * 5
+    assert all(set(r) == set(range(5)) for _, r, _ in found)
+
+
 WORDS = "router packet kernel thread index query cache page frame stack queue lock mutex signal handler the and of".split()
 
 
