@@ -1,6 +1,7 @@
 """Queries over all rows, on tables beyond the limits that older queries' SQL has."""
 
 from tessera import catalog
+from tessera.plans.retrieval import key_terms
 
 
 def test_resume_all_parts(spark, tmp_path):
@@ -15,3 +16,14 @@ def test_search_all_vectors(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted((r.query_id, r["rank"], r.id) for r in catalog.queries()["I20_search_all_vectors"](spark, str(tmp_path)).collect())
     assert got == [(0, 1, 0), (0, 2, 3), (0, 3, 10), (0, 4, 21)]
+
+
+def test_key_terms(spark):
+    """The most frequent words, ties by first place, counted where texts are read; ids that occur twice count as one chunk."""
+    rows = [(1, "beta alpha beta gamma alpha delta"), (2, None), (3, "the of"), (None, "alone"), (4, " ".join(f"w{k:02d}" for k in range(30)) + " w29 w28")]
+    once = key_terms(spark.createDataFrame(rows, "id long, text string"), 3)
+    want = {1: ["beta", "alpha", "gamma"], None: ["alone"], 4: ["w28", "w29", "w00"]}
+    assert {r.id: list(r.key_terms) for r in once.collect()} == want
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()  # no word is shuffled
+    again = key_terms(spark.createDataFrame([*rows, (1, "delta delta")], "id long, text string"), 3)
+    assert {r.id: list(r.key_terms) for r in again.collect()} == want | {1: ["delta", "beta", "alpha"]}
