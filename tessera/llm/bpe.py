@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import give_back, slices, small_batches
 
 CACHE_PIECES = 1 << 17  # in each of two generations
-STABLE_PAIRS = 1 << 20
+STABLE_PAIRS = 1 << 18
 CACHED_BYTES = 64  # longer pieces are encoded each time
 _START = -2  # stands before a piece's first token
 
@@ -199,9 +199,8 @@ class Encoder:
         return cls.made[key]
 
     def rest(self) -> None:
-        """At the end of a task: the worker may next do something else, or nothing. The vocabulary stays."""
+        """At the end of a task: the worker may next do something else, or nothing. The vocabulary and what is known of its pairs, STABLE_PAIRS at most, stay."""
         self.cache, self.old = {}, {}
-        self.vocabulary.forget()
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of the pieces as 32-bit integers, which the cache does not have; their tables are filled in one pass, side by side."""
@@ -267,7 +266,7 @@ def _table(content: bytes) -> list[bytes | None]:
     return [by_id.get(i) for i in range(max(by_id, default=-1) + 1)]
 
 
-def _decoded(table: list[bytes | None], flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+def _decoded(table: list[bytes | None] | dict[int, bytes], flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of each list of ids. ends: where the lists begin and end in flat."""
     flat = flat.tolist()
     return pa.array([b"".join([table[i] for i in flat[a:b]]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.binary())
@@ -287,7 +286,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(content.value, pattern)
-        table = _table(content.value) if decoded_col else None
+        table = encoder.vocabulary.bytes_of
         for batch in slices(batches, text_col, 1 << 20):
             found = encoder.packed(batch.column(columns.index(text_col)).to_pylist())
             ends = np.zeros(len(found) + 1, np.int32)

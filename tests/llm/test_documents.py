@@ -467,3 +467,15 @@ def test_flow_of_lone_sources():
     assert mixing.flow(alone, quotas) == {(f"s{k}",): {f"s{k}": min(7 * k % 50, 2 * (10 + k))} for k in range(3000)}
     mixed = mixing.flow({("a",): 10, ("b",): 10, ("b", "c"): 10, ("d",): 5}, {"a": 15, "b": 20, "c": 10, "d": 0})
     assert mixed[("a",)] == {"a": 15} and mixed[("d",)] == {"d": 0} and mixed[("b",)]["b"] + mixed[("b", "c")]["b"] == 20 and mixed[("b", "c")]["c"] == 10
+
+
+def test_pairs_of_tokens_outlive_a_task():
+    """What is known of pairs stays for the worker's next task; the pieces that a task has kept go."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
+    encoder = bpe.Encoder(bpe.Vocabulary(ranks), r"[a-z]+| ")
+    first = encoder.encode("abc bcab cab")
+    known = encoder.vocabulary._known
+    encoder.rest()
+    assert known == encoder.vocabulary._known > 0 and not encoder.cache and not encoder.old
+    assert encoder.encode("abc bcab cab") == first
+    assert encoder.vocabulary._known == known
