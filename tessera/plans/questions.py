@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import questions as O
 from ..operators import retrieval as R
 from ..sources import relations as S
+from ..sources.shared import written
 from .registry import query
 from .retrieval import KEY_TERMS_SQL
 
@@ -53,11 +54,12 @@ QUESTIONS_SQL = """q0 as (select p_partkey::bigint id, p_name || case when p_par
   case when p_partkey % 8 = 0 then (p_partkey % 100)::varchar end quality_score, (['keep', 'Rewrite ', 'reject', 'keep', ''])[p_partkey % 5 + 1] llm_review_decision from part)"""
 
 
-def _questions(spark, sf):
-    """Parts as generated questions, with faults of every kind."""
+def _questions(spark, sf, deal: bool = False):
+    """Parts as generated questions, with faults of every kind. deal: parts, short rows of few files, are written as many files before questions are made of them (Spark moves filters ahead of a mere exchange)."""
     k = F.col("p_partkey").cast("long")
     pick = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (i + 1).cast("int"))
-    return S.table(spark, sf, "part").select(
+    parts = S.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return (written(parts.repartition(4 * spark.sparkContext.defaultParallelism)) if deal else parts).select(
         k.alias("id"),
         F.concat("p_name", F.when(k % 3 == 0, F.lit(" explain this in detail")).when(k % 7 == 0, F.lit(" generate a question")).otherwise(F.lit(""))).alias("query"),
         F.repeat(F.concat("p_brand", F.lit(" "), "p_type", F.lit(". ")), (k % 80).cast("int")).alias("answer"),
@@ -142,8 +144,8 @@ def _(spark, sf):
 @query("H12_kept_questions")
 def _(spark, sf):
     """The whole of H12: valid questions, each linked to its three best chunks, without near-duplicates of kept ones."""
-    valid = O.validated(_questions(spark, sf)).filter("size(errors) = 0")
-    q = valid.select("id", "query", F.when(F.col("id") % 4 != 0, (F.col("id") * 2).cast("string")).alias("source_chunk_id"))
+    valid = O.validated(_questions(spark, sf, deal=True)).filter("size(errors) = 0")
+    q = written(valid.select("id", "query", F.when(F.col("id") % 4 != 0, (F.col("id") * 2).cast("string")).alias("source_chunk_id")))  # validated once
     hits = R.bm25(S.chunks(spark, sf), q.select(F.col("id").alias("query_id"), "query"), 3).select(F.col("query_id").alias("id"), "rank", F.col("id").cast("string").alias("chunk_id"))
     return O.greedy_dedup(q.select("id", "query")).select("id").join(O.auto_linked(q, hits), "id").select("id", F.array_join("linked", ",").alias("linked"))
 
