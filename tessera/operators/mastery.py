@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.buckets import BucketTable
+from ..sources.shared import written
 from . import reviews as R
 
 _LAST = "array<struct<attempted_at:{t},id:bigint,quality:int>>"
@@ -30,8 +31,9 @@ class MasteryStore:
 
     def refresh(self, number: int, attempts: DataFrame, identities: DataFrame, now: Column) -> None:
         """attempts(id, user_id, card_id, attempted_at, quality) of batch `number`; identities(card_id, subject, topic_key)."""
+        attempts = written(attempts.select("id", "user_id", "card_id", "attempted_at", "quality"))  # both merges read them several times
         self.states.merge(number, attempts, lambda old: _folded(old, attempts))
-        users = attempts.select("user_id").distinct()
+        users = written(attempts.select("user_id").distinct())
         held = self.states.read(attempts).join(users, "user_id", "left_semi").join(identities, "card_id").groupBy("user_id", "subject", "topic_key").agg(*R.held_counts(now))
         self.topics.merge(number, attempts, lambda old: self._scored(number, old, attempts.join(identities, "card_id"), users, held))
 

@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..operators.mastery import MasteryStore
 from ..sources import relations as S
 from ..sources.buckets import BucketTable
-from ..sources.shared import folder
+from ..sources.shared import folder, written
 from .registry import query
 from .retrieval import BM25_SQL, RANK_SQL, VEC_SQL, _vectors
 from .reviews import MASTERY_SQL
@@ -48,7 +48,7 @@ CUTS = ("2024-01-11", "2024-01-21")
 )
 def _(spark, sf):
     """Attempts come in three batches, the second of them twice; each is merged into review states, partial sums and scores of the users that it names."""
-    a, i = S.attempts(spark, sf), S.identities(S.cards(spark, sf), S.topics(spark, sf))
+    a, i = S.attempts(spark, sf), written(S.identities(S.cards(spark, sf), S.topics(spark, sf)))
     store = MasteryStore(spark, folder(spark, "mastery"), a.schema["attempted_at"].dataType.simpleString(), buckets=8)
     k = sum((F.when(F.col("attempted_at") >= F.lit(c).cast("timestamp"), 1).otherwise(0) for c in CUTS), F.lit(0))
     for batch in (0, 1, 1, 2):
